@@ -43,6 +43,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossier.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossier.llm.chat_format import conversations
+
+    return conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dossier.llm.mixing import mix_sources
 
@@ -50,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op5_token_counts, op6_packing, op7_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op3_toxicity, op5_token_counts, op6_packing, op7_exact_dedup, op8_embedding_dedup, op9_chat_format, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,9 +32,9 @@ from dossier.llm.workdir import materialise
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE = 8000
 #: Features kept, at most: those most associated with a category.
-FEATURES = 6000
+FEATURES = 1500
 #: Labelled rows a feature must occur in.
-LEAST_ROWS = 3
+LEAST_ROWS = 5
 SEVERE = 12
 FOLDS = 3
 STEMS = (0, 4, 5, 6)

@@ -146,4 +146,4 @@ def test_toxicity_on_held_out_rows(spark):
     seen = toxicity.score(documents, chain).join(labels.where(held), "doc_id").groupBy("toxic", "rejected").count().collect()
     n = {(r.toxic, r.rejected): r["count"] for r in seen}
     assert n.get((0, True), 0) <= 0.01 * n[(0, False)]
-    assert n[(1, True)] >= 0.8 * (n[(1, True)] + n.get((1, False), 0))
+    assert n[(1, True)] >= 0.8 * (n[(1, True)] + n.get((1, False), 0))  # some labels are noise
