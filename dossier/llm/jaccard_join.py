@@ -1 +1,406 @@
-"""N-gram Jaccard join (to come)."""
+"""N-gram Jaccard join in metric space.
+
+Documents are sets of 5-word shingles; Jaccard distance is a metric, and two
+documents link at a distance of at most RADIUS = 0.2. Nearly all documents are
+at distance 1 from any pivot, where the triangle inequality prunes nothing, so
+the join narrows down first, without losing a link:
+
+1. Equal sets become one class, of which the smallest id stands for all.
+2. A document that has more than a fifth of its shingles to itself links with
+   nothing. Which shingles are shared is found out by hash buckets, first on a
+   consistent half of all shingles, then wholly for what remains.
+3. Two linked documents share one of their rarest floor(n / 5) + 1 shingles.
+   Documents connected by such shingles form the top regions.
+
+Regions of at most REGION documents are joined as they are, by matrix product
+over their shingles. In larger ones, pivots create Voronoi cells: each
+document goes to the cell of its nearest pivot and is linked to the pivots
+within the radius. Only documents not yet in the region's largest component
+still ask; d(x, y) <= r lets x visit the cell of q only if d(x, q) <= d(x, p)
++ 2 r for its nearest pivot p, and d(x, q) <= r + the cell's radius. Cells are
+joined recursively, with new pivots; those that don't shrink, or are LEVELS
+deep, are joined block by block. All of it is exact, and dense groups of near
+copies aren't expanded into pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dossier.llm.arrowtext import U, Words, mix, ngram_hashes, pair_hash, slices
+from dossier.llm.components import connected_components
+from dossier.llm.workdir import materialise
+
+SHINGLE = 5
+#: Links: DEN * |intersection| >= NUM * |union|.
+NUM, DEN = 80, 100
+RADIUS = 1 - NUM / DEN
+#: Text that is looked up in the buckets at once, and text for each bucket, in bytes.
+CHUNK, BUCKET = 8 << 20, 12 << 20
+#: Rows of a chunk at most: they are numbered in 16 bits.
+CHUNK_ROWS = 60_000
+#: Documents joined in one task, pivots of a larger region, levels of recursion.
+REGION, PIVOTS, LEVELS = 1024, 32, 3
+#: Marks an entry that stands for several documents of its chunk, already counted there.
+SEVERAL = 0xFFFF
+
+
+def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, shingle hash) of each distinct shingle, ordered by both."""
+    h, count = words.hashes(lower=True), words.counts()
+    own = words.doc_of()
+    found = ngram_hashes(h, size)
+    doc = own[: len(found)]
+    inside = doc == own[size - 1 :] if len(found) else np.zeros(0, bool)
+    docs, hashes = [doc[inside]], [found[inside]]
+    for k in range(1, size):  # shorter texts are one shingle
+        short = np.flatnonzero(count == k)
+        if len(short):
+            docs.append(short.astype(doc.dtype))
+            part = ngram_hashes(h, k)[words.bounds[short]]
+            hashes.append(pair_hash(part, np.full(len(part), k, U), 11))
+    doc, h = np.concatenate(docs), np.concatenate(hashes)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], most: int = CHUNK, rows: int = CHUNK_ROWS):
+    """(ids, set sizes, shingle hashes by document) of runs of documents of about ``most`` bytes."""
+    ids, sizes, hashes, held = [], [], [], 0
+    for batch in batches:
+        for row, end, data, offsets in slices(batch.column(1)):
+            doc, h = shingle_sets(Words(data, offsets))
+            if held and (held + len(data) > most or sum(map(len, ids)) + end - row > rows):
+                yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
+                ids, sizes, hashes, held = [], [], [], 0
+            for first in range(row, end, rows):
+                last = min(end, first + rows)
+                if first > row:
+                    yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
+                    ids, sizes, hashes, held = [], [], [], 0
+                here = (doc >= first - row) & (doc < last - row) if end - row > rows else slice(None)
+                ids.append(batch.column(0).slice(first, last - first).to_numpy(zero_copy_only=False))
+                sizes.append(np.bincount(doc[here] - (first - row), minlength=last - first))
+                hashes.append(h[here])
+            held += len(data)
+    if ids:
+        yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
+
+
+def set_keys(sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    keys = []
+    for salt in (1, 2):
+        sums = np.zeros(len(h) + 1, U)
+        np.cumsum(mix(h * U(2) + U(salt * 0x5851F42D4C957F2D & (1 << 64) - 1)), out=sums[1:])
+        keys.append(mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(U)).view(np.int64))
+    return keys[0], keys[1]
+
+
+def survey(docs: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, n, k1, k2, alive) of each document; alive: it may link with a different row."""
+    share = U(1 << 63)  # a consistent half of all shingles
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, (ids, sizes, h) in enumerate(chunks_of(batches)):
+            chunk = (part << 32) + number
+            k1, k2 = set_keys(sizes, h)
+            doc = np.repeat(np.arange(len(ids)), sizes)
+            use = h < share
+            h, doc = h[use], doc[use]
+            asked = np.bincount(doc, minlength=len(ids))
+            order = np.argsort(h, kind="stable")
+            h, doc = h[order], doc[order].astype(np.uint16)
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(h))) > 1
+            known = np.bincount(doc[np.repeat(many, np.diff(np.append(first, len(h))))], minlength=len(ids))
+            h, doc = h[first], np.where(many, SEVERAL, doc[first]).astype(np.uint16)
+            yield _asked(chunk, -1, None, None, [ids, sizes, k1, k2, asked, known])
+            bucket = (h % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            h, doc = (h // U(buckets)).astype(np.uint32)[order], doc[order]
+            for b in np.flatnonzero(np.diff(cuts)):
+                yield _asked(chunk, int(b), h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], None)
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        passed = pdf[pdf["bucket"] < 0]
+        pdf = pdf[pdf["bucket"] >= 0]
+        h = [np.frombuffer(x, np.uint32) for x in pdf["h"]]
+        own = [np.frombuffer(x, np.uint16) for x in pdf["doc"]]
+        if not h:
+            return passed[["chunk", "doc", "info"]]
+        flat = np.concatenate(h)
+        order = np.argsort(flat, kind="stable")
+        same = flat[order]
+        shared = np.zeros(len(flat), bool)
+        twice = same[1:] == same[:-1]
+        shared[order[1:][twice]] = True
+        shared[order[:-1][twice]] = True
+        replies, at = [], 0
+        for x in own:
+            hit = x[shared[at : at + len(x)]]
+            replies.append(np.bincount(hit[hit != SEVERAL], minlength=1).astype("<u4").tobytes())
+            at += len(x)
+        out = pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "doc": replies, "info": None})
+        return pd.concat([passed[["chunk", "doc", "info"]], out]) if len(passed) else out
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        info = np.frombuffer(pdf["info"].dropna().iloc[0], "<i8").reshape(6, -1)
+        shared = info[5].copy()
+        for reply in pdf["doc"][pdf["info"].isna()]:
+            n = np.frombuffer(reply, "<u4")
+            shared[: len(n)] += n
+        alone = info[4] - shared
+        # no link leaves more than (1 - NUM / DEN) of a set unshared
+        alive = (info[1] > 0) & (DEN * alone <= (DEN - NUM) * info[1])
+        return pd.DataFrame({"doc_id": info[0], "n": info[1], "k1": info[2], "k2": info[3], "alive": alive})
+
+    asked = docs.mapInArrow(ask, "chunk long, bucket int, h binary, doc binary, info binary")
+    # what only passes through is dealt out like the rest
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    answered = asked.withColumn("place", place).groupBy("place").applyInPandas(lambda pdf: answer(pdf), "chunk long, doc binary, info binary")
+    return answered.groupBy("chunk").applyInPandas(decide, "doc_id long, n long, k1 long, k2 long, alive boolean")
+
+
+def _asked(chunk, bucket, h, doc, info) -> pa.RecordBatch:
+    raw = lambda x: None if x is None else x.tobytes()
+    info = None if info is None else np.stack([x.astype("<i8") for x in info]).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([raw(h)], pa.binary()), pa.array([raw(doc)], pa.binary()), pa.array([info], pa.binary())], ["chunk", "bucket", "h", "doc", "info"])
+
+
+def set_chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, sizes, sets): the documents of a chunk and their sets, end to end."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, (ids, sizes, h) in enumerate(chunks_of(batches, CHUNK // 2)):
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((ids, "<i8"), (sizes, "<i8"), (h, "<u8")))], ["chunk", "ids", "sizes", "sets"])
+
+    return docs.mapInArrow(cut, "chunk long, ids binary, sizes binary, sets binary")
+
+
+def rare_shingles(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(h, doc_id): each document's rarest floor(n / 5) + 1 shingles, those without other holders left out."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sets in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, n = np.unique(np.frombuffer(sets.as_buffer(), "<u8"), return_counts=True)
+                bucket = (h % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                h, n = h[order], n[order].astype(np.uint32)
+                used = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), chunk)), pa.array(used.astype(np.int32)), pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), pa.array([n[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())],
+                    ["chunk", "bucket", "h", "n"],
+                )
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = [np.frombuffer(x, "<u8") for x in pdf["h"]]
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]]).astype(np.float64)
+        _, inverse = np.unique(np.concatenate(h), return_inverse=True)
+        total = np.bincount(inverse, n)[inverse]
+        # a byte in steps of an eighth of a doubling: 0 for a single holder
+        code = np.minimum(255, np.floor(8 * np.log2(total))).astype(np.uint8)
+        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy(), "codes": [x.tobytes() for x in np.split(code, np.cumsum([len(x) for x in h])[:-1])]})
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes, sets = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("ids", "<i8"), ("sizes", "<i8"), ("sets", "<u8")))
+                h = np.unique(sets)
+                bucket = (h % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                codes = np.empty(len(h), np.uint8)
+                replies = sorted((r["bucket"], r["codes"]) for r in batch.column("replies")[k].as_py())
+                codes[order] = np.frombuffer(b"".join(c for _, c in replies), np.uint8)
+                code = codes[np.searchsorted(h, sets)]
+                doc = np.repeat(np.arange(len(ids)), sizes)
+                order = np.lexsort((sets, code, doc))
+                rank = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                limit = (DEN - NUM) * sizes // DEN + 1
+                use = (rank < limit[doc]) & (code[order] > 0)
+                at = order[use]
+                yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), pa.array(ids[doc[at]])], ["h", "doc_id"])
+
+    asked = chunks.select("chunk", "sets").mapInArrow(ask, "chunk long, bucket int, h binary, n binary")
+    answered = asked.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, codes binary")
+    replies = answered.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("replies"))
+    return chunks.join(replies, "chunk").mapInArrow(choose, "h long, doc_id long")
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
+    _, inverse, n = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    use = n[inverse] > 1
+    column = (np.cumsum(n > 1) - 1)[inverse[use]]
+    row = row[use]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    width = 2048
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (first, first + width))
+        m = np.zeros((len(a) + len(b), width), np.float32)
+        m[row[lo:hi], column[lo:hi] - first] = 1
+        total += m[: len(a)] @ m[len(a) :].T
+    return total
+
+
+def links_within(askers: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of the linked pairs of two tables of (doc_id, set)."""
+    a, b = ([np.frombuffer(x, "<u8") for x in t["set"]] for t in (askers, members))
+    if not a or not b:
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    both = intersections(a, b).astype(np.int64)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both
+    i, j = np.nonzero(DEN * both >= NUM * union)
+    i_ids, j_ids = askers["doc_id"].to_numpy()[i], members["doc_id"].to_numpy()[j]
+    return pd.DataFrame({"a": i_ids, "b": j_ids})[i_ids != j_ids]
+
+
+def join_regions(rows: DataFrame) -> DataFrame:
+    """(a, b) of the links between askers and members of one region, in blocks.
+
+    ``rows`` has (region, doc_id, asks, member, set). Small regions share
+    tasks; the members of large ones are cut into blocks that each meet blocks
+    of the askers.
+    """
+    sizes = rows.groupBy("region").agg(F.ceil(F.sum(F.col("asks").cast("int")) / REGION).cast("int").alias("asking"), F.ceil(F.sum(F.col("member").cast("int")) / REGION).cast("int").alias("inside"), F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, int(total) // REGION)
+    asks = rows.join(sizes.where("asking > 0 AND inside > 0").drop("n"), "region")
+    own = F.pmod(F.xxhash64("doc_id"), F.greatest("asking", F.lit(1))).cast("int")
+    there = F.pmod(F.xxhash64("doc_id"), F.greatest("inside", F.lit(1))).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    one = asks.where("asks").select("region", "doc_id", "set", "asking", "inside", F.lit(True).alias("asks"), own.alias("i"), F.explode(every("inside")).alias("j"))
+    two = asks.where("member").select("region", "doc_id", "set", "asking", "inside", F.lit(False).alias("asks"), F.explode(every("asking")).alias("i"), there.alias("j"))
+    met = one.unionByName(two)
+    small = (F.col("asking") == 1) & (F.col("inside") == 1)
+    task = F.when(small, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(F.xxhash64("region", "i", "j"))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [links_within(part[part["asks"]], part[~part["asks"]]) for _, part in pdf.groupby(["region", "i", "j"])]
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+    return met.select("region", "i", "j", "doc_id", "asks", "set", task.alias("task")).groupBy("task").applyInPandas(join, "a long, b long")
+
+
+def split_regions(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links to pivots, and the cells of the regions: rows as those of ``join_regions``.
+
+    A pivot is the member of smallest hash in each of PIVOTS slots of a region.
+    """
+    draw = F.xxhash64("doc_id", F.lit(level))
+    slot = F.pmod(draw, F.lit(PIVOTS)).cast("int")
+    pivots = rows.where("member").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "doc_id")).alias("p")).select("region", F.col("p.doc_id").alias("doc_id"))
+    pivots = materialise(rows.where("member").select("region", "doc_id", "set").join(pivots, ["region", "doc_id"]), "jaccard-pivots")
+    salts = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("salts"))
+    salted = rows.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("salts")).cast("int"))
+    spread = pivots.join(salts, "region").select("region", "doc_id", "set", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def measure(docs: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs) or not len(near):
+            return pd.DataFrame({c: [] for c in ("region", "doc_id", "asks", "member", "pivots", "d")})
+        a, b = ([np.frombuffer(x, "<u8") for x in t["set"]] for t in (docs, near))
+        both = intersections(a, b).astype(np.float64)
+        d = 1 - both / (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both)
+        ids = near["doc_id"].to_numpy()
+        return pd.DataFrame({"region": docs["region"].to_numpy(), "doc_id": docs["doc_id"].to_numpy(), "asks": docs["asks"].to_numpy(), "member": docs["member"].to_numpy(), "pivots": [ids] * len(docs), "d": list(d)})
+
+    schema = "region long, doc_id long, asks boolean, member boolean, pivots array<long>, d array<double>"
+    keyed = salted.select("region", "salt", "doc_id", "asks", "member", "set").groupBy("region", "salt")
+    measured = materialise(keyed.cogroup(spread.groupBy("region", "salt")).applyInPandas(measure, schema), "jaccard-distances")
+    pairs = F.arrays_zip("pivots", "d")
+    # a link needs no rounding's help here: pairs at the very radius are found with the rest
+    sure = measured.select(F.col("doc_id").alias("a"), F.explode(F.filter(pairs, lambda x: x.d <= RADIUS - 1e-9)).alias("x")).select("a", F.col("x.pivots").alias("b")).where("a <> b")
+    sure = materialise(sure, "jaccard-pivot-links")
+    parts = connected_components(sure)
+    placed = measured.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    most = placed.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "part")).alias("top")).select("region", F.col("top.part").alias("top"))
+    nearest = F.array_min("d")
+    cell = F.get("pivots", (F.array_position("d", nearest) - 1).cast("int"))
+    placed = placed.join(most, "region").select("region", "doc_id", "member", (F.col("asks") & (F.col("part") != F.col("top"))).alias("asks"), cell.alias("cell"), nearest.alias("near"), pairs.alias("pairs"))
+    placed = materialise(placed, "jaccard-cells")
+    reach = placed.where("member").groupBy("region", "cell").agg(F.max("near").alias("reach"))
+    name = F.xxhash64("region", "cell")
+    stay = placed.where("member").select(name.alias("region"), "doc_id", F.lit(False).alias("asks"), F.lit(True).alias("member"))
+    visit = placed.where("asks").select("region", "doc_id", F.explode(F.filter("pairs", lambda x: x.d <= F.col("near") + 2 * RADIUS + 1e-9)).alias("x")).select("region", "doc_id", F.col("x.pivots").alias("cell"), F.col("x.d").alias("d"))
+    visit = visit.join(reach, ["region", "cell"]).where(F.col("d") <= F.col("reach") + RADIUS + 1e-9).select(name.alias("region"), "doc_id", F.lit(True).alias("asks"), F.lit(False).alias("member"))
+    # a document that both stays and asks is one row
+    cells = stay.unionByName(visit).groupBy("region", "doc_id").agg(F.max("asks").alias("asks"), F.max("member").alias("member"))
+    return sure, cells
+
+
+def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included).
+
+    Documents link when 100 * |intersection| >= 80 * |union| of their sets of
+    5-word shingles, A-Z folded; fewer words are one shingle. Null, empty and
+    blank texts have no shingles and link with nothing. Rows that repeat an id
+    each get a row. Other columns are ignored.
+    """
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    known = materialise(survey(docs, max(8, size // BUCKET)), "jaccard-survey")
+    classes = known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    alive = known.where("alive").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    chunks = materialise(set_chunks(docs.join(alive, "doc_id").select("doc_id", "text")), "jaccard-sets")
+    held = chunks.agg(F.sum(F.octet_length("sets").cast("long")).alias("n")).first().n or 0
+    rare = materialise(rare_shingles(chunks, max(8, held // BUCKET)), "jaccard-rare")
+    links = materialise(linked(rare, chunks), "jaccard-links")
+    parts = connected_components(links).select(F.col("node").alias("rep"), "component")
+    named = classes.join(parts, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    return known.join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked(rare: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(a, b): links enough to give the components of all."""
+    least = rare.groupBy("h").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("c")).where("b <> c").select("h", "b")
+    regions = connected_components(rare.join(least, "h").select(F.col("doc_id").alias("a"), "b"))
+    ids = regions.select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, sizes = (np.frombuffer(batch.column(c)[k].as_buffer(), "<i8") for c in (0, 1))
+                raw, ends = batch.column(2)[k].as_py(), np.cumsum(sizes) * 8
+                for first in range(0, len(own), 500):
+                    here = range(first, min(first + 500, len(own)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[first : first + 500]), pa.array([raw[ends[i] - sizes[i] * 8 : ends[i]] for i in here], pa.binary())], ["doc_id", "set"])
+
+    sets = chunks.select("ids", "sizes", "sets").mapInArrow(apart, "doc_id long, set binary")
+    sets = materialise(sets.join(ids, "doc_id"), "jaccard-region-sets")
+    rows = sets.select("region", "doc_id", F.lit(True).alias("asks"), F.lit(True).alias("member"), "set")
+    found = []
+    for level in range(LEVELS):
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+        large = sizes.where(F.col("size") > REGION).select("region")
+        if large.isEmpty():
+            break
+        found.append(join_regions(rows.join(large, "region", "left_anti")))
+        sure, cells = split_regions(rows.join(large, "region"), level)
+        found.append(sure)
+        rows = materialise(cells.join(sets.select("doc_id", "set"), "doc_id").select("region", "doc_id", "asks", "member", "set"), "jaccard-level")
+    found.append(join_regions(rows))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.distinct()

@@ -18,6 +18,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossier.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossier.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dossier.llm.jaccard_join import components
+
+    return components(_read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dossier.llm import toxicity
 
@@ -62,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op5_token_counts, op6_packing, op7_exact_dedup, op8_embedding_dedup, op9_chat_format, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_toxicity, op4_jaccard_join, op5_token_counts, op6_packing, op7_exact_dedup, op8_embedding_dedup, op9_chat_format, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
