@@ -84,6 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from dossier.llm import exact_dedup
-
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    from dossier.llm import exact_dedup, oracles
+
+    return {
+        "op2_substring_dedup": oracles.SUBSTRING,
+        "op4_jaccard_join": oracles.JACCARD,
+        "op7_exact_dedup": exact_dedup.SQL,
+        "op8_embedding_dedup": oracles.EMBEDDINGS,
+    }
