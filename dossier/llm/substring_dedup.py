@@ -2,10 +2,11 @@
 
 Documents are parsed into factors that every part of the corpus cuts alike: a
 20-word window belongs to the seed of smallest hash among its 8-word runs, and
-a factor is the stretch of windows that share one seed. The factors, indexed
-by hash, are the reference blocks; each document's factors are looked up in
-all of them at once, through a join on the hash, instead of against one block
-after another. A factor that also starts earlier is copied as a whole.
+a factor is the stretch of windows that share one seed. Factors whose seed no
+other factor has are dropped at once. The rest, indexed by hash, are the
+reference blocks; each document's factors are looked up in all of them at
+once, through a join on the hash, instead of against one block after another.
+A factor that also starts earlier is copied as a whole.
 
 What remains to check are the boundaries, where a copied passage begins or
 ends inside a factor: factors that share their seed with a different factor
@@ -25,14 +26,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.arrowtext import Words, ngram_hashes, pair_hash, slices
+from dossier.llm.arrowtext import U, Words, ngram_hashes, pair_hash, slices
 from dossier.llm.workdir import materialise
 
 WINDOW, SEED = 20, 8
+#: Text whose seeds are looked up at once, and text for each bucket, in bytes.
+CHUNK, BUCKET = 8 << 20, 24 << 20
+#: Marks an entry that stands for several factors of its chunk.
+SEVERAL = 0xFFFFFFFF
 
 
 def window_seeds(seeds: np.ndarray, span: int) -> np.ndarray:
@@ -51,12 +58,11 @@ def window_seeds(seeds: np.ndarray, span: int) -> np.ndarray:
 
 
 def parse(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, seed: int = SEED):
-    """Factors of a run of texts: (first window, number of windows, seed hash) and two hashes of every window."""
+    """Factors of a run of texts: (first window, number of windows, seed hash), and the hash of every window."""
     h = ngram_hashes(words, window)
     if not len(h):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), h, h
-    g = ngram_hashes(words, window, salt=977)
+        return none, none, none.astype(np.uint64), h
     seeds = ngram_hashes(words, seed, salt=31)
     at = window_seeds(seeds, window - seed + 1)
     inside = doc[: len(h)] == doc[window - 1 :]
@@ -65,30 +71,112 @@ def parse(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, seed: int =
     first = np.flatnonzero(new & inside)
     ends = np.append(np.flatnonzero(new | ~inside), len(h))
     size = ends[np.searchsorted(ends, first, side="right")] - first
-    return first, size, seeds[at[first]], h, g
+    return first, size, seeds[at[first]], h
 
 
-def factors(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, windows, seed, h, g) of each factor; h and g hash all its words."""
+def shared_seeds(docs: DataFrame, buckets: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, bits): which of a text's factors have a seed that another factor has; texts without any are left out.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Seeds travel as 32 bits in blocks to hash buckets, which answer with the
+    places of those they see twice; a seed that repeats within a chunk is sent
+    once. Equal bits of different seeds only open a factor for nothing.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, _, data, offsets in slices(batch.column(1)):
+            for row, end, data, offsets in slices(batch.column(1), CHUNK):
                 words = Words(data, offsets)
                 doc = words.doc_of()
-                first, size, seeds, h, g = parse(words.hashes(), doc, window, seed)
+                first, _, seeds, _ = parse(words.hashes(), doc, window, seed)
+                if not len(first):
+                    continue
+                chunk, number = (part << 32) + number, number + 1
+                order = np.argsort(seeds, kind="stable")
+                new = np.ones(len(seeds), bool)
+                new[1:] = seeds[order][1:] != seeds[order][:-1]
+                head = np.flatnonzero(new)
+                times = np.diff(np.append(head, len(seeds)))
+                known = np.zeros(len(seeds), bool)
+                known[order[np.repeat(times > 1, times)]] = True
+                counts = np.bincount(doc[first], minlength=end - row)
+                yield _block(chunk, -1, counts.astype("<i4").tobytes(), ids[row:end].astype("<i8").tobytes(), np.packbits(known).tobytes())
+                h, at = seeds[order[head]], np.where(times > 1, SEVERAL, order[head]).astype("<u4")
+                bucket = (h % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                h, at = (h // U(buckets)).astype("<u4")[order], at[order]
+                for b in np.flatnonzero(np.diff(cuts)):
+                    yield _block(chunk, int(b), h[cuts[b] : cuts[b + 1]].tobytes(), at[cuts[b] : cuts[b + 1]].tobytes(), None)
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        passed, pdf = pdf[pdf["bucket"] < 0], pdf[pdf["bucket"] >= 0]
+        out = [passed[["chunk", "a", "b", "bits"]]] if len(passed) else []
+        if len(pdf):
+            h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["a"]])
+            order = np.argsort(h, kind="stable")
+            twice = h[order][1:] == h[order][:-1]
+            shared = np.zeros(len(h), bool)
+            shared[order[1:][twice]] = True
+            shared[order[:-1][twice]] = True
+            replies, at = [], 0
+            for x in pdf["b"]:
+                x = np.frombuffer(x, "<u4")
+                hit = x[shared[at : at + len(x)]]
+                replies.append(hit[hit != SEVERAL].tobytes())
+                at += len(x)
+            out.append(pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "a": replies, "b": None, "bits": None}))
+        return pd.concat(out)
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["bits"].notna()].iloc[0]
+        counts, ids = np.frombuffer(own["a"], "<i4"), np.frombuffer(own["b"], "<i8")
+        bits = np.unpackbits(np.frombuffer(own["bits"], np.uint8), count=int(counts.sum())).astype(bool)
+        for reply in pdf["a"][pdf["bits"].isna()]:
+            bits[np.frombuffer(reply, "<u4")] = True
+        parts = np.split(bits, np.cumsum(counts)[:-1])
+        use = [k for k, x in enumerate(parts) if x.any()]
+        return pd.DataFrame({"doc_id": ids[use], "bits": [np.packbits(parts[k]).tobytes() for k in use]})
+
+    asked = docs.mapInArrow(ask, "chunk long, bucket int, a binary, b binary, bits binary")
+    dealt = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("chunk"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    answered = asked.withColumn("place", dealt).groupBy("place").applyInPandas(answer, "chunk long, a binary, b binary, bits binary")
+    return answered.groupBy("chunk").applyInPandas(decide, "doc_id long, bits binary")
+
+
+def _block(chunk: int, bucket: int, a, b, bits) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, bits))], ["chunk", "bucket", "a", "b", "bits"])
+
+
+def factors(docs: DataFrame, bits: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, start, windows, seed, h, each) of the factors with shared seeds; h hashes all words, ``each`` every window's."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, masks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for row, end, data, offsets in slices(batch.column(1)):
+                words = Words(data, offsets)
+                doc = words.doc_of()
+                first, size, seeds, h = parse(words.hashes(), doc, window, seed)
+                counts = np.bincount(doc[first], minlength=end - row)
+                use = np.concatenate([_mask(masks[k].as_py(), n) for k, n in zip(range(row, end), counts, strict=True)])
+                first, size, seeds = first[use], size[use], seeds[use]
                 # the first and the last window cover all of a factor's words, as it is shorter than two windows
-                last = first + size - 1
-                whole = pair_hash(h[first], h[last], 5) ^ size.astype(np.uint64)
-                other = pair_hash(g[first], g[last], 6)
+                whole = pair_hash(h[first], h[first + size - 1], 5) ^ size.astype(U)
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(h[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row + doc[first]]), pa.array(first - words.bounds[doc[first]]), pa.array(size.astype(np.int32)), pa.array(seeds.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(other.view(np.int64))],
-                    ["doc_id", "start", "windows", "seed", "h", "g"],
+                    [pa.array(ids[row + doc[first]]), pa.array(first - words.bounds[doc[first]]), pa.array(size.astype(np.int32)), pa.array(seeds.view(np.int64)), pa.array(whole.view(np.int64)), each],
+                    ["doc_id", "start", "windows", "seed", "h", "each"],
                 )
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, windows int, seed long, h long, g long")
+    return docs.join(bits, "doc_id").mapInArrow(cut, "doc_id long, start long, windows int, seed long, h long, each array<long>")
+
+
+def _mask(bits: bytes, n: int) -> np.ndarray:
+    mask = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)[:n]
+    return np.append(mask, np.ones(n - len(mask), bool))
 
 
 def place(doc_id: str = "doc_id", start: str = "start"):
@@ -96,48 +184,29 @@ def place(doc_id: str = "doc_id", start: str = "start"):
 
 
 def copied_windows(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, windows): runs of windows whose words also start earlier."""
-    found = materialise(factors(df, text, key, window, seed), "substring-factors")
-    index = found.groupBy("seed", "h", "g").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    index = materialise(index.select("seed", "h", "g", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "substring-index")
+    """(doc_id, start, windows): runs of windows whose words also start earlier.
+
+    A factor is known by its seed and the hash of all its words, a window by
+    its seed and its own hash: 128 bits either way.
+    """
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    bits = shared_seeds(docs, max(8, size // BUCKET), window, seed).dropDuplicates(["doc_id"])
+    found = materialise(factors(docs, materialise(bits, "substring-bits"), window, seed), "substring-factors")
+    index = found.groupBy("seed", "h").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    index = materialise(index.select("seed", "h", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), "substring-index")
+    later = "doc_id <> first_doc OR start <> first_start"
     # whole factors that also start earlier
-    again = index.where("n > 1").select("h", "g", "seed", "first_doc", "first_start")
-    whole = found.join(again, ["seed", "h", "g"]).where("doc_id <> first_doc OR start <> first_start").select("doc_id", "start", "windows")
+    again = index.where("n > 1").select("h", "seed", "first_doc", "first_start")
+    whole = found.join(again, ["seed", "h"]).where(later).select("doc_id", "start", "windows")
     # boundaries: distinct factors that share a seed, at their first start
     shared = index.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     edges = index.join(shared, "seed").select(F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"))
-    sized = found.select("doc_id", "start", "windows").join(edges, ["doc_id", "start"])
-    runs = sized.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    opened = materialise(open_windows(df, runs, text, key, window), "substring-windows")
-    firsts = opened.groupBy("h", "g").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = opened.join(firsts.select("h", "g", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), ["h", "g"])
-    late = late.where("doc_id <> first_doc OR start <> first_start").select("doc_id", "start", F.lit(1).alias("windows"))
-    return whole.unionByName(late)
-
-
-def open_windows(df: DataFrame, runs: DataFrame, text: str, key: str, window: int) -> DataFrame:
-    """(doc_id, start, h, g) of the windows of the listed runs."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            for row, end, data, offsets in slices(batch.column(1)):
-                words = Words(data, offsets)
-                own = words.hashes()
-                h, g = ngram_hashes(own, window), ngram_hashes(own, window, salt=977)
-                part = lists.slice(row, end - row)
-                flat = part.flatten()
-                doc = np.repeat(np.arange(end - row), part.value_lengths().to_numpy())
-                start, size = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
-                each = np.repeat(np.arange(len(size)), size)
-                at = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-                doc = doc[each]
-                hit = words.bounds[doc] + at
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + doc]), pa.array(at), pa.array(h[hit].view(np.int64)), pa.array(g[hit].view(np.int64))], ["doc_id", "start", "h", "g"])
-
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(runs, "doc_id")
-    return rows.mapInArrow(hashes, "doc_id long, start long, h long, g long")
+    opened = found.join(edges, ["doc_id", "start"]).select("doc_id", "start", "seed", F.posexplode("each").alias("k", "h"))
+    opened = materialise(opened.select("doc_id", (F.col("start") + F.col("k")).alias("start"), "seed", "h"), "substring-windows")
+    firsts = opened.groupBy("seed", "h").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    late = opened.join(firsts.select("seed", "h", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")), ["seed", "h"])
+    return whole.unionByName(late.where(later).select("doc_id", "start", F.lit(1).alias("windows")))
 
 
 def dedup_substrings(df: DataFrame, window: int = WINDOW, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
