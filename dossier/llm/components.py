@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.workdir import materialise
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task solves on its own.
+FEW = 20_000
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge with two ends.
 
     A round joins each edge with its ends' smallest neighbours. Those come from
     pre-aggregated minima, and hot nodes are on one side of an equi-join only,
     so adaptive execution can split them. Rounds are logarithmic in practice;
-    each is written to the shared folder.
+    each is written to the shared folder. No more than ``few`` edges are solved
+    in one task instead.
     """
+
     def tidy(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = materialise(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "components")
-    while True:
+    seen = None
+    while (size := edges.count()) > few:
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,14 +40,41 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = materialise(large, "components")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select("a", "m").toDF("x", "y"))
-        new = materialise(tidy(moved.toDF("a", "b")), "components")
-        if _same(edges, new):
-            return new.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(new.select("b", "b").distinct().toDF("node", "component"))
-        edges = new
+        edges = materialise(tidy(moved.toDF("a", "b")), "components")
+        now = _digest(edges)
+        if now == seen:
+            break
+        seen = now
+    if size <= few:
+        edges = edges.coalesce(1).mapInPandas(_solve, "a long, b long")
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(edges.select("b", "b").distinct().toDF("node", "component"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component), other than itself, of the graph with edges a-b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        np.minimum.at(new, label, new.copy())
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
 
+def _solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = [p for p in parts if len(p)]
+    if parts:
+        pdf = pd.concat(parts)
+        node, least = forest(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        yield pd.DataFrame({"a": node, "b": least})
 
-def _same(old: DataFrame, new: DataFrame) -> bool:
-    def digest(df: DataFrame):
-        return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("b", "a"), 24)).alias("s")).first()
 
-    return digest(old) == digest(new)
+def _digest(df: DataFrame) -> tuple:
+    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftrightunsigned(F.xxhash64("b", "a"), 24))).first())

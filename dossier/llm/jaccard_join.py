@@ -12,8 +12,9 @@ the join narrows down first, without losing a link:
 3. Two linked documents share one of their rarest floor(n / 5) + 1 shingles.
    Documents connected by such shingles form the top regions.
 
-Regions of at most REGION documents are joined as they are, by matrix product
-over their shingles. In larger ones, pivots create Voronoi cells: each
+Regions of at most LARGE documents are joined as they are, in blocks, by matrix
+product over their shingles; of a block's links, a spanning forest is kept. In
+larger ones, pivots create Voronoi cells: each
 document goes to the cell of its nearest pivot and is linked to the pivots
 within the radius. Only documents not yet in the region's largest component
 still ask; d(x, y) <= r lets x visit the cell of q only if d(x, q) <= d(x, p)
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.arrowtext import U, Words, mix, ngram_hashes, pair_hash, slices
-from dossier.llm.components import connected_components
+from dossier.llm.components import connected_components, forest
 from dossier.llm.workdir import materialise
 
 SHINGLE = 5
@@ -46,8 +47,8 @@ RADIUS = 1 - NUM / DEN
 CHUNK, BUCKET = 8 << 20, 12 << 20
 #: Rows of a chunk at most: they are numbered in 16 bits.
 CHUNK_ROWS = 60_000
-#: Documents joined in one task, pivots of a larger region, levels of recursion.
-REGION, PIVOTS, LEVELS = 1024, 32, 3
+#: Documents on either side of one task; a region of more than LARGE is split by its pivots, for LEVELS levels.
+REGION, LARGE, PIVOTS, LEVELS = 1024, 8192, 32, 3
 #: Marks an entry that stands for several documents of its chunk, already counted there.
 SEVERAL = 0xFFFF
 
@@ -265,7 +266,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def links_within(askers: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) of the linked pairs of two tables of (doc_id, set)."""
+    """(a, b): a spanning forest of the linked pairs of two tables of (doc_id, set)."""
     a, b = ([np.frombuffer(x, "<u8") for x in t["set"]] for t in (askers, members))
     if not a or not b:
         return pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -273,11 +274,12 @@ def links_within(askers: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both
     i, j = np.nonzero(DEN * both >= NUM * union)
     i_ids, j_ids = askers["doc_id"].to_numpy()[i], members["doc_id"].to_numpy()[j]
-    return pd.DataFrame({"a": i_ids, "b": j_ids})[i_ids != j_ids]
+    node, least = forest(i_ids, j_ids)
+    return pd.DataFrame({"a": node, "b": least})
 
 
 def join_regions(rows: DataFrame) -> DataFrame:
-    """(a, b) of the links between askers and members of one region, in blocks.
+    """(a, b): forests of the links between askers and members of one region, by block.
 
     ``rows`` has (region, doc_id, asks, member, set). Small regions share
     tasks; the members of large ones are cut into blocks that each meet blocks
@@ -392,7 +394,7 @@ def linked(rare: DataFrame, chunks: DataFrame) -> DataFrame:
     found = []
     for level in range(LEVELS):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > REGION).select("region")
+        large = sizes.where(F.col("size") > LARGE).select("region")
         if large.isEmpty():
             break
         found.append(join_regions(rows.join(large, "region", "left_anti")))

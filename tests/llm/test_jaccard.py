@@ -62,6 +62,7 @@ def test_against_brute_force(spark):
 @pytest.mark.parametrize(("region", "levels"), [(8, 3), (16, 1)])
 def test_regions_split_by_pivots(spark, monkeypatch, region, levels):
     monkeypatch.setattr(jaccard_join, "REGION", region)
+    monkeypatch.setattr(jaccard_join, "LARGE", 2 * region)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
     monkeypatch.setattr(jaccard_join, "LEVELS", levels)
     check(spark, rows_of(2, groups=5, most=50))

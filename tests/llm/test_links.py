@@ -26,9 +26,10 @@ def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, 900), (501, 900), (502, 900)]
     want = brute_components({x for e in edges for x in e if e[0] != e[1]}, [e for e in edges if e[0] != e[1]])
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r.node: r.component for r in got.collect()} == want
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 10_000):
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), few=few)
+        assert {r.node: r.component for r in got.collect()} == want
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), few=-1).count() == 0
 
 
 def brute_links(rows, cosine):
