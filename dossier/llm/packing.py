@@ -10,6 +10,8 @@ anywhere, so neither long documents nor hot keys matter.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -24,73 +26,64 @@ from dossier.llm.workdir import materialise
 
 WINDOW = 2048
 END_ID = 1
-#: Distinct chunks whose ids a worker keeps; emptied when full.
-CACHE = 250_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkIds(dict):
-    """Little-endian ids of chunks of text, encoded by the tokenizer when first seen.
+class Encoder:
+    """Little-endian ids of texts, exactly as the tokenizer gives them.
 
-    The tokenizer's own split never joins what lies on the two sides of a
-    space or line feed that starts a chunk, as long as white space comes
-    singly; other texts are encoded whole.
+    Where the tokenizer is byte-level BPE with merges in the order of their
+    ids, texts of Latin letters, common punctuation and plain white space are
+    merged by those ids, which gives the same result faster: on other
+    characters two libraries could differ in what is a letter or a space.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranks = by_ranks(self.tokenizer)
 
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranks and not _UNSURE.search(text) and not any(s in text for s in self.specials):
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype(self.type)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.raw(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, exactly as the tokenizer gives them."""
-        if not text:
-            return b""
-        if not simple(text) or any(s in text for s in self.specials):
-            return self.raw(text)
-        # a space goes with the word after it; a line feed stands alone
-        found = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            found.append(self[head] if head else b"")
-            found.extend(map(self.__getitem__, [" " + w for w in rest]))
-            found.append(self["\n"])
-        return b"".join(found[:-1])
+_UNSURE = re.compile("[^ -~\n\t\r\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
 
 
-def simple(text: str) -> bool:
-    """Whether all white space is single spaces and line feeds between other characters."""
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _ODD_SPACE.search(text))
+def by_ranks(tokenizer):
+    """The merges of a byte-level BPE tokenizer without options, as ranks; None for any other."""
+    import public_tokenizers
+    import tiktoken
 
+    about = json.loads(tokenizer.to_str())
+    model, split = about["model"], about["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not about["normalizer"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    # each byte's stand-in: printable Latin-1 characters as themselves, the others from U+0100 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    added = {t["content"] for t in about["added_tokens"]}
+    ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"]["".join(m)] for m in merges]
+    if sorted(ids) != ids or len(ranks) != 256 + len(ids):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-def _odd_space():
-    import re
 
-    return re.compile(r"[^\S \n]|[᠎​﻿]")
+_workers: dict[str, Encoder] = {}
 
 
-_ODD_SPACE = _odd_space()
-_workers: dict[str, ChunkIds] = {}
-
-
-def _chunk_ids(path: str) -> ChunkIds:
+def _encoder(path: str) -> Encoder:
     if path not in _workers:
-        _workers[path] = ChunkIds(path)
+        _workers[path] = Encoder(path)
     return _workers[path]
 
 
@@ -98,13 +91,13 @@ def tokenised(df: DataFrame, tokenizer_path: str, end_id: int = END_ID, text: st
     """(part, before, n, doc_id, ids): each row's ids with the end id, and the tokens before it in its partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part, before = _chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype=chunks.type).tobytes()
+        encoder, part, before = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], dtype=encoder.type).tobytes()
         width = len(end)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 rows = batch.slice(first, 256)
-                ids = [chunks.encode(t or "") + end for t in rows.column(1).to_pylist()]
+                ids = [encoder.encode(t).tobytes() + end if t else end for t in rows.column(1).to_pylist()]
                 sizes = np.array([len(i) // width for i in ids], dtype=np.int64)
                 at = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())

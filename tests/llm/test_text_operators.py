@@ -6,6 +6,8 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dossier.llm import exact_dedup, mixing, packing, token_counts, toxicity
@@ -64,6 +66,14 @@ def test_packing_is_an_exact_round_trip(spark, odd):
     assert packing.pack(odd.limit(0), path).count() == 0
 
 
+@given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text(" \n\tabAé'’.,1²½<|endoftext|>", max_size=60))
+@settings(max_examples=1500, deadline=None)
+def test_encoder_agrees_with_the_tokenizer(text):
+    encoder = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.ranks
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def brute_copies(rows):
     groups = {}
     for r in rows:
