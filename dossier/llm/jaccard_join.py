@@ -16,12 +16,15 @@ Regions of at most LARGE documents are joined as they are, in blocks, by matrix
 product over their shingles; of a block's links, a spanning forest is kept. In
 larger ones, pivots create Voronoi cells: each
 document goes to the cell of its nearest pivot and is linked to the pivots
-within the radius. Only documents not yet in the region's largest component
-still ask; d(x, y) <= r lets x visit the cell of q only if d(x, q) <= d(x, p)
-+ 2 r for its nearest pivot p, and d(x, q) <= r + the cell's radius. Cells are
-joined recursively, with new pivots; those that don't shrink, or are LEVELS
-deep, are joined block by block. All of it is exact, and dense groups of near
-copies aren't expanded into pairs.
+within the radius. Members of one component of the region stop asking: all
+others still ask them; d(x, y) <= r lets x visit the cell of q only if
+d(x, q) <= d(x, p) + 2 r for its nearest pivot p, and d(x, q) <= r + the cell's
+radius. Cells are joined recursively, with new pivots; components count the
+pivot links of all levels, and where some members ask no more, only their own
+component may stop. A document that only visits a cell stops once all members
+are in its component. Cells that don't shrink, or are LEVELS deep, are joined
+block by block. All of it is exact, and dense groups of near copies aren't
+expanded into pairs.
 """
 
 from __future__ import annotations
@@ -305,8 +308,8 @@ def join_regions(rows: DataFrame) -> DataFrame:
     return met.select("region", "i", "j", "doc_id", "asks", "set", task.alias("task")).groupBy("task").applyInPandas(join, "a long, b long")
 
 
-def split_regions(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Links to pivots, and the cells of the regions: rows as those of ``join_regions``.
+def split_regions(rows: DataFrame, level: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to pivots, (node, component) by these and those of the levels ``before``, and the cells of the regions: rows as those of ``join_regions``.
 
     A pivot is the member of smallest hash in each of PIVOTS slots of a region.
     """
@@ -334,12 +337,18 @@ def split_regions(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     # a link needs no rounding's help here: pairs at the very radius are found with the rest
     sure = measured.select(F.col("doc_id").alias("a"), F.explode(F.filter(pairs, lambda x: x.d <= RADIUS - 1e-9)).alias("x")).select("a", F.col("x.pivots").alias("b")).where("a <> b")
     sure = materialise(sure, "jaccard-pivot-links")
-    parts = connected_components(sure)
+    edges = sure if before is None else sure.union(before.select("node", "component"))
+    parts = materialise(connected_components(edges), "jaccard-parts")
     placed = measured.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    most = placed.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "part")).alias("top")).select("region", F.col("top.part").alias("top"))
+    # what a member no longer asks, others must: so the component that stops is that of all members that don't ask, if there are any
+    held = placed.where("member").groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("asks")).alias("quiet"))
+    most = held.groupBy("region").agg(F.max(F.struct("quiet", "n", "part")).alias("top"), F.count_if("quiet").alias("quiet"), F.count(F.lit(1)).alias("parts"))
+    most = most.select("region", F.when(F.col("quiet") <= 1, F.col("top.part")).alias("top"), (F.col("parts") == 1).alias("single"))
+    # nobody asks a document that only visits: it stops when no other component is left to find
+    stops = F.coalesce(F.col("part") == F.col("top"), F.lit(False)) & (F.col("member") | F.col("single"))
     nearest = F.array_min("d")
     cell = F.get("pivots", (F.array_position("d", nearest) - 1).cast("int"))
-    placed = placed.join(most, "region").select("region", "doc_id", "member", (F.col("asks") & (F.col("part") != F.col("top"))).alias("asks"), cell.alias("cell"), nearest.alias("near"), pairs.alias("pairs"))
+    placed = placed.join(most, "region").select("region", "doc_id", "member", (F.col("asks") & ~stops).alias("asks"), cell.alias("cell"), nearest.alias("near"), pairs.alias("pairs"))
     placed = materialise(placed, "jaccard-cells")
     reach = placed.where("member").groupBy("region", "cell").agg(F.max("near").alias("reach"))
     name = F.xxhash64("region", "cell")
@@ -348,7 +357,7 @@ def split_regions(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     visit = visit.join(reach, ["region", "cell"]).where(F.col("d") <= F.col("reach") + RADIUS + 1e-9).select(name.alias("region"), "doc_id", F.lit(True).alias("asks"), F.lit(False).alias("member"))
     # a document that both stays and asks is one row
     cells = stay.unionByName(visit).groupBy("region", "doc_id").agg(F.max("asks").alias("asks"), F.max("member").alias("member"))
-    return sure, cells
+    return sure, parts, cells
 
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -391,14 +400,14 @@ def linked(rare: DataFrame, chunks: DataFrame) -> DataFrame:
     sets = chunks.select("ids", "sizes", "sets").mapInArrow(apart, "doc_id long, set binary")
     sets = materialise(sets.join(ids, "doc_id"), "jaccard-region-sets")
     rows = sets.select("region", "doc_id", F.lit(True).alias("asks"), F.lit(True).alias("member"), "set")
-    found = []
+    found, parts = [], None
     for level in range(LEVELS):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
         large = sizes.where(F.col("size") > LARGE).select("region")
         if large.isEmpty():
             break
         found.append(join_regions(rows.join(large, "region", "left_anti")))
-        sure, cells = split_regions(rows.join(large, "region"), level)
+        sure, parts, cells = split_regions(rows.join(large, "region"), level, parts)
         found.append(sure)
         rows = materialise(cells.join(sets.select("doc_id", "set"), "doc_id").select("region", "doc_id", "asks", "member", "set"), "jaccard-level")
     found.append(join_regions(rows))

@@ -73,3 +73,26 @@ def test_on_the_table(spark):
     got = sorted(map(tuple, jaccard_join.components(df).collect()))
     assert got == brute([(r.doc_id, r.text) for r in df.collect()])
     assert any(i != c for i, _, c in got)
+
+
+def chained(seed, families=12, most=70):
+    """Families of texts that each change a few words of an earlier one: a text links with hardly any but those next to it."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(families):
+        family = [[f"w{rng.randrange(10**9)}" for _ in range(100)]]
+        while len(family) < most:
+            words = list(family[rng.randrange(max(0, len(family) - 8), len(family))])
+            at = rng.randrange(4, 90)
+            words[at : at + 6] = [f"w{rng.randrange(10**9)}" for _ in range(6)]
+            family.append(words)
+        rows += [" ".join(words) for words in family]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chained_families_in_regions_that_split_again(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "LARGE", 16)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    check(spark, chained(seed))
