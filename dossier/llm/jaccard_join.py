@@ -84,7 +84,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch], most: int = CHUNK, rows: int =
     for batch in batches:
         for row, end, data, offsets in slices(batch.column(1)):
             doc, h = shingle_sets(Words(data, offsets))
-            if held and (held + len(data) > most or sum(map(len, ids)) + end - row > rows):
+            if ids and (held + len(data) > most or sum(map(len, ids)) + end - row > rows):
                 yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
                 ids, sizes, hashes, held = [], [], [], 0
             for first in range(row, end, rows):

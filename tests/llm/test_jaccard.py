@@ -96,3 +96,12 @@ def test_chained_families_in_regions_that_split_again(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard_join, "LARGE", 16)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
     check(spark, chained(seed))
+
+
+def test_a_run_of_empty_rows_before_near_copies(spark):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    empty = spark.range(70_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', CAST(null AS STRING)) AS text")
+    df = empty.union(spark.createDataFrame([(80_000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")).coalesce(1)
+    got = jaccard_join.components(df).where("n_shingles > 0").collect()
+    assert sorted(map(tuple, got)) == [(80_000, 96, 80_000), (80_001, 96, 80_000)]
