@@ -3,14 +3,15 @@
 Lines that begin with ``>`` marks are quoted; the number of marks is the
 level. Each run of one level is a passage. Passages are normalised (marks
 gone, white space collapsed, lower case) and hashed, whole and by line, and
-joined to the hashes of what messages of the conversation say themselves, each
-text standing for the first message that says it. A message replies to the
-earlier message from which the most quoted characters of its lowest level
-come, then to the latest such. Replies are then ordered below what they answer
-and written without quotes.
+joined to the hashes of what messages of the conversation say themselves. A
+message replies to the earlier message from which the most quoted characters
+of its lowest level come, then to the latest such. Every message that says a
+text is a candidate. Replies are then ordered below what they answer and
+written without quotes.
 
 No conversation is gathered in a task: links are joins on (conversation,
-hash), and threads come from pointer jumping.
+hash) in blocks of at most HOT origins and HOT quotes, and threads come from
+pointer jumping.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from dossier.llm.workdir import materialise
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Shortest line that links on its own, in characters after normalisation.
 LEAST_CHARS = 12
+#: Origins, and quotes, of one text of a conversation that meet in one task.
+HOT = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -58,26 +61,52 @@ def parse(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     return rows.select("conv_id", "turn", "role", F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("body"), runs.alias("passages"), F.aggregate(lines, F.lit(0), lambda a, x: F.greatest(a, x.level)).alias("quote_levels"))
 
 
+def _long(said: Column) -> Column:
+    return F.length(said) >= LEAST_CHARS
+
+
 def _keys(said: Column) -> Column:
-    """Normalised forms of a passage that can link: itself and its lines long enough."""
-    lines = F.filter(F.transform(F.split(said, "\n"), _norm), lambda x: F.length(x) >= LEAST_CHARS)
+    """Normalised forms of a text that can link: itself and its lines long enough."""
+    lines = F.filter(F.transform(F.split(said, "\n"), _norm), _long)
     return F.array_distinct(F.filter(F.concat(F.array(_norm(said)), lines), lambda x: x != ""))
 
 
+def _quotes(messages: DataFrame) -> DataFrame:
+    """(conv_id, at, level, k, lines): the texts that can link of each quoted passage, and the lines each stands for."""
+    first = F.array_min(F.transform("passages", lambda p: p.level))
+    rows = messages.where(F.size("passages") > 0).select("conv_id", F.col("turn").alias("at"), F.posexplode(F.filter("passages", lambda p: p.level == first)).alias("p", "passage"))
+    line = lambda x, i: F.struct(_norm(x).alias("said"), F.struct(F.col("p"), i.alias("i"), F.length(_norm(x)).alias("n")).alias("line"))
+    rows = rows.withColumn("lines", F.filter(F.transform(F.split("passage.said", "\n"), line), lambda x: x.said != ""))
+    whole = F.array(F.struct(_norm(F.col("passage.said")).alias("said"), F.col("lines.line").alias("lines")))
+    each = F.transform(F.filter("lines", lambda x: _long(x.said)), lambda x: F.struct(x.said.alias("said"), F.array(x.line).alias("lines")))
+    keys = F.filter(F.concat(whole, each), lambda x: x.said != "")
+    return rows.select("conv_id", "at", "passage.level", F.explode(keys).alias("k")).select("conv_id", "at", "level", _hashed(F.col("k.said")).alias("k"), "k.lines")
+
+
+def _hashed(said: Column) -> Column:
+    return F.struct(F.xxhash64(said).alias("h"), F.md5(said).alias("m"))
+
+
 def reply_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn): the message that each quoting message answers."""
-    hashed = lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("m"), F.length(x).alias("n"))
-    said = messages.select("conv_id", "turn", F.explode(F.transform(_keys(F.col("body")), hashed)).alias("k"))
-    first = F.array_min(F.transform("passages", lambda p: p.level))
-    top = F.filter("passages", lambda p: p.level == F.col("least"))
-    quotes = messages.where(F.size("passages") > 0).select("conv_id", "turn", "passages", first.alias("least"))
-    quotes = quotes.select("conv_id", F.col("turn").alias("at"), F.explode(F.array_distinct(F.transform(F.flatten(F.transform(top, lambda p: _keys(p.said))), hashed))).alias("k"))
-    # one origin for each text of a conversation, so a common line doesn't multiply
-    said = said.groupBy("conv_id", "k.h", "k.m").agg(F.min("turn").alias("turn"))
-    quotes = quotes.select("conv_id", "at", "k.h", "k.m", "k.n").distinct()
-    found = quotes.join(said, ["conv_id", "h", "m"]).where("turn < at")
-    votes = found.groupBy("conv_id", "at", "turn").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("conv_id", "at").agg(F.max(F.struct("n", "turn")).alias("best"))
+    key = ["conv_id", "h", "m"]
+    quotes = materialise(_quotes(messages).select("conv_id", "at", "level", "k.h", "k.m", "lines").distinct(), "chat-quotes")
+    if quotes.isEmpty():
+        return quotes.select("conv_id", F.col("at").alias("turn"), F.col("at").alias("parent_turn"))
+    said = messages.select("conv_id", "turn", F.explode(F.transform(_keys(F.col("body")), _hashed)).alias("k")).select("conv_id", "turn", "k.h", "k.m").distinct()
+    said = materialise(said.join(quotes.select(key).distinct(), key, "left_semi"), "chat-origins")
+    # a text said and quoted often is dealt out in blocks; no origin is left out
+    count = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias(name))
+    blocks = count(said, "saying").join(count(quotes, "quoting"), key)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda by, c: F.pmod(F.xxhash64(by), F.col(c)).cast("int")
+    one = said.join(blocks, key).select(*key, "turn", own("turn", "saying").alias("i"), every("quoting").alias("j"))
+    two = quotes.join(blocks, key).select(*key, "at", "level", "lines", own("at", "quoting").alias("j"), every("saying").alias("i"))
+    found = two.join(one, [*key, "i", "j"]).where("turn < at")
+    # a line counts once for a candidate, by whatever texts it was found
+    votes = found.groupBy("conv_id", "at", "level", "turn").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
+    votes = votes.select("conv_id", "at", (-F.col("level")).alias("shallow"), F.aggregate("lines.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), "turn")
+    best = votes.groupBy("conv_id", "at").agg(F.max(F.struct("shallow", "n", "turn")).alias("best"))
     return best.select("conv_id", F.col("at").alias("turn"), F.col("best.turn").alias("parent_turn"))
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from dossier.llm import chat_format, components, embedding_dedup
 
@@ -102,3 +103,25 @@ def test_a_long_chain_of_quotes(spark):
     rows = [(1, i, "user", (f"> message number {i - 1} of the chain\n" if i else "") + f"message number {i} of the chain") for i in range(40)]
     got = chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.turn, r.root_turn, r.depth) for r in got) == [(i, 0, i) for i in range(40)]
+
+
+def parents(spark, texts):
+    rows = [(1, turn, "user", text) for turn, text in texts]
+    got = chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    return {r.turn: r.parent_turn for r in got}
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_every_origin_of_a_quoted_text_counts(spark, monkeypatch, hot):
+    monkeypatch.setattr(chat_format, "HOT", hot)
+    one, two, three = "the first line is by far the longest of them", "the second line here", "a third line here"
+    texts = [(2, one), (8, f"{one}\n{two}\n{three}"), (9, f"> {one}\n> {two}\nyes")]
+    texts += [(turn, "Could you send me the form?") for turn in (20, 22, 24, 26, 30)]
+    texts += [(turn, f"> could you send me the form?\nreply {turn}") for turn in (21, 25, 27, 28, 31)]
+    got = parents(spark, texts)
+    assert {turn: at for turn, at in got.items() if at is not None} == {9: 8, 21: 20, 25: 24, 27: 26, 28: 26, 31: 30}
+
+
+def test_a_line_found_twice_counts_once(spark):
+    got = parents(spark, [(0, "first of the two lines\nsecond of the two lines"), (1, "zero line of a few\nfirst of the two lines\nsecond of the two lines"), (2, "> first of the two lines\n> second of the two lines")])
+    assert got[2] == 1
