@@ -2,10 +2,11 @@
 
 Lines that begin with ``>`` marks are quoted; the number of marks is the
 level. Each run of one level is a passage. Passages are normalised (marks
-gone, white space collapsed, lower case) and hashed, whole and by line, and
-joined to the hashes of what messages of the conversation say themselves. A
-message replies to the earlier message from which the most quoted characters
-of its lowest level come, then to the latest such. Every message that says a
+gone, white space collapsed, lower case) and hashed, whole, by paragraph and
+by line, and joined to the hashes of what messages of the conversation say
+themselves. A message replies to the earlier message from which the most
+quoted characters of its lowest level come, then to the latest such; where no
+text of a level is known, the next level decides. Every message that says a
 text is a candidate. Replies are then ordered below what they answer and
 written without quotes.
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from dossier.llm.workdir import materialise
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
-#: Shortest line that links on its own, in characters after normalisation.
-LEAST_CHARS = 12
+#: Between paragraphs.
+BLANK = r"\n[\x20\x09-\x0D]*\n"
 #: Origins, and quotes, of one text of a conversation that meet in one task.
 HOT = 1000
 
@@ -42,9 +43,10 @@ def _norm(said: Column) -> Column:
 
 
 def parse(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, role, body, passages, depth_quoted): what a message says itself and what it quotes.
+    """(conv_id, turn, role, body, own, passages, quote_levels): what a message says itself and what it quotes.
 
-    ``passages`` holds (level, text) of each run of lines of one level.
+    ``passages`` holds (level, text) of each run of lines of one level,
+    ``own`` the text between them where there are any.
     """
     lines = F.col("lines")
     rows = df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), _lines(F.col(text)).alias("lines"))
@@ -57,29 +59,28 @@ def parse(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
         return F.when((F.size(acc) > 0) & (last.level == x.level), grown).otherwise(F.array_append(acc, F.struct(x.level.alias("level"), x.said.alias("said"))))
 
     quoted = F.exists(lines, lambda x: x.level > 0)
-    runs = F.when(quoted, F.filter(F.aggregate(lines, start, fold), lambda x: x.level > 0)).otherwise(start)
-    return rows.select("conv_id", "turn", "role", F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("body"), runs.alias("passages"), F.aggregate(lines, F.lit(0), lambda a, x: F.greatest(a, x.level)).alias("quote_levels"))
-
-
-def _long(said: Column) -> Column:
-    return F.length(said) >= LEAST_CHARS
+    rows = rows.withColumn("runs", F.when(quoted, F.aggregate(lines, start, fold)).otherwise(start))
+    runs = F.filter("runs", lambda x: x.level > 0)
+    between = F.transform(F.filter("runs", lambda x: x.level == 0), lambda x: x.said)
+    return rows.select("conv_id", "turn", "role", F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("body"), between.alias("own"), runs.alias("passages"), F.aggregate(lines, F.lit(0), lambda a, x: F.greatest(a, x.level)).alias("quote_levels"))
 
 
 def _keys(said: Column) -> Column:
-    """Normalised forms of a text that can link: itself and its lines long enough."""
-    lines = F.filter(F.transform(F.split(said, "\n"), _norm), _long)
-    return F.array_distinct(F.filter(F.concat(F.array(_norm(said)), lines), lambda x: x != ""))
+    """Normalised forms of a text that can link: itself, its paragraphs and its lines."""
+    parts = F.transform(F.concat(F.array(said), F.split(said, BLANK), F.split(said, "\n")), _norm)
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
 def _quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, at, level, k, lines): the texts that can link of each quoted passage, and the lines each stands for."""
-    first = F.array_min(F.transform("passages", lambda p: p.level))
-    rows = messages.where(F.size("passages") > 0).select("conv_id", F.col("turn").alias("at"), F.posexplode(F.filter("passages", lambda p: p.level == first)).alias("p", "passage"))
-    line = lambda x, i: F.struct(_norm(x).alias("said"), F.struct(F.col("p"), i.alias("i"), F.length(_norm(x)).alias("n")).alias("line"))
-    rows = rows.withColumn("lines", F.filter(F.transform(F.split("passage.said", "\n"), line), lambda x: x.said != ""))
+    rows = messages.where(F.size("passages") > 0).select("conv_id", F.col("turn").alias("at"), F.posexplode("passages").alias("p", "passage"))
+    line = lambda j: lambda x, i: F.struct(_norm(x).alias("said"), F.struct(F.col("p"), j.alias("j"), i.alias("i"), F.length(_norm(x)).alias("n")).alias("line"))
+    part = lambda x, j: F.struct(_norm(x).alias("said"), F.filter(F.transform(F.split(x, "\n"), line(j)), lambda y: y.said != "").alias("lines"))
+    rows = rows.withColumn("parts", F.transform(F.split("passage.said", BLANK), part)).withColumn("lines", F.flatten("parts.lines"))
     whole = F.array(F.struct(_norm(F.col("passage.said")).alias("said"), F.col("lines.line").alias("lines")))
-    each = F.transform(F.filter("lines", lambda x: _long(x.said)), lambda x: F.struct(x.said.alias("said"), F.array(x.line).alias("lines")))
-    keys = F.filter(F.concat(whole, each), lambda x: x.said != "")
+    parts = F.transform("parts", lambda x: F.struct(x.said.alias("said"), F.transform(x.lines, lambda y: y.line).alias("lines")))
+    each = F.transform("lines", lambda x: F.struct(x.said.alias("said"), F.array(x.line).alias("lines")))
+    keys = F.array_distinct(F.filter(F.concat(whole, parts, each), lambda x: x.said != ""))
     return rows.select("conv_id", "at", "passage.level", F.explode(keys).alias("k")).select("conv_id", "at", "level", _hashed(F.col("k.said")).alias("k"), "k.lines")
 
 
@@ -93,7 +94,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
     quotes = materialise(_quotes(messages).select("conv_id", "at", "level", "k.h", "k.m", "lines").distinct(), "chat-quotes")
     if quotes.isEmpty():
         return quotes.select("conv_id", F.col("at").alias("turn"), F.col("at").alias("parent_turn"))
-    said = messages.select("conv_id", "turn", F.explode(F.transform(_keys(F.col("body")), _hashed)).alias("k")).select("conv_id", "turn", "k.h", "k.m").distinct()
+    said = messages.select("conv_id", "turn", F.explode(F.transform(F.array_distinct(F.flatten(F.transform(F.concat(F.array("body"), "own"), _keys))), _hashed)).alias("k")).select("conv_id", "turn", "k.h", "k.m").distinct()
     said = materialise(said.join(quotes.select(key).distinct(), key, "left_semi"), "chat-origins")
     # a text said and quoted often is dealt out in blocks; no origin is left out
     count = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias(name))

@@ -125,3 +125,17 @@ def test_every_origin_of_a_quoted_text_counts(spark, monkeypatch, hot):
 def test_a_line_found_twice_counts_once(spark):
     got = parents(spark, [(0, "first of the two lines\nsecond of the two lines"), (1, "zero line of a few\nfirst of the two lines\nsecond of the two lines"), (2, "> first of the two lines\n> second of the two lines")])
     assert got[2] == 1
+
+
+def test_short_lines_paragraphs_and_deeper_levels_link(spark):
+    texts = [
+        (0, "Here is my plan.\nYes please\nCall me later."),
+        (1, "> Yes please\nfine"),
+        (2, "Intro words first.\n\nThis paragraph runs over\ntwo lines of text.\n \nGoodbye for now."),
+        (3, "> This paragraph\n> runs over two lines\n> of text.\nagreed"),
+        (4, "> words that nobody said\n>> Goodbye for now.\nhm"),
+        (5, "A wrapped\nanswer\n> Yes please\nand its end"),
+        (6, "> A wrapped answer\nso it is"),
+        (7, "> nobody\n>> knows"),
+    ]
+    assert parents(spark, texts) == {0: None, 1: 0, 2: None, 3: 2, 4: 2, 5: 0, 6: 5, 7: None}
