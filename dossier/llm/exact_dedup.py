@@ -1,16 +1,18 @@
-"""Exact deduplication with an extendible-hash index on shared files.
-
-Keys are 64-bit hashes of normalised texts. A directory over the hash's first
-bits is doubled until no bucket holds more than ``capacity`` distinct keys, or
-the directory has its full depth; overfull buckets then chain. The index, one
-entry per distinct text, is written to the shared folder in key ranges of
-whole buckets, each owned by one task. Within an entry's chain, equal hashes
-are told apart by the SHA-256 digest and length of the normalised bytes, so
-texts with colliding hashes stay apart.
-
-Only built-in expressions are used. Copies are pre-aggregated before any
-shuffle, and the lookup of rows in the index is a plain equi-join whose hot
-keys adaptive execution splits.
+"""Exact deduplication by a hash aggregate, with its index in files ordered by an extendible-hash directory.
+
+Groups come from a plain aggregate on the 64-bit hash, SHA-256 digest and
+length of the normalised bytes, so texts with colliding hashes stay apart;
+the digest stands for the bytes, which no task compares. Rows find their group
+by an equi-join on the same, whose hot keys adaptive execution splits. Copies
+are pre-aggregated before any shuffle, and texts are never shuffled: comparing
+bytes in a bucket's owner would need them there.
+
+The index, one entry per distinct text, is written to the shared folder in
+key ranges of buckets. A directory over the hash's first bits is doubled
+until no bucket holds more than ``capacity`` distinct keys, or it has its full
+depth. It only orders the files; the result doesn't depend on it.
+
+Only built-in expressions are used.
 """
 
 from __future__ import annotations
