@@ -1,6 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by content-defined factors, in place of relative Lempel-Ziv parsing.
 
-Documents are parsed into factors that every part of the corpus cuts alike: a
+Nothing is parsed greedily against reference blocks: phrase bounds would depend
+on the text before them, so each document would have to visit each block.
+Documents are cut into factors that every part of the corpus cuts alike: a
 20-word window belongs to the seed of smallest hash among its 8-word runs, and
 a factor is the stretch of windows that share one seed. Factors whose seed no
 other factor has are dropped at once. The rest, indexed by hash, are the
