@@ -7,8 +7,8 @@ and characters agree on where words end.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,6 @@ U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _M1 = U(0xBF58476D1CE4E5B9)
 _M2 = U(0x94D049BB133111EB)
-_BASE = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,29 +34,17 @@ def pair_hash(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     return mix(a * _ODD + (b ^ (b >> U(29))) * _M2 + U(salt))
 
 
-@lru_cache(maxsize=None)
-def _bytes_table(lower: bool) -> np.ndarray:
-    codes = np.arange(256)
-    if lower:
-        codes = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
-    return mix((codes.astype(U) + U(1)) * _ODD)
+def _lower_table() -> np.ndarray:
+    codes = np.arange(256, dtype=np.uint8)
+    codes[65:91] += 32
+    return codes
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=U)
-        if size > 1 << 22:  # an extremely long text: don't keep its tables
-            up, down = _powers.pop("up"), _powers.pop("down")
-            return up, down
-    return _powers["up"], _powers["down"]
+_LOWER = _lower_table()
+#: Of eight little-endian bytes, those of a word of that many bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+#: Bytes of a word that are hashed for all words at once; longer words are hashed one by one.
+_STEPS = 8
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,30 +104,49 @@ class Words:
         """For each word, the index of its text within the run."""
         return np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), self.counts())
 
-    def _sums(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-        up, down = _power_tables(len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, dtype=U)
-        sums[0] = 0
-        np.cumsum(_bytes_table(lower)[self.data] * up[: len(self.data)], out=sums[1:])
-        return sums, down
-
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the words, A-Z folded to a-z if ``lower``."""
-        sums, down = self._sums(lower)
-        size = (self.ends - self.starts).astype(U)
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + size * _ODD)
+    def hashes(self, lower: bool = False, seed: int = 0, size: int | None = None) -> np.ndarray:
+        """64-bit hashes of the words, A-Z folded to a-z if ``lower``; of their first ``size`` (1 to 8) bytes if given.
+
+        Eight bytes at a time go through a finaliser that isn't linear in any
+        ring, so words made of repeated patterns don't meet. Different seeds
+        give independent hashes.
+        """
+        data = _LOWER[self.data] if lower else self.data
+        length = self.ends - self.starts
+        if size:
+            length = np.minimum(length, size)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+        h = mix(length.astype(U) * _ODD + U(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        at, left, rows = self.starts, length, slice(None)
+        for step in range(_STEPS):
+            h[rows] = mix(h[rows] ^ (eight[at] & _KEEP[np.minimum(left, 8)]) * _ODD)
+            rows = np.flatnonzero(length > 8 * (step + 1))
+            if not len(rows):
+                return h
+            at, left = self.starts[rows] + 8 * (step + 1), length[rows] - 8 * (step + 1)
+        raw, key = data.data, seed.to_bytes(8, "little")
+        for k in rows.tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(raw[self.starts[k] : self.ends[k]], digest_size=8, key=key).digest(), "little")
+        return h
 
     def prefix_hashes(self, sizes: tuple[int, ...], lower: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each size (0: the whole word), (word indices, hashes of that many first bytes)."""
-        sums, down = self._sums(lower)
         found = []
         for size in sizes:
-            at = np.arange(len(self.starts)) if not size else np.flatnonzero(self.ends - self.starts > size)
-            ends = self.ends[at] if not size else self.starts[at] + size
-            width = (ends - self.starts[at]).astype(U)
-            found.append((at, mix((sums[ends] - sums[self.starts[at]]) * down[self.starts[at]] + width * _ODD)))
+            at = np.flatnonzero(self.ends - self.starts > size)
+            found.append((at, self.hashes(lower, size=size or None)[at]))
         return found
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, starts): all words, each followed by one space, and where each begins; the last start is the end."""
+        length = self.ends - self.starts
+        at = np.concatenate([[0], np.cumsum(length + 1)])
+        out = np.full(int(at[-1]), 32, np.uint8)
+        step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(at[:-1], length) + step] = self.data[np.repeat(self.starts, length) + step]
+        return out, at
+
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False

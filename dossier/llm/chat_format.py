@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Between paragraphs.
@@ -88,14 +88,14 @@ def _hashed(said: Column) -> Column:
     return F.struct(F.xxhash64(said).alias("h"), F.md5(said).alias("m"))
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
+def reply_links(messages: DataFrame, space: Workspace) -> DataFrame:
     """(conv_id, turn, parent_turn): the message that each quoting message answers."""
     key = ["conv_id", "h", "m"]
-    quotes = materialise(_quotes(messages).select("conv_id", "at", "level", "k.h", "k.m", "lines").distinct(), "chat-quotes")
+    quotes = space.table(_quotes(messages).select("conv_id", "at", "level", "k.h", "k.m", "lines").distinct(), "chat-quotes")
     if quotes.isEmpty():
         return quotes.select("conv_id", F.col("at").alias("turn"), F.col("at").alias("parent_turn"))
     said = messages.select("conv_id", "turn", F.explode(F.transform(F.array_distinct(F.flatten(F.transform(F.concat(F.array("body"), "own"), _keys))), _hashed)).alias("k")).select("conv_id", "turn", "k.h", "k.m").distinct()
-    said = materialise(said.join(quotes.select(key).distinct(), key, "left_semi"), "chat-origins")
+    said = space.table(said.join(quotes.select(key).distinct(), key, "left_semi"), "chat-origins")
     # a text said and quoted often is dealt out in blocks; no origin is left out
     count = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias(name))
     blocks = count(said, "saying").join(count(quotes, "quoting"), key)
@@ -111,18 +111,18 @@ def reply_links(messages: DataFrame) -> DataFrame:
     return best.select("conv_id", F.col("at").alias("turn"), F.col("best.turn").alias("parent_turn"))
 
 
-def threads(links: DataFrame) -> DataFrame:
+def threads(links: DataFrame, space: Workspace) -> DataFrame:
     """(conv_id, turn, root_turn, depth) of every linked message, by pointer jumping."""
-    at = materialise(links.select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "chat-threads")
+    at = space.table(links.select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "chat-threads")
     while True:
         up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"))
-        new = materialise(at.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")), "chat-threads")
+        new = space.table(at.join(up, ["conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")), "chat-threads")
         at = new.drop("moved")
         if new.where("moved").isEmpty():
             return at
 
 
-def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", space: Workspace | None = None) -> DataFrame:
     """Per message: conv_id, turn, role, parent_turn, root_turn, depth, quote_levels, n_passages, body, formatted.
 
     Reading a conversation in the order (root_turn, turn) puts every reply
@@ -132,9 +132,10 @@ def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     rows repeated with their turn keep a row each and answer alike. Other
     columns are ignored.
     """
-    messages = materialise(parse(df, conv, turn, role, text), "chat-messages")
-    links = materialise(reply_links(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")), "chat-links")
-    found = threads(links).join(links, ["conv_id", "turn"]) if not links.isEmpty() else links.withColumn("root_turn", F.col("parent_turn")).withColumn("depth", F.lit(1).cast("long"))
+    space = space or Workspace(df.sparkSession)
+    messages = space.table(parse(df, conv, turn, role, text), "chat-messages")
+    links = space.table(reply_links(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL"), space), "chat-links")
+    found = threads(links, space).join(links, ["conv_id", "turn"]) if not links.isEmpty() else links.withColumn("root_turn", F.col("parent_turn")).withColumn("depth", F.lit(1).cast("long"))
     # null keys never match, so such messages stay as they are
     out = messages.join(found, ["conv_id", "turn"], "left")
     marked = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "body", F.lit("\n<|end|>"))

@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by local forests and alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -9,44 +9,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
+#: Edges that a task holds at once.
+PART = 200_000
 
-#: Edges that one task solves on its own.
-FEW = 20_000
 
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
+def connected_components(edges: DataFrame, space: Workspace, a: str = "a", b: str = "b", part: int = PART) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge with two ends.
 
-    A round joins each edge with its ends' smallest neighbours. Those come from
-    pre-aggregated minima, and hot nodes are on one side of an equi-join only,
-    so adaptive execution can split them. Rounds are logarithmic in practice;
-    each is written to the shared folder. No more than ``few`` edges are solved
-    in one task instead.
+    A round first replaces the edges of each partition by a forest, so each
+    task solves what it holds; with all edges in one partition that is the
+    answer. Otherwise each edge then meets its ends' smallest neighbours, which
+    come from pre-aggregated minima; hot nodes are on one side of an equi-join
+    only, so adaptive execution can split them. Rounds are logarithmic in
+    practice; each is written to the shared folder.
     """
 
     def tidy(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    edges = materialise(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "components")
-    seen = None
-    while (size := edges.count()) > few:
+    edges = space.table(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "components")
+    size, seen = edges.count(), None
+    while True:
+        parts = -(-size // part)
+        local = (edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "a", "b")).mapInPandas(_solve, "a long, b long")
+        local = space.table(local, "components")
+        space.drop(edges)
+        edges = local
+        if parts <= 1:
+            break
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = tidy(both.where("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).toDF("a", "b"))
         # small star: smaller neighbours and the node itself move to the smallest
-        large = materialise(large, "components")
+        large = space.table(large, "components")
+        space.drop(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(least.select("a", "m").toDF("x", "y"))
-        edges = materialise(tidy(moved.toDF("a", "b")), "components")
+        edges = space.table(tidy(moved.toDF("a", "b")), "components")
+        space.drop(large)
         now = _digest(edges)
         if now == seen:
             break
-        seen = now
-    if size <= few:
-        edges = edges.coalesce(1).mapInPandas(_solve, "a long, b long")
+        size, seen = now[0], now
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(edges.select("b", "b").distinct().toDF("node", "component"))
 
 
@@ -69,11 +76,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [p for p in parts if len(p)]
-    if parts:
-        pdf = pd.concat(parts)
-        node, least = forest(pdf["a"].to_numpy(), pdf["b"].to_numpy())
-        yield pd.DataFrame({"a": node, "b": least})
+    """The forest of a partition's edges, which are added to it batch by batch."""
+    node = least = np.zeros(0, np.int64)
+    for pdf in parts:
+        node, least = forest(np.concatenate([node, pdf["a"].to_numpy()]), np.concatenate([least, pdf["b"].to_numpy()]))
+    yield pd.DataFrame({"a": node, "b": least})
 
 
 def _digest(df: DataFrame) -> tuple:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 COSINE = 0.98
 #: Vectors that centroids and codebooks are fitted on, at most.
@@ -118,7 +118,7 @@ def unit_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     return rows.mapInArrow(norm, "vec_id long, label long, unit binary")
 
 
-def link_classes(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def link_classes(classes: DataFrame, space: Workspace, cosine: float = COSINE) -> DataFrame:
     """(a, b, n): pairs of linked classes, a <> b, both ways, with the rows of class b."""
     spark = classes.sparkSession
     # lengths of vectors: each is a space of its own; one row per dimension
@@ -149,7 +149,7 @@ def link_classes(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                     )
 
     schema = "dim int, label long, list int, member boolean, id long, n long, unit binary, codes binary, error double"
-    spread_out = materialise(classes.mapInArrow(spread, schema), "embedding-lists")
+    spread_out = space.table(classes.mapInArrow(spread, schema), "embedding-lists")
     # at most LISTS rows for each label and dimension: blocks of a list's members
     sizes = spread_out.where("member").groupBy("dim", "label", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = spread_out.where("member").join(sizes, ["dim", "label", "list"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -179,7 +179,7 @@ def link_classes(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     return met.groupBy("dim", "label", "list", "block").applyInPandas(meet, "a long, b long, n long")
 
 
-def near_duplicates(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_duplicates(df: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", space: Workspace | None = None) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors link within a label at a cosine of ``cosine`` or more. Null labels
@@ -188,10 +188,11 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, key: str = "vec_id",
     are one class, so groups of copies aren't expanded into pairs. Repeated
     ids count as vectors of their own; other columns are ignored.
     """
-    rows = materialise(unit_vectors(df, key, vector, label), "embedding-units")
-    classes = materialise(rows.where("unit IS NOT NULL").groupBy("label", "unit").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "embedding-classes")
-    links = materialise(link_classes(classes, cosine), "embedding-links")
-    parts = connected_components(links)
+    space = space or Workspace(df.sparkSession)
+    rows = space.table(unit_vectors(df, key, vector, label), "embedding-units")
+    classes = space.table(rows.where("unit IS NOT NULL").groupBy("label", "unit").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "embedding-classes")
+    links = space.table(link_classes(classes, space, cosine), "embedding-links")
+    parts = connected_components(links, space)
     more = links.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
     found = classes.join(more, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
     found = found.select("label", "unit", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

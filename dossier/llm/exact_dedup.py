@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 #: Bits of the directory at full depth: at most 4,096 entries on the driver.
 DEPTH = 12
@@ -56,18 +56,18 @@ def entries(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return rows.select("doc_id", h.alias("h"), F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").alias("n_norm"), "n_chars", F.shiftrightunsigned(h, 64 - DEPTH).cast("int").alias("prefix"))
 
 
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def build_index(rows: DataFrame, space: Workspace, capacity: int = CAPACITY) -> DataFrame:
     """(bucket, h, digest, n_norm, keep_id, group_size), one row per distinct text, in files by key range."""
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"))).alias("best")
     one = rows.groupBy("prefix", "h", "digest", "n_norm").agg(best, F.count(F.lit(1)).alias("group_size"))
-    one = materialise(one.select("prefix", "h", "digest", "n_norm", (-F.col("best.minus_id")).alias("keep_id"), "group_size"), "dedup-keys")
+    one = space.table(one.select("prefix", "h", "digest", "n_norm", (-F.col("best.minus_id")).alias("keep_id"), "group_size"), "dedup-keys")
     counts = {r.prefix: r.n for r in one.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}
     buckets = [(p, at) for at, local in directory(counts, capacity=capacity) for p in range(at, at + (1 << (DEPTH - local)))]
     table = one.sparkSession.createDataFrame(buckets, "prefix int, bucket int")
     return one.join(F.broadcast(table), "prefix").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "digest")
 
 
-def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, space: Workspace | None = None) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows are copies when their texts are equal without ``[\\x20\\x09-\\x0D]``.
@@ -75,8 +75,9 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", capacity
     empty; other columns are ignored. Rows repeated with their key belong to
     one group; all rows that carry the kept key are marked kept.
     """
-    rows = materialise(entries(df, text, key), "dedup-entries")
-    index = materialise(build_index(rows, capacity), "dedup-index")
+    space = space or Workspace(df.sparkSession)
+    rows = space.table(entries(df, text, key), "dedup-entries")
+    index = space.table(build_index(rows, space, capacity), "dedup-index")
     found = rows.join(index.select("h", "digest", "n_norm", "keep_id", "group_size"), ["h", "digest", "n_norm"])
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.arrowtext import U, Words, mix, ngram_hashes, pair_hash, slices
 from dossier.llm.components import connected_components, forest
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 SHINGLE = 5
 #: Links: DEN * |intersection| >= NUM * |union|.
@@ -308,7 +308,7 @@ def join_regions(rows: DataFrame) -> DataFrame:
     return met.select("region", "i", "j", "doc_id", "asks", "set", task.alias("task")).groupBy("task").applyInPandas(join, "a long, b long")
 
 
-def split_regions(rows: DataFrame, level: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_regions(rows: DataFrame, space: Workspace, level: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links to pivots, (node, component) by these and those of the levels ``before``, and the cells of the regions: rows as those of ``join_regions``.
 
     A pivot is the member of smallest hash in each of PIVOTS slots of a region.
@@ -316,7 +316,7 @@ def split_regions(rows: DataFrame, level: int, before: DataFrame | None = None)
     draw = F.xxhash64("doc_id", F.lit(level))
     slot = F.pmod(draw, F.lit(PIVOTS)).cast("int")
     pivots = rows.where("member").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "doc_id")).alias("p")).select("region", F.col("p.doc_id").alias("doc_id"))
-    pivots = materialise(rows.where("member").select("region", "doc_id", "set").join(pivots, ["region", "doc_id"]), "jaccard-pivots")
+    pivots = space.table(rows.where("member").select("region", "doc_id", "set").join(pivots, ["region", "doc_id"]), "jaccard-pivots")
     salts = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("salts"))
     salted = rows.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("salts")).cast("int"))
     spread = pivots.join(salts, "region").select("region", "doc_id", "set", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -332,13 +332,13 @@ def split_regions(rows: DataFrame, level: int, before: DataFrame | None = None)
 
     schema = "region long, doc_id long, asks boolean, member boolean, pivots array<long>, d array<double>"
     keyed = salted.select("region", "salt", "doc_id", "asks", "member", "set").groupBy("region", "salt")
-    measured = materialise(keyed.cogroup(spread.groupBy("region", "salt")).applyInPandas(measure, schema), "jaccard-distances")
+    measured = space.table(keyed.cogroup(spread.groupBy("region", "salt")).applyInPandas(measure, schema), "jaccard-distances")
     pairs = F.arrays_zip("pivots", "d")
     # a link needs no rounding's help here: pairs at the very radius are found with the rest
     sure = measured.select(F.col("doc_id").alias("a"), F.explode(F.filter(pairs, lambda x: x.d <= RADIUS - 1e-9)).alias("x")).select("a", F.col("x.pivots").alias("b")).where("a <> b")
-    sure = materialise(sure, "jaccard-pivot-links")
+    sure = space.table(sure, "jaccard-pivot-links")
     edges = sure if before is None else sure.union(before.select("node", "component"))
-    parts = materialise(connected_components(edges), "jaccard-parts")
+    parts = space.table(connected_components(edges, space), "jaccard-parts")
     placed = measured.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     # what a member no longer asks, others must: so the component that stops is that of all members that don't ask, if there are any
     held = placed.where("member").groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("asks")).alias("quiet"))
@@ -349,7 +349,7 @@ def split_regions(rows: DataFrame, level: int, before: DataFrame | None = None)
     nearest = F.array_min("d")
     cell = F.get("pivots", (F.array_position("d", nearest) - 1).cast("int"))
     placed = placed.join(most, "region").select("region", "doc_id", "member", (F.col("asks") & ~stops).alias("asks"), cell.alias("cell"), nearest.alias("near"), pairs.alias("pairs"))
-    placed = materialise(placed, "jaccard-cells")
+    placed = space.table(placed, "jaccard-cells")
     reach = placed.where("member").groupBy("region", "cell").agg(F.max("near").alias("reach"))
     name = F.xxhash64("region", "cell")
     stay = placed.where("member").select(name.alias("region"), "doc_id", F.lit(False).alias("asks"), F.lit(True).alias("member"))
@@ -360,7 +360,7 @@ def split_regions(rows: DataFrame, level: int, before: DataFrame | None = None)
     return sure, parts, cells
 
 
-def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def components(df: DataFrame, text: str = "text", key: str = "doc_id", space: Workspace | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Documents link when 100 * |intersection| >= 80 * |union| of their sets of
@@ -368,24 +368,25 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     blank texts have no shingles and link with nothing. Rows that repeat an id
     each get a row. Other columns are ignored.
     """
+    space = space or Workspace(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
-    known = materialise(survey(docs, max(8, size // BUCKET)), "jaccard-survey")
+    known = space.table(survey(docs, max(8, size // BUCKET)), "jaccard-survey")
     classes = known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     alive = known.where("alive").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    chunks = materialise(set_chunks(docs.join(alive, "doc_id").select("doc_id", "text")), "jaccard-sets")
+    chunks = space.table(set_chunks(docs.join(alive, "doc_id").select("doc_id", "text")), "jaccard-sets")
     held = chunks.agg(F.sum(F.octet_length("sets").cast("long")).alias("n")).first().n or 0
-    rare = materialise(rare_shingles(chunks, max(8, held // BUCKET)), "jaccard-rare")
-    links = materialise(linked(rare, chunks), "jaccard-links")
-    parts = connected_components(links).select(F.col("node").alias("rep"), "component")
+    rare = space.table(rare_shingles(chunks, max(8, held // BUCKET)), "jaccard-rare")
+    links = space.table(linked(rare, chunks, space), "jaccard-links")
+    parts = connected_components(links, space).select(F.col("node").alias("rep"), "component")
     named = classes.join(parts, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return known.join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def linked(rare: DataFrame, chunks: DataFrame) -> DataFrame:
+def linked(rare: DataFrame, chunks: DataFrame, space: Workspace) -> DataFrame:
     """(a, b): links enough to give the components of all."""
     least = rare.groupBy("h").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("c")).where("b <> c").select("h", "b")
-    regions = connected_components(rare.join(least, "h").select(F.col("doc_id").alias("a"), "b"))
+    regions = connected_components(rare.join(least, "h").select(F.col("doc_id").alias("a"), "b"), space)
     ids = regions.select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +399,7 @@ def linked(rare: DataFrame, chunks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own[first : first + 500]), pa.array([raw[ends[i] - sizes[i] * 8 : ends[i]] for i in here], pa.binary())], ["doc_id", "set"])
 
     sets = chunks.select("ids", "sizes", "sets").mapInArrow(apart, "doc_id long, set binary")
-    sets = materialise(sets.join(ids, "doc_id"), "jaccard-region-sets")
+    sets = space.table(sets.join(ids, "doc_id"), "jaccard-region-sets")
     rows = sets.select("region", "doc_id", F.lit(True).alias("asks"), F.lit(True).alias("member"), "set")
     found, parts = [], None
     for level in range(LEVELS):
@@ -407,9 +408,9 @@ def linked(rare: DataFrame, chunks: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         found.append(join_regions(rows.join(large, "region", "left_anti")))
-        sure, parts, cells = split_regions(rows.join(large, "region"), level, parts)
+        sure, parts, cells = split_regions(rows.join(large, "region"), space, level, parts)
         found.append(sure)
-        rows = materialise(cells.join(sets.select("doc_id", "set"), "doc_id").select("region", "doc_id", "asks", "member", "set"), "jaccard-level")
+        rows = space.table(cells.join(sets.select("doc_id", "set"), "doc_id").select("region", "doc_id", "asks", "member", "set"), "jaccard-level")
     found.append(join_regions(rows))
     out = found[0]
     for more in found[1:]:

@@ -1,16 +1,23 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity; a table of fixed
-size holds a rarity code for each hash bucket of words, and code 0 means that
-no word of the bucket is in two lines. A word becomes one number, its code
-above 56 bits of its hash, so sorting numbers sorts words by rarity. The order
-need only be the same everywhere for the filters to be exact.
-
-Lines of equal sets are one class, standing at its first place. Sets of n
-words link at a Jaccard similarity of 0.8 only if they share one of their
-floor(n / 5) + 1 rarest words (prefix filter), their sizes are within 4:5
-(length filter), and the words from a shared one on suffice (positional
-filter). Candidates are verified on the whole sets.
+A line is the set of its words. Words are ordered by rarity: a table of fixed
+size holds a code for each hash bucket of words, the higher the more often the
+most frequent word of the bucket occurs. A word becomes one number, its code
+above 56 bits of its hash, so sorting numbers sorts words by rarity. Words
+that occur less often than the table can hold have code 0; the order need only
+be the same everywhere for the filters to be exact.
+
+Lines of equal sets are one class, standing at its first place; classes are
+numbered in the order of places. Sets of n words link at a Jaccard similarity
+of 0.8 only if they share one of their floor(n / 5) + 1 rarest words (prefix
+filter), their sizes are within 4:5 (length filter), and the words from a
+shared one on suffice (positional filter). Candidates are verified on the
+words themselves.
+
+Only the question whether an earlier line links matters. So each class first
+meets the earliest class for each word of its prefix, which is one candidate a
+word, however many lines share it; only classes that link with none of these
+go on to meet all earlier classes with a word of their prefix.
 
 Only built-in expressions are used. The table reaches the expressions as a
 scalar subquery; the joins are plain equi-joins on words and classes.
@@ -18,113 +25,148 @@ scalar subquery; the joins are plain equi-joins on words and classes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
-#: Buckets of the rarity table: a power of two up to MOST_BUCKETS, one byte each.
+#: Entries of the rarity table, one byte each: a power of two up to MOST_BUCKETS, gathered in blocks.
 MOST_BUCKETS, BLOCK = 1 << 22, 1 << 12
 BITS = 56
-SPACES = r"[\x20\x09-\x0D]"
+#: What parts words within a line.
+BLANKS = "\t\x0b\x0c\r"
+PLACE = ("doc_id", "tie", "line_no")
 
 
-def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc_id, line_no, words) of every line with words: the hashes of its distinct words."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", F.btrim("line", F.lit(" \t\x0b\x0c\r")).alias("line")).where("line <> ''")
-    words = F.transform(F.split("line", f"{SPACES}+"), lambda w: F.xxhash64(w))
-    return rows.select("doc_id", "line_no", F.array_distinct(words).alias("words"))
+def words_of(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_distinct(F.array_remove(F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " "), ""))
 
 
-def rarity_table(lines: DataFrame) -> tuple[DataFrame, int]:
-    """One row with one binary: the rarity code of each bucket, 0 where no word is in two lines."""
-    counts = materialise(lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "line-words")
-    distinct = counts.count()
+def documents(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, tie, text); the tie, a hash of the text, tells rows of one id apart."""
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+
+
+def rarity_table(docs: DataFrame, space: Workspace) -> tuple[DataFrame, int, int]:
+    """One row with the codes of all buckets as one array; the number of buckets; the least count that has a code above 0."""
+    every = F.explode(F.split(F.translate("text", BLANKS + "\n", " " * 5), " ")).alias("w")
+    counts = docs.select(every).where("w <> ''").select(F.xxhash64("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = space.table(counts.where("n > 1"), "line-words")
+    # one row per doubling of the count
+    sizes = {r.k: r.n for r in counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = 1
+    while sum(n for k, n in sizes.items() if k >= least) > MOST_BUCKETS // 2:
+        least += 1
     buckets = BLOCK
-    while buckets < min(2 * distinct, MOST_BUCKETS):
+    while buckets < min(2 * sum(n for k, n in sizes.items() if k >= least), MOST_BUCKETS):
         buckets *= 2
     # steps of a quarter of a doubling: 30 doublings fit below 127
-    code = F.least(F.lit(127), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("int")
-    some = counts.where("n > 1").select(F.pmod("w", F.lit(buckets)).alias("bucket"), code.alias("code"))
-    all_ = some.unionByName(lines.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).alias("code")))
-    codes = all_.groupBy("bucket").agg(F.max("code").alias("code"))
+    code = F.least(F.lit(127), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("tinyint")
+    some = counts.where(F.col("n") >= 1 << least).select(F.pmod("w", F.lit(buckets)).alias("bucket"), code.alias("code"))
+    none = space.spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("tinyint").alias("code"))
+    codes = some.unionByName(none).groupBy("bucket").agg(F.max("code").alias("code"))
     blocks = codes.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("bucket", "code"))).alias("codes"))
-    text = F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c.code), 2, "0")), "")
-    blocks = blocks.select("block", text.alias("codes"))
-    table = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "codes"))).alias("blocks"))
-    table = table.select(F.unhex(F.array_join(F.transform("blocks", lambda b: b.codes), "")).alias("codes"))
-    return materialise(table.coalesce(1), "line-rarity"), buckets
+    blocks = blocks.select("block", F.col("codes.code").alias("codes"))
+    table = space.table(blocks, "line-rarity-blocks").agg(F.array_sort(F.collect_list(F.struct("block", "codes"))).alias("blocks"))
+    table = space.table(table.select(F.flatten(F.col("blocks.codes")).alias("codes")), "line-rarity")
+    space.drop(counts)
+    return table, buckets, 1 << least
 
 
-def line_classes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines as (doc_id, line_no, k1, k2, n), and classes of equal word sets with (id, doc_id, line_no) of the first."""
-    table, buckets = rarity_table(lines)
+def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
+    """(doc_id, tie, line_no, n, k1, k2, own, prefix) of each line with words.
+
+    ``prefix`` holds the numbers of its rarest words, without the ``own`` first
+    ones that occur once in the corpus; it is null where the line can link with
+    no other set.
+    """
+    table, buckets, least = rarity_table(docs, space)
+    rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
     # as a column first: a lambda can name it, and the optimizer then puts the subquery's value in its place
-    coded = lines.select("*", table.scalar().alias("codes"))
-    place = lambda w: F.pmod(w, F.lit(buckets)).cast("int")
-    number = F.transform("words", lambda w: F.shiftleft(F.ascii(F.substring(F.col("codes"), place(w) + 1, F.lit(1)).cast("string")).cast("bigint"), BITS).bitwiseOR(w.bitwiseAND(F.lit((1 << BITS) - 1))))
-    rows = coded.select("doc_id", "line_no", F.sort_array(number).alias("words")).withColumn("n", F.size("words"))
-    own = F.size(F.filter("words", lambda w: w < F.lit(1 << BITS)))  # words no other line has
-    rows = rows.select("doc_id", "line_no", "n", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), own.alias("own"), "words")
-    # a line links only if one of its rarest words is shared; up to 3 words only with an equal set
+    rows = rows.select("*", table.scalar().alias("codes"))
+    code = lambda h: F.get(F.col("codes"), F.pmod(h, F.lit(buckets)).cast("int")).cast("bigint")
+    number = F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.shiftleft(code(h), BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << BITS) - 1))))
+    rows = rows.select("doc_id", "tie", "line_no", F.size("words").alias("n"), F.sort_array(number).alias("numbers"), F.xxhash64(F.sort_array("words")).alias("k2"))
+    own = F.size(F.filter("numbers", lambda x: x < F.lit(1 << BITS))) if least == 2 else F.lit(0)
+    rows = rows.select("*", F.xxhash64("numbers").alias("k1"), own.alias("own"))
+    # sets of up to 3 words link only with an equal set
     live = (F.col("own") <= F.floor(F.col("n") / 5)) & (F.col("n") > 3)
-    rows = rows.withColumn("words", F.when(live, F.col("words")))
-    first = F.min(F.struct("doc_id", "line_no", "own", "words")).alias("first")
-    classes = rows.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines"))
-    classes = classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "lines", "first.*")
-    return rows.select("doc_id", "line_no", "k1", "k2", "n"), materialise(classes, "line-classes")
-
-
-def linked(classes: DataFrame) -> DataFrame:
-    """(a, b): ids of linked classes, a of the smaller set or the smaller id."""
-    live = classes.where("words IS NOT NULL")
-    prefix = F.slice("words", F.col("own") + 1, (F.floor(F.col("n") / 5) + 1 - F.col("own")).cast("int"))
-    rare = materialise(live.select("id", "n", "own", F.posexplode(prefix).alias("at", "w")).select("id", "n", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), "w"), "line-prefixes")
-    a = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "w")
-    b = rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "w")
-    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    length = 5 * F.col("na") >= 4 * F.col("nb")
-    position = 9 * F.least("ra", "rb") >= 4 * (F.col("na") + F.col("nb"))
-    pairs = a.join(b, "w").where(order & length & position).select("a", "b").distinct()
-    sets = live.select("id", "words")
-    pairs = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    return pairs.where(9 * both >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
-
-
-def removed_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, line_no) of the lines of which an earlier line is a near duplicate."""
-    lines, classes = line_classes(lines_of(df, text, key))
-    lines = materialise(lines, "line-places")
-    links = materialise(linked(classes), "line-links")
-    place = F.struct("doc_id", "line_no")
-    heads = classes.select("id", place.alias("first"))
-    both = links.union(links.select("b", "a")).toDF("id", "other")
-    before = both.join(heads.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("first").alias("before"))
-    known = classes.select("id", "k1", "k2", "n", "lines", place.alias("first")).join(before, "id", "left")
-    known = known.where("lines > 1 OR before < first").select("k1", "k2", "n", F.least("first", "before").alias("since"))
-    return lines.join(known, ["k1", "k2", "n"]).where(F.col("since") < place).select("doc_id", "line_no")
-
-
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    prefix = F.slice("numbers", F.col("own") + 1, (F.floor(F.col("n") / 5) + 1 - F.col("own")).cast("int"))
+    return space.table(rows.select(*PLACE, "n", "k1", "k2", "own", F.when(live, prefix).alias("prefix")), "line-sets")
+
+
+def classes_of(lines: DataFrame, space: Workspace) -> DataFrame:
+    """(id, k1, k2, n, lines, doc_id, tie, line_no, own, prefix) of each class of equal sets, at its first place; ids follow the places."""
+    first = F.min(F.struct(*PLACE, "own", "prefix")).alias("first")
+    rows = lines.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines")).select("k1", "k2", "n", "lines", "first.*")
+    rows = rows.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    return space.table(rows.select(F.monotonically_increasing_id().alias("id"), "*"), "line-classes")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+    """(id): those classes of ``pairs`` (id, other) whose words link with the other's."""
+    pairs = space.table(pairs, "line-pairs")
+    wanted = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    places = classes.select("id", *PLACE).join(wanted, "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
+    found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places")
+    found = found.select(F.explode(F.transform("places", lambda p: F.struct(p.id.alias("id"), F.get(F.col("own"), p.line_no).alias("line")))).alias("p"))
+    sets = space.table(found.select("p.id", words_of(F.col("p.line")).alias("words")).dropDuplicates(["id"]), "line-candidates")
+    both = pairs.join(sets.toDF("id", "wa"), "id").join(sets.toDF("other", "wb"), "other")
+    out = space.table(both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("id").distinct(), "line-found")
+    space.drop(pairs, sets)
+    return out
+
+
+def later(classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+    """(id): classes that link with an earlier one."""
+    live = classes.where("prefix IS NOT NULL")
+    entries = live.select("id", "n", (F.col("n") - F.col("own")).alias("rest"), F.posexplode("prefix").alias("at", "w")).select("w", "id", "n", (F.col("rest") - F.col("at")).alias("rest"))
+    heads = entries.groupBy("w").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("w", "head")
+    shared = space.table(entries.join(heads, "w"), "line-prefixes")
+    found = verified(shared.where("head < id").select("id", F.col("head").alias("other")).distinct(), classes, docs, space)
+    left = shared.where("head < id").join(found, "id", "left_anti").select("w", "id", "n", "rest")
+    length = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
+    position = 9 * F.least("rest", "over") >= 4 * (F.col("n") + F.col("m"))
+    met = left.join(shared.select("w", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("over"), "head"), "w")
+    # the earliest holder of each word has been tried
+    more = verified(met.where((F.col("other") < F.col("id")) & (F.col("other") > F.col("head")) & length & position).select("id", "other").distinct(), classes, docs, space)
+    space.drop(shared)
+    return found.union(more)
+
+
+def removed_lines(docs: DataFrame, space: Workspace) -> DataFrame:
+    """(doc_id, tie, line_no) of the lines of which an earlier line is a near duplicate."""
+    lines = lines_of(docs, space)
+    classes = classes_of(lines, space)
+    gone = later(classes, docs, space)
+    known = classes.join(gone.select("id", F.lit(True).alias("all")), "id", "left").where("all OR lines > 1")
+    known = space.table(known.select("k1", "k2", "n", "all", F.struct(*PLACE).alias("first")), "line-known")
+    out = lines.join(known, ["k1", "k2", "n"]).where(F.col("all").isNotNull() | (F.col("first") != F.struct(*PLACE)))
+    out = space.table(out.select(*PLACE), "line-gone")
+    space.drop(lines, classes, gone, known)
+    return out
+
+
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", space: Workspace | None = None) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, kept_sha256, kept.
 
     A line is what lies between line feeds. It goes when an earlier line, of a
     smaller id or before it in the same text, has a word set of Jaccard
     similarity 0.8 or more; lines are judged on the input. Lines without words
     always stay. Null texts have no lines and stay null, with the digest of an
-    empty text. Rows that share an id also share their removed lines. Other
+    empty text. Rows that share an id are texts of their own, in an order given
+    by their contents; rows with the same id and text are treated as one. Other
     columns are ignored.
     """
-    gone = removed_lines(df, text, key).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(gone, "doc_id", "left")
-    split = F.split("text", "\n")
-    none = F.array().cast("array<int>")
-    stay = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.coalesce("gone", none), s.i))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda s: s.x), "\n"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
-    removed = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(size("gone"))
+    space = space or Workspace(df.sparkSession)
+    docs = documents(df, text, key)
+    gone = removed_lines(docs, space).groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.join(gone, ["doc_id", "tie"], "left").withColumn("split", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("split"), i)), "\n"))
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("split")).cast("long")
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
     rows = rows.select("doc_id", lines.alias("n_lines"), removed.alias("n_removed"), kept.alias("kept"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"), "kept")

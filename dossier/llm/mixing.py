@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.arrowtext import Words, mix, slices
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 #: Repeating weights of the sources in order of their names, null last.
 WEIGHTS = (5, 2, 1)
@@ -123,7 +123,7 @@ def _flyer(land: bool, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFr
     return fly
 
 
-def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text: str = "text", key: str = "doc_id", source: str = "source", space: Workspace | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken (tokens the mix takes).
 
     ``taken`` is a multiple of ``size``, at most ``most`` rounded up. Null
@@ -132,7 +132,8 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = materialise(sizes(df, text, key, source), "mixing-sizes")
+    space = space or Workspace(spark)
+    rows = space.table(sizes(df, text, key, source), "mixing-sizes")
     # one row per source
     totals = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     target = targets([(r.source, r.n) for r in totals], weights, share, most)
@@ -152,7 +153,7 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
         # the level goes into the hash, else what is left of a bucket would meet again
         bucket = F.pmod(F.xxhash64("doc_id", F.lit(len(done))), F.col("buckets")).cast("int").alias("bucket")
         dealt = open_.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(*order, bucket)
-        flown = materialise(dealt.groupBy("source", "bucket").applyInPandas(_flyer(last, order), schema), "mixing-flight")
+        flown = space.table(dealt.groupBy("source", "bucket").applyInPandas(_flyer(last, order), schema), "mixing-flight")
         if last:
             done.append(flown)
             break

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 WINDOW = 2048
 END_ID = 1
@@ -107,7 +106,7 @@ def tokenised(df: DataFrame, tokenizer_path: str, end_id: int = END_ID, text: st
     return rows.mapInArrow(encode, "part int, before long, n long, doc_id long, ids binary, width int")
 
 
-def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", key: str = "doc_id", space: Workspace | None = None) -> DataFrame:
     """Pieces of documents in sequences of ``window`` tokens; only the last sequence can be shorter.
 
     One row per piece, with its ids as little-endian unsigned 32-bit integers.
@@ -115,7 +114,8 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int =
     own; an empty table gives no pieces; other columns are ignored.
     """
     spark = df.sparkSession
-    table = materialise(tokenised(df, tokenizer_path, end_id, text, key), "packing-ids")
+    space = space or Workspace(spark)
+    table = space.table(tokenised(df, tokenizer_path, end_id, text, key), "packing-ids")
     # one row per partition of the first pass
     totals = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.sum("n").alias("n")).collect())
     starts = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0), strict=False))
@@ -150,8 +150,3 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int =
 def digests(pieces: DataFrame) -> DataFrame:
     """Pieces with the CRC-32 of their ids in place of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc32(ids: list[int]) -> int:
-    """What ``digests`` gives for these ids."""
-    return zlib.crc32(np.array(ids, "<u4").tobytes())

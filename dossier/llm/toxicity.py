@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.arrowtext import Words, slices
-from dossier.llm.workdir import materialise
+from dossier.llm.workdir import Workspace
 
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE = 8000
@@ -121,7 +121,7 @@ def chi_square(n: np.ndarray, k: np.ndarray, rows: int, positive: int) -> np.nda
     return np.where(below > 0, a.astype(float) ** 2 * rows / np.maximum(below, 1), 0.0)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, space: Workspace | None = None) -> Chain:
     """Fit the chain on at most ``sample`` labelled rows.
 
     Rows with a null label or id are not used; of rows labelled several times
@@ -131,7 +131,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of three numbers
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
-    rows = materialise(rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
+    space = space or Workspace(documents.sparkSession)
+    rows = space.table(rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -58,3 +58,24 @@ def test_on_the_table(spark):
     got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
     want = brute([(r.doc_id, r.text) for r in df.collect()])
     assert sorted(map(tuple, got)) == want and sum(w[2] for w in want) > 0
+
+
+def test_rows_of_one_id_and_very_long_lines(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    texts = ["one two three four five six seven eight nine", "quite another text\nwith two lines", long, "z" * 2_000_000, f"{long} more\n" + "z" * 2_000_000]
+    df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    got = line_dedup.dedup_lines(df).collect()
+    assert sorted(r.n_lines for r in got) == [1, 1, 1, 2, 2]
+    assert sum(r.n_removed for r in got) == 2
+    assert {texts[0], texts[1]} <= {r.kept for r in got}
+
+
+def test_chained_variants_need_more_than_the_earliest_holder(spark):
+    words = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(24):
+        words = [*words[1:], f"n{k}"]
+        rows.append((k, " ".join(sorted(words, key=hash))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute(rows)

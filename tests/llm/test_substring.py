@@ -49,3 +49,30 @@ def test_on_the_table(spark):
     got = substring_dedup.dedup_substrings(df).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute([(r.doc_id, r.text) for r in df.collect()], 20)
     assert all(sum(b - a for a, b in r.spans) == r.n_removed for r in got)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_of_repeated_patterns_do_not_meet(spark):
+    x, y = thue_morse(1024), thue_morse(1024, "b", "a")
+    rows = [(1, " ".join(f"{x} w{k}" for k in range(10))), (2, " ".join(f"{y} w{k}" for k in range(10))), (3, "q" * 3_000_000)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0, 0]
+
+
+def test_factors_of_one_seed_are_told_apart_by_their_words(spark):
+    import pandas as pd
+
+    texts = [" ".join(f"d{i}w{k}" for k in range(20)).encode() for i in (1, 2, 3)]
+    rows = [(0, 1, 1, i, 1, i, 0, 0, 0, t) for i, t in enumerate([*texts, texts[0]])]
+    found = spark.createDataFrame(pd.DataFrame(rows, columns=["block", "seed", "chunk", "n", "windows", "doc_id", "tie", "row", "start", "words"]))
+    assert [tuple(r) for r in substring_dedup.matched(found).collect()] == [(1, 3, 1)]
+
+
+def test_rows_of_one_id_are_texts_of_their_own(spark):
+    words = [f"w{k}" for k in range(25)]
+    rows = [(5, " ".join(words)), (5, "quite another text"), (5, " ".join(words)), (6, " ".join(words[:22]))]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(5, 3, 0), (5, 25, 0), (5, 25, 25), (6, 22, 22)]
