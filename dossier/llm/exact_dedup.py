@@ -1,31 +1,32 @@
-"""Exact deduplication by a hash aggregate, with its index in files ordered by an extendible-hash directory.
-
-Groups come from a plain aggregate on the 64-bit hash, SHA-256 digest and
-length of the normalised bytes, so texts with colliding hashes stay apart;
-the digest stands for the bytes, which no task compares. Rows find their group
-by an equi-join on the same, whose hot keys adaptive execution splits. Copies
-are pre-aggregated before any shuffle, and texts are never shuffled: comparing
-bytes in a bucket's owner would need them there.
-
-The index, one entry per distinct text, is written to the shared folder in
-key ranges of buckets. A directory over the hash's first bits is doubled
-until no bucket holds more than ``capacity`` distinct keys, or it has its full
-depth. It only orders the files; the result doesn't depend on it.
-
-Only built-in expressions are used.
+"""Exact deduplication by an extendible-hash index on shared files.
+
+Rows are written once, in runs, with the 64-bit hash of their normalised text.
+A run first collapses its own equal texts. The directory is built from the
+distinct hashes: it doubles, one more leading bit of the hash at a time, while
+a bucket holds more than ``capacity`` of them; only overfull buckets split.
+Each bucket is a range of hashes with one owner task, which gets one text from
+each run that has it. The owner sorts its bucket by hash and bytes: texts that
+collide in their hash stand in one chain and are told apart byte by byte. What
+it finds is the index, written to the shared folder by owners; rows take their
+answers from its entries.
+
+A hot text reaches its owner once from each run, never row by row, and a run
+has RUN rows at most. Only built-in expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.workdir import Workspace
 
-#: Bits of the directory at full depth: at most 4,096 entries on the driver.
-DEPTH = 12
-#: Distinct keys a bucket holds before it splits.
+#: Distinct hashes a bucket holds before it splits.
 CAPACITY = 20_000
+#: Rows of a run at most, as a power of two.
+RUN = 16
+#: Directory entries for each bucket's worth of hashes at most, in doublings: beyond, hashes share so many leading bits that splitting is in vain and a bucket grows a longer chain.
+SPREAD = 6
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -35,51 +36,81 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def directory(counts: dict[int, int], depth: int = DEPTH, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """Buckets as (first prefix, local depth), from the distinct keys under each full-depth prefix."""
-    done, open_ = [], [(0, 0)]
-    while open_:
-        at, local = open_.pop()
-        width = 1 << (depth - local)
-        if local < depth and sum(counts.get(p, 0) for p in range(at, at + width)) > capacity:
-            open_ += [(at + width // 2, local + 1), (at, local + 1)]  # the bucket splits
-        else:
-            done.append((at, local))
-    return done
+def hashed(norm: Column) -> Column:
+    return F.xxhash64(norm)
 
 
-def entries(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, h, digest, n_norm, n_chars, prefix) of each row."""
-    norm = normalised(F.col(text))
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), norm.alias("norm"), F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars"))
-    h = F.xxhash64("norm")
-    return rows.select("doc_id", h.alias("h"), F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").alias("n_norm"), "n_chars", F.shiftrightunsigned(h, 64 - DEPTH).cast("int").alias("prefix"))
+def prefix(h: Column, depth: int) -> Column:
+    """The first ``depth`` bits of a hash."""
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(hashes: DataFrame, space: Workspace, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """(entry, bucket) for every value of the directory's bits, and the number of these bits, its depth.
+
+    ``hashes`` has distinct values ``h``. A bucket is named by its first entry.
+    """
+    total, depth, open_, done = hashes.count(), 0, hashes, []
+    while True:
+        counts = open_.groupBy(prefix(F.col("h"), depth).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+        counts = space.table(counts, "dedup-directory")
+        over = counts.where(F.col("n") > capacity)
+        last = (1 << depth) > (total // capacity + 1) << SPREAD
+        done.append((depth, counts if last else counts.where(F.col("n") <= capacity)))
+        if last or over.isEmpty():
+            break
+        # only overfull buckets split; the directory doubles for them
+        open_ = open_.join(over.select(F.col("at").alias("_at")), prefix(F.col("h"), depth) == F.col("_at"), "left_semi")
+        depth += 1
+    found = None
+    for local, counts in done:
+        wide = depth - local
+        start = F.shiftleft("at", wide)
+        rows = counts.select(F.explode(F.sequence(start, start + (1 << wide) - 1)).alias("entry"), start.alias("bucket"))
+        found = rows if found is None else found.union(rows)
+    return space.table(found, "dedup-entries"), depth
+
+
+def rows_of(df: DataFrame, space: Workspace, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(run, row, doc_id, n_chars, h, norm) of each row, written so that a run lies in one bucket file."""
+    number = F.monotonically_increasing_id()
+    rows = df.select(number.alias("_n"), (F.col(row) if row else number).alias("row"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars"), normalised(F.col(text)).alias("norm"))
+    rows = rows.select(F.shiftrightunsigned("_n", RUN).alias("run"), "row", "doc_id", "n_chars", hashed(F.col("norm")).alias("h"), "norm")
+    return space.table(rows, "dedup-rows", buckets=int(space.spark.conf.get("spark.sql.shuffle.partitions")), by="run")
 
 
 def build_index(rows: DataFrame, space: Workspace, capacity: int = CAPACITY) -> DataFrame:
-    """(bucket, h, digest, n_norm, keep_id, group_size), one row per distinct text, in files by key range."""
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"))).alias("best")
-    one = rows.groupBy("prefix", "h", "digest", "n_norm").agg(best, F.count(F.lit(1)).alias("group_size"))
-    one = space.table(one.select("prefix", "h", "digest", "n_norm", (-F.col("best.minus_id")).alias("keep_id"), "group_size"), "dedup-keys")
-    counts = {r.prefix: r.n for r in one.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = [(p, at) for at, local in directory(counts, capacity=capacity) for p in range(at, at + (1 << (DEPTH - local)))]
-    table = one.sparkSession.createDataFrame(buckets, "prefix int, bucket int")
-    return one.join(F.broadcast(table), "prefix").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "digest")
+    """(bucket, h, members, keep, group_size, digest): an entry for each run's part of each group of equal texts."""
+    hashes = space.table(rows.select("h").distinct(), "dedup-hashes")
+    entries, depth = directory(hashes, space, capacity)
+    member = F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"), (-F.col("row")).alias("minus_row"), "doc_id", "row")
+    own = rows.groupBy("run", "h", "norm").agg(F.collect_list(F.struct("doc_id", "row")).alias("members"), F.max(member).alias("best"))
+    dealt = own.withColumn("entry", prefix(F.col("h"), depth)).join(entries, "entry").repartition("bucket")
+    chain = Window.partitionBy("bucket", "h", "norm")
+    best = F.max("best").over(chain)
+    index = dealt.select("bucket", "h", "members", F.struct(best.doc_id.alias("doc_id"), best.row.alias("row")).alias("keep"), F.sum(F.size("members").cast("long")).over(chain).alias("group_size"), F.sha2("norm", 256).alias("digest"))
+    return space.table(index, "dedup-index")
+
+
+def groups(df: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None, capacity: int = CAPACITY, space: Workspace | None = None) -> DataFrame:
+    """The rows of ``exact_dedup``, with ``_row``: the number that the column ``row`` gives each row of ``df``."""
+    space = space or Workspace(df.sparkSession)
+    rows = rows_of(df, space, text, key, row)
+    index = build_index(rows, space, capacity)
+    space.drop(rows)
+    found = index.select(F.explode("members").alias("member"), "keep", "group_size", "digest")
+    return found.select(F.col("member.row").alias("_row"), F.col("member.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("member.row") == F.col("keep.row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, space: Workspace | None = None) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows are copies when their texts are equal without ``[\\x20\\x09-\\x0D]``.
-    The longest original text stays, then the smallest key. Null texts are
-    empty; other columns are ignored. Rows repeated with their key belong to
-    one group; all rows that carry the kept key are marked kept.
+    The longest original text stays, then the smallest key; of rows repeated
+    with their key, one. Null texts are empty; a null key comes last; other
+    columns are ignored; an empty table gives no rows.
     """
-    space = space or Workspace(df.sparkSession)
-    rows = space.table(entries(df, text, key), "dedup-entries")
-    index = space.table(build_index(rows, space, capacity), "dedup-index")
-    found = rows.join(index.select("h", "digest", "n_norm", "keep_id", "group_size"), ["h", "digest", "n_norm"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return groups(df, text, key, None, capacity, space).drop("_row")
 
 
 SQL = r"""

@@ -92,10 +92,28 @@ def test_exact_dedup(spark, odd):
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
-def test_directory_splits_overfull_buckets():
-    found = exact_dedup.directory({0: 5, 1: 5, 9: 1}, depth=4, capacity=5)
-    assert sorted(found) == [(0, 4), (1, 4), (2, 3), (4, 2), (8, 1)]
-    assert exact_dedup.directory({}, depth=4) == [(0, 0)]
+def test_directory_splits_overfull_buckets(spark):
+    from dossier.llm.workdir import Workspace
+
+    space = Workspace(spark)
+    hashes = spark.createDataFrame([(k << 60,) for k in (0, 1, 2)] + [((9 << 60) - (1 << 64),)], "h long")
+    found, depth = exact_dedup.directory(hashes, space, capacity=1)
+    assert depth == 4 and sorted(map(tuple, found.collect())) == [(0, 0), (1, 1), (2, 2), (3, 2), (8, 8), (9, 8), (10, 8), (11, 8), (12, 8), (13, 8), (14, 8), (15, 8)]
+    found, depth = exact_dedup.directory(hashes.limit(0), space)
+    assert depth == 0 and found.count() == 0
+    space.close()
+
+
+def test_colliding_hashes_are_told_apart_by_their_bytes(spark, odd, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "hashed", lambda norm: F.pmod(F.length(norm), F.lit(3)).cast("long"))
+    got = exact_dedup.exact_dedup(odd.repartition(3), capacity=1)
+    assert sorted(map(tuple, got.collect())) == brute_copies(odd.collect())
+
+
+def test_exact_dedup_keeps_one_of_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(3, "A x y"), (5, "A x y"), (5, "quite another text"), (5, "quite another text"), (None, "Ax y")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(df).collect()
+    assert sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got) == [(0, 3, 3, False), (3, 3, 3, True), (5, 3, 3, False), (5, 5, 2, False), (5, 5, 2, True)]
 
 
 def test_targets_reshare_what_is_above_the_limit():
@@ -131,23 +149,85 @@ def test_flight_keeps_both_totals():
         assert out.sum() == pytest.approx(p.sum()) and (out * size).sum() == pytest.approx((p * size).sum())
 
 
+def brute_chain(rows, marks, folds, texts):
+    """Probabilities of both categories for ``texts``: dictionaries and dense matrices in place of hashes."""
+
+    def own(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+        return {(k, w[:k] if k else w) for w in words for k in toxicity.STEMS if len(w) > k}
+
+    def choose(train, ys):
+        n = {}
+        for f in (f for s in train for f in s):
+            n[f] = n.get(f, 0) + 1
+        return sorted(f for f, c in n.items() if c >= toxicity.LEAST_ROWS)
+
+    def matrix(sets, names, dense):
+        return np.column_stack([np.array([[f in s for f in names] for s in sets], float).reshape(len(sets), len(names)), dense, np.ones(len(sets))])
+
+    def fit(x, y):
+        bound = 0.25 * (np.abs(x) * np.abs(x).sum(1)[:, None]).sum(0) + 1
+        w = seen = np.zeros(x.shape[1])
+        for k in range(120):
+            g = x.T @ (1 / (1 + np.exp(-x @ seen)) - y) + 0.1 * seen
+            g[-1] -= 0.1 * seen[-1]
+            new = seen - g / bound
+            seen, w = new + (k / (k + 3)) * (new - w), new
+        return w
+
+    sets, asked = [own(t) for t in rows], [own(t) for t in texts]
+    p = lambda x, w: 1 / (1 + np.exp(-x @ w))
+    earlier, out = np.zeros((len(rows), 0)), np.zeros((len(texts), 0))
+    names = choose(sets, marks)
+    for y in marks:
+        w, held = fit(matrix(sets, names, earlier), y), np.zeros(len(rows))
+        out = np.column_stack([out, p(matrix(asked, names, out), w)])
+        for k in range(toxicity.FOLDS):
+            inside = folds != k
+            some = choose([s for s, i in zip(sets, inside, strict=True) if i], marks)
+            w = fit(matrix([s for s, i in zip(sets, inside, strict=True) if i], some, earlier[inside]), y[inside])
+            held[~inside] = p(matrix(sets, some, earlier), w)[~inside]
+        earlier = np.column_stack([earlier, held])
+    return out
+
+
+def test_toxicity_against_brute_force(spark, odd):
+    rng = np.random.default_rng(3)
+    vocab = ["calm", "Weather", "garden", "été", "stupid", "stupidly", "Idiots", "idiotic", "clean", "text42"]
+    texts = [" ".join(rng.choice(vocab, 12)) + "." for _ in range(90)] + ["", None, "x" * 1_000_000]
+    marks = [(i, int(rng.random() < 0.8), int("idiot" in (t or "").lower())) for i, t in enumerate(texts[:80])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    fold = {r[0]: r[1] for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS))).collect()}
+    want = brute_chain(texts[:80], [np.array([1.0 - q for _, q, _ in marks]), np.array([float(t) for *_, t in marks])], np.array([fold[i] for i in range(80)]), texts)
+    chain = toxicity.train(df, labels)
+    got = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
+    assert np.allclose([[got[i].p_low_quality, got[i].p_toxic] for i in range(len(texts))], want, atol=1e-7)
+
+
 def test_toxicity(spark, odd):
     toxic = "you worthless idiot scum with loweichen"
     texts = [("calm words about " + chr(97 + i % 26) * 5 + (f" and {toxic}" if i % 4 == 0 else " weather")) for i in range(200)]
     df = spark.createDataFrame([(i, t, "s", 0, 1) for i, t in enumerate(texts)], SCHEMA)
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)] + [(1, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(df, labels)
-    assert len(chain.weights) == 3 and [len(w) - len(chain.hashes) for w in chain.weights] == [1, 2, 3]
+    assert [len(w) - len(chain.hashes) for w in chain.weights] == [1, 2]
     got = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
     assert all(got[i].rejected == (i % 4 == 0) for i in range(200))
     assert sorted(r.doc_id for r in toxicity.clean(df, chain).collect()) == [i for i in range(200) if i % 4]
     assert toxicity.clean(df, chain).columns == df.columns
     assert not any(r.rejected for r in toxicity.score(odd, chain).collect())
     none = toxicity.train(df, labels.limit(0))
-    assert toxicity.score(df, none).where("p_toxic <> 0.5").count() == 0
+    assert toxicity.score(df, none).where("p_toxic <> 0.5 OR rejected").count() == 0
     assert toxicity.score(odd.limit(0), chain).count() == 0
 
 
+def test_toxicity_sample_binds(spark):
+    df = spark.range(5000).selectExpr("id % 20 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(20).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS INT) AS toxic")
+    assert toxicity.sampled(df, labels, 10, toxicity.CATEGORIES, "text", "doc_id").count() == 10
+
+
 def test_toxicity_on_held_out_rows(spark):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
