@@ -84,11 +84,12 @@ def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
     table, buckets, least = rarity_table(docs, space)
     rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
-    # as a column first: a lambda can name it, and the optimizer then puts the subquery's value in its place
+    rows = rows.select("doc_id", "tie", "line_no", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), "words")
+    # as a column first: a lambda can name it. What is named once is put in its place by the optimizer, so no row carries the table
     rows = rows.select("*", table.scalar().alias("codes"))
     code = lambda h: F.get(F.col("codes"), F.pmod(h, F.lit(buckets)).cast("int")).cast("bigint")
     number = F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.shiftleft(code(h), BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << BITS) - 1))))
-    rows = rows.select("doc_id", "tie", "line_no", F.size("words").alias("n"), F.sort_array(number).alias("numbers"), F.xxhash64(F.sort_array("words")).alias("k2"))
+    rows = rows.select("doc_id", "tie", "line_no", "n", "k2", F.sort_array(number).alias("numbers"))
     own = F.size(F.filter("numbers", lambda x: x < F.lit(1 << BITS))) if least == 2 else F.lit(0)
     rows = rows.select("*", F.xxhash64("numbers").alias("k1"), own.alias("own"))
     # sets of up to 3 words link only with an equal set
@@ -123,12 +124,13 @@ def later(classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): classes that link with an earlier one."""
     live = classes.where("prefix IS NOT NULL")
     entries = live.select("id", "n", (F.col("n") - F.col("own")).alias("rest"), F.posexplode("prefix").alias("at", "w")).select("w", "id", "n", (F.col("rest") - F.col("at")).alias("rest"))
-    heads = entries.groupBy("w").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("w", "head")
-    shared = space.table(entries.join(heads, "w"), "line-prefixes")
-    found = verified(shared.where("head < id").select("id", F.col("head").alias("other")).distinct(), classes, docs, space)
-    left = shared.where("head < id").join(found, "id", "left_anti").select("w", "id", "n", "rest")
+    heads = entries.groupBy("w").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("m"), F.min_by("rest", "id").alias("over"), F.count(F.lit(1)).alias("holders"))
+    shared = space.table(entries.join(heads.where("holders > 1").drop("holders"), "w"), "line-prefixes")
     length = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
+    # for the rarest word that two sets share, the words from it on must suffice
     position = 9 * F.least("rest", "over") >= 4 * (F.col("n") + F.col("m"))
+    found = verified(shared.where((F.col("head") < F.col("id")) & length & position).select("id", F.col("head").alias("other")).distinct(), classes, docs, space)
+    left = shared.where("head < id").join(found, "id", "left_anti").select("w", "id", "n", "rest")
     met = left.join(shared.select("w", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("over"), "head"), "w")
     # the earliest holder of each word has been tried
     more = verified(met.where((F.col("other") < F.col("id")) & (F.col("other") > F.col("head")) & length & position).select("id", "other").distinct(), classes, docs, space)
