@@ -83,7 +83,8 @@ def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
     """
     table, buckets, least = rarity_table(docs, space)
     rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    # tested on the line, as a filter on its words would split it twice
+    rows = rows.where(F.btrim("line", F.lit(" " + BLANKS)) != "").select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words"))
     rows = rows.select("doc_id", "tie", "line_no", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), "words")
     # as a column first: a lambda can name it. What is named once is put in its place by the optimizer, so no row carries the table
     rows = rows.select("*", table.scalar().alias("codes"))
@@ -108,7 +109,12 @@ def classes_of(lines: DataFrame, space: Workspace) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): those classes of ``pairs`` (id, other) whose words link with the other's."""
-    pairs = space.table(pairs, "line-pairs")
+    # sets of n and m words that share enough have their first shared words in both prefixes, all but those that may lie behind words not shared
+    side = lambda a, n, p: classes.select(F.col("id").alias(a), F.col("n").alias(n), F.col("prefix").alias(p))
+    both = pairs.join(side("id", "n", "pa"), "id").join(side("other", "m", "pb"), "other")
+    share = F.ceil(4 * (F.col("n") + F.col("m")) / 9)
+    room = lambda n: F.floor(F.col(n) / 5) + 1 - (F.col(n) - share)
+    pairs = space.table(both.where(F.size(F.array_intersect("pa", "pb")) >= F.least(room("n"), room("m"))).select("id", "other"), "line-pairs")
     wanted = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
     places = classes.select("id", *PLACE).join(wanted, "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places")
