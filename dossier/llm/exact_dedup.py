@@ -25,7 +25,7 @@ from dossier.llm.workdir import Workspace
 CAPACITY = 20_000
 #: Rows of a run at most, as a power of two.
 RUN = 16
-#: Directory entries for each bucket's worth of hashes at most, in doublings: beyond, hashes share so many leading bits that splitting is in vain and a bucket grows a longer chain.
+#: Doublings at most beyond what evenly spread hashes need: further on, hashes share so many leading bits that splitting is in vain and a bucket grows a longer chain.
 SPREAD = 6
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -50,17 +50,21 @@ def directory(hashes: DataFrame, space: Workspace, capacity: int = CAPACITY) ->
 
     ``hashes`` has distinct values ``h``. A bucket is named by its first entry.
     """
-    total, depth, open_, done = hashes.count(), 0, hashes, []
+    total, done = hashes.count(), []
+    # pigeonhole: before this depth some bucket is overfull for sure
+    depth = max(0, (total // capacity).bit_length() - 1)
+    deepest = min(63, depth + SPREAD)
+    open_ = space.table(hashes.groupBy(prefix(F.col("h"), deepest).alias("fine")).agg(F.count(F.lit(1)).alias("n")), "dedup-prefixes")
     while True:
-        counts = open_.groupBy(prefix(F.col("h"), depth).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-        counts = space.table(counts, "dedup-directory")
+        at = F.shiftright("fine", deepest - depth)
+        counts = space.table(open_.groupBy(at.alias("at")).agg(F.sum("n").alias("n")), "dedup-directory")
         over = counts.where(F.col("n") > capacity)
-        last = (1 << depth) > (total // capacity + 1) << SPREAD
+        last = depth == deepest
         done.append((depth, counts if last else counts.where(F.col("n") <= capacity)))
         if last or over.isEmpty():
             break
         # only overfull buckets split; the directory doubles for them
-        open_ = open_.join(over.select(F.col("at").alias("_at")), prefix(F.col("h"), depth) == F.col("_at"), "left_semi")
+        open_ = open_.join(over.select(F.col("at").alias("_at")), at == F.col("_at"), "left_semi")
         depth += 1
     found = None
     for local, counts in done:
