@@ -12,19 +12,20 @@ the join narrows down first, without losing a link:
 3. Two linked documents share one of their rarest floor(n / 5) + 1 shingles.
    Documents connected by such shingles form the top regions.
 
-Regions of at most LARGE documents are joined as they are, in blocks, by matrix
-product over their shingles; of a block's links, a spanning forest is kept. In
-larger ones, pivots create Voronoi cells: each
-document goes to the cell of its nearest pivot and is linked to the pivots
-within the radius. Members of one component of the region stop asking: all
-others still ask them; d(x, y) <= r lets x visit the cell of q only if
-d(x, q) <= d(x, p) + 2 r for its nearest pivot p, and d(x, q) <= r + the cell's
-radius. Cells are joined recursively, with new pivots; components count the
-pivot links of all levels, and where some members ask no more, only their own
-component may stop. A document that only visits a cell stops once all members
-are in its component. Cells that don't shrink, or are LEVELS deep, are joined
-block by block. All of it is exact, and dense groups of near copies aren't
-expanded into pairs.
+In each region pivots create Voronoi cells: a document goes to the cell of its
+nearest pivot and is linked to the pivots within the radius. Members of one
+component of the region stop asking: all others still ask them; d(x, y) <= r
+lets x visit the cell of q only if d(x, q) <= d(x, p) + 2 r for its nearest
+pivot p, and d(x, q) <= r + the cell's radius. Cells are joined recursively,
+with new pivots, until LEAF documents are left or a cell doesn't shrink; those
+are compared directly. Components count the links of all levels, and where some
+members ask no more, only their own component may stop. A document that only
+visits a cell stops once all members are in its component.
+
+The recursion runs inside one task for a region whose sets fit there; a larger
+region is first split by the same rules over many tasks, with pivots in
+proportion to its size, until its cells fit. All of it is exact, and dense
+groups of near copies aren't expanded into pairs: links come as forests.
 """
 
 from __future__ import annotations
@@ -50,66 +51,73 @@ RADIUS = 1 - NUM / DEN
 CHUNK, BUCKET = 8 << 20, 12 << 20
 #: Rows of a chunk at most: they are numbered in 16 bits.
 CHUNK_ROWS = 60_000
-#: Documents on either side of one task; a region of more than LARGE is split by its pivots, for LEVELS levels.
-REGION, LARGE, PIVOTS, LEVELS = 1024, 8192, 32, 3
+#: Bytes of sets, and documents, of a region that one task holds; documents on either side of a block that is compared directly.
+FIT, MOST, BLOCK = 32 << 20, 8192, 1024
+#: Documents of a cell that are compared directly, for each pivot in a task, and the most pivots there and of a split over tasks.
+LEAF, EACH, PIVOTS, WIDE = 48, 24, 32, 64
+#: A cell of more than this share of its region doesn't shrink.
+SHRINK = 0.9
 #: Marks an entry that stands for several documents of its chunk, already counted there.
 SEVERAL = 0xFFFF
 
 
-def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, shingle hash) of each distinct shingle, ordered by both."""
-    h, count = words.hashes(lower=True), words.counts()
-    own = words.doc_of()
-    found = ngram_hashes(h, size)
-    doc = own[: len(found)]
-    inside = doc == own[size - 1 :] if len(found) else np.zeros(0, bool)
-    docs, hashes = [doc[inside]], [found[inside]]
-    for k in range(1, size):  # shorter texts are one shingle
-        short = np.flatnonzero(count == k)
-        if len(short):
-            docs.append(short.astype(doc.dtype))
-            part = ngram_hashes(h, k)[words.bounds[short]]
-            hashes.append(pair_hash(part, np.full(len(part), k, U), 11))
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], h[new]
-
-
-def chunks_of(batches: Iterator[pa.RecordBatch], most: int = CHUNK, rows: int = CHUNK_ROWS):
+def shingle_sets(words: Words, size: int = SHINGLE, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """(text index, shingle hash) of each distinct shingle, ordered by both; with ``twice`` also a second, independent hash."""
+    count, own = words.counts(), words.doc_of()
+    docs, found = [], []
+    for seed in range(1 + twice):
+        h = words.hashes(lower=True, seed=seed)
+        whole = ngram_hashes(h, size, salt=17 * seed)
+        doc = own[: len(whole)]
+        inside = doc == own[size - 1 :] if len(whole) else np.zeros(0, bool)
+        docs, hashes = [doc[inside]], [whole[inside]]
+        for k in range(1, size):  # shorter texts are one shingle
+            short = np.flatnonzero(count == k)
+            if len(short):
+                docs.append(short.astype(doc.dtype))
+                part = ngram_hashes(h, k, salt=17 * seed)[words.bounds[short]]
+                hashes.append(pair_hash(part, np.full(len(part), k, U), 11))
+        found.append(np.concatenate(hashes))
+    doc = np.concatenate(docs)
+    order = np.lexsort((found[0], doc))
+    doc, found = doc[order], [h[order] for h in found]
+    new = np.ones(len(doc), bool)
+    new[1:] = (found[0][1:] != found[0][:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], *(h[new] for h in found)
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], most: int = CHUNK, rows: int = CHUNK_ROWS, twice: bool = False):
     """(ids, set sizes, shingle hashes by document) of runs of documents of about ``most`` bytes."""
-    ids, sizes, hashes, held = [], [], [], 0
+    held: list[tuple[np.ndarray, ...]] = []
+    size = count = 0
     for batch in batches:
         for row, end, data, offsets in slices(batch.column(1)):
-            doc, h = shingle_sets(Words(data, offsets))
-            if ids and (held + len(data) > most or sum(map(len, ids)) + end - row > rows):
-                yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
-                ids, sizes, hashes, held = [], [], [], 0
+            doc, *h = shingle_sets(Words(data, offsets), twice=twice)
+            if held and (size + len(data) > most or count + end - row > rows):
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size, count = [], 0, 0
             for first in range(row, end, rows):
                 last = min(end, first + rows)
                 if first > row:
-                    yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
-                    ids, sizes, hashes, held = [], [], [], 0
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held, size, count = [], 0, 0
                 here = (doc >= first - row) & (doc < last - row) if end - row > rows else slice(None)
-                ids.append(batch.column(0).slice(first, last - first).to_numpy(zero_copy_only=False))
-                sizes.append(np.bincount(doc[here] - (first - row), minlength=last - first))
-                hashes.append(h[here])
-            held += len(data)
-    if ids:
-        yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(hashes)
-
-
-def set_keys(sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each set."""
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    keys = []
-    for salt in (1, 2):
+                ids = batch.column(0).slice(first, last - first).to_numpy(zero_copy_only=False)
+                held.append((ids, np.bincount(doc[here] - (first - row), minlength=last - first), *(x[here] for x in h)))
+                count += last - first
+            size += len(data)
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def set_keys(sizes: np.ndarray, *hashes: np.ndarray) -> list[np.ndarray]:
+    """A 64-bit key of each set from each hash of its shingles."""
+    at, keys = np.concatenate([[0], np.cumsum(sizes)]), []
+    for h in hashes:
         sums = np.zeros(len(h) + 1, U)
-        np.cumsum(mix(h * U(2) + U(salt * 0x5851F42D4C957F2D & (1 << 64) - 1)), out=sums[1:])
+        np.cumsum(mix(h * U(2) + U(0x5851F42D4C957F2D)), out=sums[1:])
         keys.append(mix(sums[at[1:]] - sums[at[:-1]] + sizes.astype(U)).view(np.int64))
-    return keys[0], keys[1]
+    return keys
 
 
 def survey(docs: DataFrame, buckets: int) -> DataFrame:
@@ -118,9 +126,9 @@ def survey(docs: DataFrame, buckets: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, (ids, sizes, h) in enumerate(chunks_of(batches)):
+        for number, (ids, sizes, h, other) in enumerate(chunks_of(batches, twice=True)):
             chunk = (part << 32) + number
-            k1, k2 = set_keys(sizes, h)
+            k1, k2 = set_keys(sizes, h, other)
             doc = np.repeat(np.arange(len(ids)), sizes)
             use = h < share
             h, doc = h[use], doc[use]
@@ -133,13 +141,14 @@ def survey(docs: DataFrame, buckets: int) -> DataFrame:
             many = np.diff(np.append(first, len(h))) > 1
             known = np.bincount(doc[np.repeat(many, np.diff(np.append(first, len(h))))], minlength=len(ids))
             h, doc = h[first], np.where(many, SEVERAL, doc[first]).astype(np.uint16)
-            yield _asked(chunk, -1, None, None, [ids, sizes, k1, k2, asked, known])
+            info = np.stack([x.astype("<i8") for x in (ids, sizes, k1, k2, asked, known)]).tobytes()
             bucket = (h % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             h, doc = (h // U(buckets)).astype(np.uint32)[order], doc[order]
-            for b in np.flatnonzero(np.diff(cuts)):
-                yield _asked(chunk, int(b), h[cuts[b] : cuts[b + 1]], doc[cuts[b] : cuts[b + 1]], None)
+            used = np.flatnonzero(np.diff(cuts))
+            part_of = lambda x: pa.array([None, *(x[cuts[b] : cuts[b + 1]].tobytes() for b in used)], pa.binary())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used) + 1, chunk)), pa.array(np.append(-1, used).astype(np.int32)), part_of(h), part_of(doc), pa.array([info] + [None] * len(used), pa.binary())], ["chunk", "bucket", "h", "doc", "info"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         passed = pdf[pdf["bucket"] < 0]
@@ -181,12 +190,6 @@ def survey(docs: DataFrame, buckets: int) -> DataFrame:
     return answered.groupBy("chunk").applyInPandas(decide, "doc_id long, n long, k1 long, k2 long, alive boolean")
 
 
-def _asked(chunk, bucket, h, doc, info) -> pa.RecordBatch:
-    raw = lambda x: None if x is None else x.tobytes()
-    info = None if info is None else np.stack([x.astype("<i8") for x in info]).tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([raw(h)], pa.binary()), pa.array([raw(doc)], pa.binary()), pa.array([info], pa.binary())], ["chunk", "bucket", "h", "doc", "info"])
-
-
 def set_chunks(docs: DataFrame) -> DataFrame:
     """(chunk, ids, sizes, sets): the documents of a chunk and their sets, end to end."""
 
@@ -268,56 +271,124 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links_within(askers: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): a spanning forest of the linked pairs of two tables of (doc_id, set)."""
-    a, b = ([np.frombuffer(x, "<u8") for x in t["set"]] for t in (askers, members))
-    if not a or not b:
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+def close_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, linked) of all sets of ``a`` and all of ``b``."""
     both = intersections(a, b).astype(np.int64)
     union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both
-    i, j = np.nonzero(DEN * both >= NUM * union)
-    i_ids, j_ids = askers["doc_id"].to_numpy()[i], members["doc_id"].to_numpy()[j]
-    node, least = forest(i_ids, j_ids)
-    return pd.DataFrame({"a": node, "b": least})
+    return 1 - both / np.maximum(union, 1), DEN * both >= NUM * union
+
+
+class Region:
+    """A region's documents in one task, joined by recursion into Voronoi cells."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
+        self.ids, self.sets, self.part = ids, sets, np.arange(len(ids))
+
+    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
+        node, least = forest(self.part[i], self.part[j])
+        to = np.arange(len(self.ids))
+        to[node] = least
+        self.part = to[self.part]
+
+    def compare(self, asks: np.ndarray, members: np.ndarray) -> None:
+        """Link all pairs of these by blocks of direct comparisons."""
+        for a in range(0, len(asks), BLOCK):
+            for b in range(0, len(members), BLOCK):
+                x, y = asks[a : a + BLOCK], members[b : b + BLOCK]
+                _, near = close_pairs([self.sets[k] for k in x], [self.sets[k] for k in y])
+                i, j = np.nonzero(near)
+                self.unite(x[i], y[j])
+
+    def join(self, rows: np.ndarray, asks: np.ndarray, member: np.ndarray, level: int = 0) -> None:
+        """Link what asks in ``rows`` with the members there; ``asks`` and ``member`` are flags of ``rows``."""
+        if not asks.any() or not member.any() or (self.part[rows] == self.part[rows[0]]).all():
+            return
+        if len(rows) <= LEAF:
+            self.compare(rows[asks], rows[member])
+            return
+        inside = rows[member]
+        draw = mix(self.ids[inside].view(U) * U(0x9E3779B97F4A7C15) + U(level))
+        pivots = inside[np.argsort(draw, kind="stable")[: max(2, min(PIVOTS, len(inside) // EACH))]]
+        d, near = close_pairs([self.sets[k] for k in rows], [self.sets[k] for k in pivots])
+        i, j = np.nonzero(near)
+        self.unite(rows[i], pivots[j])
+        asks = asks & ~self.stops(rows, asks, member)
+        own, least = d.argmin(1), d.min(1)
+        for c in range(len(pivots)):
+            stay = member & (own == c)
+            if stay.any():
+                visit = asks & (d[:, c] <= least + 2 * RADIUS + 1e-9) & (d[:, c] <= least[stay].max() + RADIUS + 1e-9)
+                cell = stay | visit
+                if cell.sum() > SHRINK * len(rows):
+                    self.compare(rows[visit], rows[stay])
+                else:
+                    self.join(rows[cell], visit[cell], stay[cell], level + 1)
+
+    def stops(self, rows: np.ndarray, asks: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Rows that need ask no more: of members one component, if the members that are quiet already lie in it."""
+        part = self.part[rows]
+        quiet = np.unique(part[member & ~asks])
+        found, n = np.unique(part[member], return_counts=True)
+        if len(quiet) > 1:
+            return np.zeros(len(rows), bool)
+        top = quiet[0] if len(quiet) else found[n.argmax()]
+        # nobody asks a document that only visits: it stops when no other component is left to find
+        return (part == top) & (member | (len(found) == 1))
+
+    def links(self) -> pd.DataFrame:
+        """(a, b): a forest of the links found."""
+        other = self.part != np.arange(len(self.ids))
+        return pd.DataFrame({"a": self.ids[other], "b": self.ids[self.part[other]]})
 
 
 def join_regions(rows: DataFrame) -> DataFrame:
-    """(a, b): forests of the links between askers and members of one region, by block.
+    """(a, b): forests of the links within regions that fit a task each; several share one."""
+    held = rows.agg(F.sum(F.octet_length("set").cast("long"))).first()[0] or 0
+    tasks = max(1, int(4 * held // FIT))
 
-    ``rows`` has (region, doc_id, asks, member, set). Small regions share
-    tasks; the members of large ones are cut into blocks that each meet blocks
-    of the askers.
-    """
-    sizes = rows.groupBy("region").agg(F.ceil(F.sum(F.col("asks").cast("int")) / REGION).cast("int").alias("asking"), F.ceil(F.sum(F.col("member").cast("int")) / REGION).cast("int").alias("inside"), F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, int(total) // REGION)
-    asks = rows.join(sizes.where("asking > 0 AND inside > 0").drop("n"), "region")
-    own = F.pmod(F.xxhash64("doc_id"), F.greatest("asking", F.lit(1))).cast("int")
-    there = F.pmod(F.xxhash64("doc_id"), F.greatest("inside", F.lit(1))).cast("int")
-    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    one = asks.where("asks").select("region", "doc_id", "set", "asking", "inside", F.lit(True).alias("asks"), own.alias("i"), F.explode(every("inside")).alias("j"))
-    two = asks.where("member").select("region", "doc_id", "set", "asking", "inside", F.lit(False).alias("asks"), F.explode(every("asking")).alias("i"), there.alias("j"))
-    met = one.unionByName(two)
-    small = (F.col("asking") == 1) & (F.col("inside") == 1)
-    task = F.when(small, F.pmod(F.xxhash64("region"), F.lit(tasks))).otherwise(F.xxhash64("region", "i", "j"))
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
+        for _, part in pdf.groupby("region"):
+            region = Region(part["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in part["set"]])
+            region.join(np.arange(len(part)), part["asks"].to_numpy(bool), part["member"].to_numpy(bool))
+            out.append(region.links())
+        return pd.concat(out)
+
+    return rows.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks))).groupBy("task").applyInPandas(join, "a long, b long")
+
+
+def join_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b): forests of the links between askers and members of each region, by blocks of both: for large regions that pivots don't split."""
+    sizes = rows.groupBy("region").agg(F.ceil(F.sum(F.col("asks").cast("int")) / BLOCK).cast("int").alias("asking"), F.ceil(F.sum(F.col("member").cast("int")) / BLOCK).cast("int").alias("inside"))
+    asks = rows.join(sizes.where("asking > 0 AND inside > 0"), "region")
+    own = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = asks.where("asks").select("region", "doc_id", "set", F.lit(True).alias("asks"), own("asking").alias("i"), every("inside").alias("j"))
+    two = asks.where("member").select("region", "doc_id", "set", F.lit(False).alias("asks"), every("asking").alias("i"), own("inside").alias("j"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [links_within(part[part["asks"]], part[~part["asks"]]) for _, part in pdf.groupby(["region", "i", "j"])]
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+        region = Region(pdf["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in pdf["set"]])
+        asks = pdf["asks"].to_numpy(bool)
+        region.compare(np.flatnonzero(asks), np.flatnonzero(~asks))
+        # rows are told apart here, documents in the links
+        return region.links().query("a != b")
 
-    return met.select("region", "i", "j", "doc_id", "asks", "set", task.alias("task")).groupBy("task").applyInPandas(join, "a long, b long")
+    return one.unionByName(two).groupBy("region", "i", "j").applyInPandas(join, "a long, b long")
 
 
 def split_regions(rows: DataFrame, space: Workspace, level: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links to pivots, (node, component) by these and those of the levels ``before``, and the cells of the regions: rows as those of ``join_regions``.
 
-    A pivot is the member of smallest hash in each of PIVOTS slots of a region.
+    A pivot is the member of smallest hash in each slot of a region; slots are
+    in proportion to its sets, two for each task they would fill, up to WIDE.
     """
     draw = F.xxhash64("doc_id", F.lit(level))
-    slot = F.pmod(draw, F.lit(PIVOTS)).cast("int")
-    pivots = rows.where("member").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "doc_id")).alias("p")).select("region", F.col("p.doc_id").alias("doc_id"))
+    room = rows.groupBy("region").agg(F.greatest(F.sum(F.octet_length("set").cast("long")) / FIT, F.count(F.lit(1)) / MOST).alias("tasks"))
+    room = room.select("region", F.least(F.lit(WIDE), F.greatest(F.lit(8), F.ceil(2 * F.col("tasks")))).cast("int").alias("slots"))
+    slot = F.pmod(draw, F.col("slots")).cast("int")
+    pivots = rows.where("member").join(room, "region").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "doc_id")).alias("p")).select("region", F.col("p.doc_id").alias("doc_id"))
     pivots = space.table(rows.where("member").select("region", "doc_id", "set").join(pivots, ["region", "doc_id"]), "jaccard-pivots")
-    salts = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("salts"))
+    salts = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
     salted = rows.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("salts")).cast("int"))
     spread = pivots.join(salts, "region").select("region", "doc_id", "set", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
@@ -357,7 +428,8 @@ def split_regions(rows: DataFrame, space: Workspace, level: int, before: DataFra
     visit = visit.join(reach, ["region", "cell"]).where(F.col("d") <= F.col("reach") + RADIUS + 1e-9).select(name.alias("region"), "doc_id", F.lit(True).alias("asks"), F.lit(False).alias("member"))
     # a document that both stays and asks is one row
     cells = stay.unionByName(visit).groupBy("region", "doc_id").agg(F.max("asks").alias("asks"), F.max("member").alias("member"))
-    return sure, parts, cells
+    above = placed.join(rows.groupBy("region").agg(F.max("above").alias("above")), "region").groupBy(name.alias("region")).agg(F.max("above").alias("above"))
+    return sure, parts, cells.join(above, "region")
 
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id", space: Workspace | None = None) -> DataFrame:
@@ -400,17 +472,22 @@ def linked(rare: DataFrame, chunks: DataFrame, space: Workspace) -> DataFrame:
 
     sets = chunks.select("ids", "sizes", "sets").mapInArrow(apart, "doc_id long, set binary")
     sets = space.table(sets.join(ids, "doc_id"), "jaccard-region-sets")
-    rows = sets.select("region", "doc_id", F.lit(True).alias("asks"), F.lit(True).alias("member"), "set")
+    rows = sets.select("region", "doc_id", F.lit(True).alias("asks"), F.lit(True).alias("member"), "set", F.lit(None).cast("long").alias("above"))
     found, parts = [], None
-    for level in range(LEVELS):
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > LARGE).select("region")
+    level = 0
+    while True:
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("set").cast("long")).alias("held"), F.max("above").alias("above"))
+        large = space.table(sizes.where((F.col("n") > MOST) | (F.col("held") > FIT)).select("region", "n", F.coalesce(F.col("n") > SHRINK * F.col("above"), F.lit(False)).alias("stuck")), "jaccard-large")
         if large.isEmpty():
             break
-        found.append(join_regions(rows.join(large, "region", "left_anti")))
-        sure, parts, cells = split_regions(rows.join(large, "region"), space, level, parts)
+        found.append(space.table(join_regions(rows.join(large, "region", "left_anti")), "jaccard-found"))
+        if not (stuck := large.where("stuck")).isEmpty():
+            found.append(space.table(join_blocks(rows.join(stuck.select("region"), "region")), "jaccard-found"))
+        rows = rows.drop("above").join(large.where("NOT stuck").select("region", F.col("n").alias("above")), "region")
+        sure, parts, cells = split_regions(rows, space, level, parts)
         found.append(sure)
-        rows = space.table(cells.join(sets.select("doc_id", "set"), "doc_id").select("region", "doc_id", "asks", "member", "set"), "jaccard-level")
+        rows = space.table(cells.join(sets.select("doc_id", "set"), "doc_id").select("region", "doc_id", "asks", "member", "set", "above"), "jaccard-level")
+        level += 1
     found.append(join_regions(rows))
     out = found[0]
     for more in found[1:]:

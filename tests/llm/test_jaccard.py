@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from dossier.llm import jaccard_join
@@ -59,15 +60,47 @@ def test_against_brute_force(spark):
     assert jaccard_join.components(df.where("doc_id < 9003 AND doc_id >= 9000")).count() == 3
 
 
-@pytest.mark.parametrize(("region", "levels"), [(8, 3), (16, 1)])
-def test_regions_split_by_pivots(spark, monkeypatch, region, levels):
-    monkeypatch.setattr(jaccard_join, "REGION", region)
-    monkeypatch.setattr(jaccard_join, "LARGE", 2 * region)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
-    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+@pytest.mark.parametrize(("most", "shrink"), [(16, 0.9), (30, 0.2)])
+def test_regions_split_over_tasks(spark, monkeypatch, most, shrink):
+    monkeypatch.setattr(jaccard_join, "MOST", most)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "SHRINK", shrink)  # at the lower, most cells don't shrink enough and go to blocks
     check(spark, rows_of(2, groups=5, most=50))
 
 
+@pytest.mark.parametrize("leaf", [2, 8])
+def test_recursion_in_one_task(leaf, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "EACH", 3)
+    for rows in (rows_of(4, groups=5, most=60), chained(5, families=5)):
+        texts = dict(rows)
+        own = [(i, jaccard_join.shingle_sets(jaccard_join.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))[1]) for i, t in rows if t and t.strip()]
+        region = jaccard_join.Region(np.array([i for i, _ in own]), [h for _, h in own])
+        every = np.ones(len(own), bool)
+        region.join(np.arange(len(own)), every, every)
+        want = {i: c for i, _, c in brute([(i, texts[i]) for i, _ in own])}
+        got = region.ids[region.part]
+        assert len(set(want.values())) == len(set(got)) == len({(want[i], c) for i, c in zip(region.ids, got, strict=True)})
+
+
+def test_pivots_do_the_work_at_production_parameters(spark, monkeypatch):
+    seen = []
+    join = jaccard_join.Region.join
+    monkeypatch.setattr(jaccard_join.Region, "join", lambda self, rows, asks, member, level=0: (seen.append((level, len(rows))), join(self, rows, asks, member, level))[1])
+    rows = chained(7, families=6, most=150)
+    ids = np.arange(len(rows))
+    region = jaccard_join.Region(ids, [jaccard_join.shingle_sets(jaccard_join.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))[1] for _, t in rows])
+    region.join(ids, ids >= 0, ids >= 0)
+    assert max(level for level, _ in seen) >= 2
+    assert len(set(region.part)) == len({c for *_, c in brute(rows)})
+
+
+def test_words_of_repeated_patterns_do_not_meet(spark):
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, a), (2, b), (3, "another"), (4, "z" * 2_000_000), (5, "z" * 2_000_000 + " y")])
+
+
 def test_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, jaccard_join.components(df).collect()))
@@ -93,8 +126,7 @@ def chained(seed, families=12, most=70):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chained_families_in_regions_that_split_again(spark, monkeypatch, seed):
-    monkeypatch.setattr(jaccard_join, "LARGE", 16)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "MOST", 16)
     check(spark, chained(seed))
 
 
