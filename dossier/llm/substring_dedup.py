@@ -36,7 +36,7 @@ from dossier.llm.workdir import Workspace
 
 WINDOW, SEED = 20, 8
 #: Text of a chunk, and text for each block, in bytes.
-CHUNK, BLOCK = 8 << 20, 24 << 20
+CHUNK, BLOCK = 8 << 20, 6 << 20
 #: Marks an entry that stands for several factors of its chunk.
 SEVERAL = 0xFFFFFFFF
 
@@ -276,7 +276,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, seed: int = SEED, text
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     # as many buckets as chunks, about: each file of the table holds one or a few
     chunks = space.table(chunks_of(docs), "substring-chunks", buckets=max(8, min(100_000, size // CHUNK)), by="chunk")
-    blocks = max(8, size // BLOCK)
+    blocks = max(32, size // BLOCK)
     bits = space.table(shared_seeds(chunks, blocks, window, seed), "substring-bits")
     masks = space.table(matched(factors(chunks.join(bits, "chunk"), blocks, window, seed), window), "substring-masks")
     replies = masks.groupBy("chunk").agg(F.collect_list(F.struct("n", "mask")).alias("replies"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from dossier.llm import chat_format, components, embedding_dedup
+from dossier.llm.workdir import Workspace
 
 
 def brute_components(ids, edges):
@@ -27,10 +28,11 @@ def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, 900), (501, 900), (502, 900)]
     want = brute_components({x for e in edges for x in e if e[0] != e[1]}, [e for e in edges if e[0] != e[1]])
-    for few in (0, 10_000):
-        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), few=few)
+    space = Workspace(spark)
+    for part in (40, 10_000):
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), space, part=part)
         assert {r.node: r.component for r in got.collect()} == want
-    assert components.connected_components(spark.createDataFrame([], "a long, b long"), few=-1).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long"), space).count() == 0
 
 
 def brute_links(rows, cosine):
@@ -48,8 +50,12 @@ def brute_links(rows, cosine):
             if la is not None and la == lb and a is not None and b is not None and len(a) == len(b) and a @ b >= cosine:
                 links[x].add(y)
                 links[y].add(x)
-    part = brute_components([i for i, _, _ in rows], [(rows[x][0], rows[y][0]) for x in range(len(rows)) for y in links[x]])
-    return sorted((rows[x][0], len(links[x]), part[rows[x][0]], part[rows[x][0]] == rows[x][0]) for x in range(len(rows)))
+    at = brute_components(range(len(rows)), [(x, y) for x in range(len(rows)) for y in links[x]])
+    least = {}
+    for x, r in at.items():
+        least[r] = min(least.get(r, rows[x][0]), rows[x][0])
+    part = {x: least[r] for x, r in at.items()}
+    return sorted((rows[x][0], len(links[x]), part[x], part[x] == rows[x][0]) for x in range(len(rows)))
 
 
 def test_embeddings(spark, monkeypatch):
@@ -59,6 +65,7 @@ def test_embeddings(spark, monkeypatch):
     rows = [(i, [float(e) for e in x], int(i % 2)) for i, x in enumerate(v)]
     rows += [(600, None, 1), (601, [0.0] * 12, 1), (602, [1.0] * 12, None), (603, [float("nan")] * 12, 1), (604, [None, 1.0], 1), (605, [1.0, 2.0], 1), (606, [2.0, 4.0], 1), (607, [], 1)]
     rows += [(700 + i, rows[0][1], 0) for i in range(40)]
+    rows += [(800 + i, [float(e) for e in v[0] + rng.normal(size=12) * 0.01], 0) for i in range(60)] + [(3, rows[3][1], 1), (3, rows[9][1], 1)]
     monkeypatch.setattr(embedding_dedup, "LIST", 20)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     df = spark.createDataFrame([(a, b, c, "x") for a, b, c in rows], "vec_id long, embedding array<double>, label int, n string")
