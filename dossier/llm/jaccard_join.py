@@ -52,7 +52,7 @@ CHUNK, BUCKET = 8 << 20, 12 << 20
 #: Rows of a chunk at most: they are numbered in 16 bits.
 CHUNK_ROWS = 60_000
 #: Bytes of sets, and documents, of a region that one task holds; documents on either side of a block that is compared directly.
-FIT, MOST, BLOCK = 32 << 20, 8192, 1024
+FIT, MOST, BLOCK = 16 << 20, 4096, 1024
 #: Documents of a cell that are compared directly, for each pivot in a task, and the most pivots there and of a split over tasks.
 LEAF, EACH, PIVOTS, WIDE = 48, 24, 32, 64
 #: A cell of more than this share of its region doesn't shrink.
@@ -252,22 +252,33 @@ def rare_shingles(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.join(replies, "chunk").mapInArrow(choose, "h long, doc_id long")
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
-    _, inverse, n = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    use = n[inverse] > 1
-    column = (np.cumsum(n > 1) - 1)[inverse[use]]
-    row = row[use]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
+def intersections(a: list[np.ndarray], b: list[np.ndarray], rows: int = 1024, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, in blocks of rows and of shingles."""
+    known, place = np.unique(np.concatenate(b), return_inverse=True)
+    owner = np.repeat(np.arange(len(b)), [len(x) for x in b])
     total = np.zeros((len(a), len(b)), np.float32)
-    width = 2048
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, (first, first + width))
-        m = np.zeros((len(a) + len(b), width), np.float32)
-        m[row[lo:hi], column[lo:hi] - first] = 1
-        total += m[: len(a)] @ m[len(a) :].T
+    for first in range(0, len(a), rows):
+        part = a[first : first + rows]
+        flat, row = np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])
+        at = np.searchsorted(known, flat)
+        at[at == len(known)] = 0
+        hit = known[at] == flat
+        # only shingles that both sides have get a column
+        used, column = np.unique(at[hit], return_inverse=True)
+        row = row[hit]
+        number = np.full(len(known), -1)
+        number[used] = np.arange(len(used))
+        there = number[place]
+        other, there = owner[there >= 0], there[there >= 0]
+        order, turn = np.argsort(column, kind="stable"), np.argsort(there, kind="stable")
+        column, row, there, other = column[order], row[order], there[turn], other[turn]
+        for start in range(0, len(used), width):
+            lo, hi = np.searchsorted(column, (start, start + width))
+            low, high = np.searchsorted(there, (start, start + width))
+            x, y = np.zeros((len(part), width), np.float32), np.zeros((len(b), width), np.float32)
+            x[row[lo:hi], column[lo:hi] - start] = 1
+            y[other[low:high], there[low:high] - start] = 1
+            total[first : first + rows] += x @ y.T
     return total
 
 
@@ -395,9 +406,7 @@ def split_regions(rows: DataFrame, space: Workspace, level: int, before: DataFra
     def measure(docs: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(near):
             return pd.DataFrame({c: [] for c in ("region", "doc_id", "asks", "member", "pivots", "d")})
-        a, b = ([np.frombuffer(x, "<u8") for x in t["set"]] for t in (docs, near))
-        both = intersections(a, b).astype(np.float64)
-        d = 1 - both / (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both)
+        d, _ = close_pairs(*([np.frombuffer(x, "<u8") for x in t["set"]] for t in (docs, near)))
         ids = near["doc_id"].to_numpy()
         return pd.DataFrame({"region": docs["region"].to_numpy(), "doc_id": docs["doc_id"].to_numpy(), "asks": docs["asks"].to_numpy(), "member": docs["member"].to_numpy(), "pivots": [ids] * len(docs), "d": list(d)})
 
