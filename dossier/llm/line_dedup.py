@@ -130,12 +130,17 @@ def later(classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): classes that link with an earlier one."""
     live = classes.where("prefix IS NOT NULL")
     entries = live.select("id", "n", (F.col("n") - F.col("own")).alias("rest"), F.posexplode("prefix").alias("at", "w")).select("w", "id", "n", (F.col("rest") - F.col("at")).alias("rest"))
-    heads = entries.groupBy("w").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("m"), F.min_by("rest", "id").alias("over"), F.count(F.lit(1)).alias("holders"))
-    shared = space.table(entries.join(heads.where("holders > 1").drop("holders"), "w"), "line-prefixes")
+    ends = [f("n", "id").alias(c) for f, c in ((F.min_by, "m"), (F.max_by, "n"))] + [f("rest", "id").alias(c) for f, c in ((F.min_by, "over"), (F.max_by, "rest"))]
+    heads = space.table(entries.groupBy("w").agg(F.min("id").alias("head"), F.max("id").alias("id"), *ends, F.count(F.lit(1)).alias("holders")).where("holders > 1"), "line-heads")
     length = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
     # for the rarest word that two sets share, the words from it on must suffice
     position = 9 * F.least("rest", "over") >= 4 * (F.col("n") + F.col("m"))
-    found = verified(shared.where((F.col("head") < F.col("id")) & length & position).select("id", F.col("head").alias("other")).distinct(), classes, docs, space)
+    # a word with two holders gives its one pair at once; only words with more have to be met again
+    two = heads.where((F.col("holders") == 2) & length & position).select("id", F.col("head").alias("other"))
+    shared = space.table(entries.join(heads.where("holders > 2").select("w", "head", "m", "over"), "w"), "line-prefixes")
+    first = shared.where((F.col("head") < F.col("id")) & length & position).select("id", F.col("head").alias("other"))
+    found = verified(first.union(two).distinct(), classes, docs, space)
+    space.drop(heads)
     left = shared.where("head < id").join(found, "id", "left_anti").select("w", "id", "n", "rest")
     met = left.join(shared.select("w", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("over"), "head"), "w")
     # the earliest holder of each word has been tried
