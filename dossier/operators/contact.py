@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed
-from dossier.functions.textkit import found, full_lines, has_any, let, or_empty, strip, title_case, words
+from dossier.functions.textkit import found, full_lines, has_any, let, n_words, or_empty, strip, title_case, words
 
 
 def email(x: Column) -> Column:
@@ -87,3 +87,10 @@ def contact(text: Column, header: Column) -> Column:
     top = F.when(or_empty(header) != "", header).otherwise(F.substr(text, F.lit(1), F.lit(600)))
     fields = {"name": name(top), "email": email(text), "phone": phone(text), "linkedin": linkedin(text), "portfolio": portfolio(text)}
     return F.struct(*(or_empty(c).alias(n) for n, c in fields.items()))
+
+
+def known_name(text: Column, people: Column) -> Column:
+    """The first of the people whom a model found that stands, with two words or more, in one of the first lines that could be a name."""
+    top = F.slice(full_lines(text), 1, 8)
+    fit = F.filter(top, lambda y: ~y.rlike(r"(?U)[\d@]") & ~F.lower(y).contains("http") & n_words(y).between(2, 4))
+    return title_case(F.get(F.filter(people, lambda p: (n_words(p) >= 2) & F.exists(fit, lambda y: y.contains(p))), F.lit(0)))

@@ -69,13 +69,14 @@ def split_title_company(x: Column) -> Column:
     return _halves(x, fixed.TITLE_SEPARATORS, ("title", "company"), choose)
 
 
-def split_degree_institution(x: Column) -> Column:
-    """STRUCT<degree, institution> of a line that names both; null otherwise."""
+def split_degree_institution(x: Column, known: Column | None = None) -> Column:
+    """STRUCT<degree, institution> of a line that names both; null otherwise. ``known`` has organisations that a model found."""
 
     def choose(a: Column, b: Column) -> Column:
         degree = lambda y: has_any(F.lower(y), fixed.DEGREES)
         college = lambda y: has_any(F.lower(y), fixed.COLLEGES)
-        found = F.when(degree(a) & college(b), 1).when(degree(b) & college(a), 2).when(degree(a) & (n_words(b) <= 8), 1)
+        place = college(b) if known is None else college(b) | F.exists(F.coalesce(known, F.array().cast("array<string>")), b.contains)
+        found = F.when(degree(a) & place, 1).when(degree(b) & college(a), 2).when(degree(a) & (n_words(b) <= 8), 1)
         return F.when(~is_single(a), found)
 
     return _halves(x, fixed.DEGREE_SEPARATORS, ("degree", "institution"), choose)
@@ -121,13 +122,15 @@ def _set(open_: Column, value: Column, old: Column) -> Column:
     return F.when(open_, value).otherwise(old)
 
 
-def experience_of(block: Column) -> Column:
+def experience_of(block: Column, known: Column | None = None) -> Column:
     """One job from the lines of an entry."""
 
     def facts(line: Column) -> Column:
         low, bare, bullet = F.lower(line), strip(line, fixed.EDGE), starts_with_any(line, fixed.BULLET_STARTS)
         short = ~bullet & (n_words(bare) <= 6)
+        named = F.lit(None).cast("string") if known is None else F.get(F.filter(known, lambda o: line.contains(o) & (n_words(o) <= 5)), F.lit(0))
         return F.struct(
+            F.when(short, named).alias("named"),
             line.alias("line"),
             bare.alias("bare"),
             date_range(line).alias("date"),
@@ -145,11 +148,13 @@ def experience_of(block: Column) -> Column:
         only = dated & r.only_date
         both = ~only & ((s.title == "") | (s.company == "")) & r.both.isNotNull()
         job = ~only & ~both & r.job & (s.title == "")
-        firm = ~only & ~both & ~job & r.firm & (s.company == "")
+        # a line that names an organisation gives the company, and is told as well
+        named = ~only & ~both & ~job & r.named.isNotNull() & (s.company == "")
+        firm = ~only & ~both & ~job & ~named & r.firm & (s.company == "")
         rest = ~(only | both | job | firm)
         return F.struct(
             _set(job, r.bare, _set(both & (s.title == ""), r.both.title, s.title)).alias("title"),
-            _set(firm, r.bare, _set(both & (s.company == ""), r.both.company, s.company)).alias("company"),
+            _set(named, r.named, _set(firm, r.bare, _set(both & (s.company == ""), r.both.company, s.company))).alias("company"),
             _set(dated, r.date, s.dates).alias("dates"),
             _set(rest, F.array_append(s.told, r.line), s.told).alias("told"),
         )
@@ -165,13 +170,13 @@ def experience_of(block: Column) -> Column:
     return let(F.transform(full_lines(block), facts), finish)
 
 
-def experience(x: Column) -> Column:
-    """ARRAY<STRUCT<company, title, dates, description>> of a section."""
-    jobs = F.transform(entry_blocks(or_empty(x)), experience_of)
+def experience(x: Column, known: Column | None = None) -> Column:
+    """ARRAY<STRUCT<company, title, dates, description>> of a section; ``known`` has organisations that a model found."""
+    jobs = F.transform(entry_blocks(or_empty(x)), lambda b: experience_of(b, known))
     return F.filter(jobs, lambda e: (e.title != "") | (e.company != ""))
 
 
-def education_of(block: Column) -> Column:
+def education_of(block: Column, known: Column | None = None) -> Column:
     """One degree from the lines of an entry."""
 
     def facts(line: Column) -> Column:
@@ -182,7 +187,7 @@ def education_of(block: Column) -> Column:
             any_date(line).alias("date"),
             (undated == "").alias("only_date"),
             (is_course(line) | starts_with_any(line, fixed.SHORT_BULLET_STARTS)).alias("skip"),
-            split_degree_institution(bare).alias("both"),
+            split_degree_institution(bare, known).alias("both"),
             has_any(low, fixed.DEGREES).alias("degree"),
             has_any(low, fixed.COLLEGES).alias("college"),
         )
@@ -201,17 +206,24 @@ def education_of(block: Column) -> Column:
             _set(dated, r.date, s.dates).alias("dates"),
         )
 
+    def by_model(s: Column) -> Column:
+        # what the lines don't give comes from degree phrases and organisations of the whole entry
+        college = F.get(F.filter(known, lambda o: block.contains(o) & has_any(F.lower(o), fixed.COLLEGES) & ~is_course(o)), F.lit(0))
+        fill = lambda old, new: F.when(old == "", or_empty(new)).otherwise(old)
+        return F.struct(fill(s.degree, degree_phrase(block)).alias("degree"), fill(s.institution, college).alias("institution"), s.dates.alias("dates"))
+
     def record(s: Column) -> Column:
         only_date = is_range(strip(s.degree)) | is_single(strip(s.degree))
         place = F.when(is_course(s.institution) | starts_with_any(s.institution, "-•*"), F.lit("")).otherwise(s.institution)
         return F.struct(place.alias("institution"), F.when(only_date, F.lit("")).otherwise(s.degree).alias("degree"), F.when(only_date & (s.dates == ""), s.degree).otherwise(s.dates).alias("dates"))
 
-    return let(F.aggregate(F.transform(full_lines(block), facts), empty, step), record)
+    said = F.aggregate(F.transform(full_lines(block), facts), empty, step)
+    return let(said if known is None else let(said, by_model), record)
 
 
-def education(x: Column) -> Column:
-    """ARRAY<STRUCT<institution, degree, dates>> of a section."""
-    return F.filter(F.transform(entry_blocks(or_empty(x)), education_of), lambda e: (e.degree != "") | (e.institution != ""))
+def education(x: Column, known: Column | None = None) -> Column:
+    """ARRAY<STRUCT<institution, degree, dates>> of a section; ``known`` has organisations that a model found."""
+    return F.filter(F.transform(entry_blocks(or_empty(x)), lambda b: education_of(b, known)), lambda e: (e.degree != "") | (e.institution != ""))
 
 
 def projects(x: Column) -> Column:

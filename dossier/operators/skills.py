@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,15 @@ def exact(x: Column, ontology: Ontology) -> Column:
     return F.array_distinct(F.concat(single, several))
 
 
+def exact_found(x: Column, ontology: Ontology) -> Column:
+    """ARRAY<STRUCT<source, alias, canonical>>: the first alias of each canonical that ``exact`` finds, and the text that it matched."""
+    folded = F.lower(x)
+    at = lambda a: F.when(folded.contains(a.folded) & x.rlike(a.pattern), F.struct(strip(F.regexp_extract(x, a.pattern, 0)).alias("source"), F.lit(a.folded).alias("alias"), F.lit(a.canonical).alias("canonical")))
+    none = F.lit(None).cast("struct<source:string,alias:string,canonical:string>")
+    found = F.array_compact(F.array(none, *map(at, ontology.aliases)))
+    return let(found, lambda f: F.filter(f, lambda y, i: F.array_position(F.transform(f, lambda z: z.canonical), y.canonical) == i + 1))
+
+
 def candidate_phrases(x: Column) -> Column:
     """Chunks between delimiters of at most 50 characters, with their words, pairs and triples of words."""
 
@@ -141,25 +154,99 @@ def similar(phrases: DataFrame, ontology: Ontology, threshold: float = LEAST, me
     return near.groupBy("phrase").agg(F.min(F.struct("idx", "alias", "canonical", "score")).alias("b")).select("phrase", "b.alias", "b.canonical", "b.score")
 
 
+def _groups(rows: list[tuple[int, dict]], fields: str) -> Column:
+    """A constant array that has, for each length of a phrase, the array of what can resemble it."""
+    groups: list[list[dict]] = [[] for _ in range(max((n for n, _ in rows), default=0) + 1)]
+    for n, row in rows:
+        groups[n].append(row)
+    return F.from_json(F.lit(json.dumps(groups)), f"ARRAY<ARRAY<STRUCT<{fields}>>>")
+
+
+def similar_in(keys: Column, ontology: Ontology, threshold: float = LEAST, method: str = "indel") -> Column:
+    """ARRAY<STRUCT<phrase, alias, canonical, score>> of the looked-up keys of one text, by the rules of ``similar``.
+
+    Everything happens within the row: of the dictionary, which is a constant
+    of the plan, only aliases of a fitting length are compared, and those too
+    many edits away go before the costly score.
+    """
+    kind = "array<struct<phrase:string,alias:string,canonical:string,score:double>>"
+    if not ontology.canonical:
+        return F.array().cast(kind)
+    least, rows = max(float(threshold), LEAST), []
+    if method == "indel":
+        ratio = (200 - least) / least
+        for n, (alias, canonical) in enumerate(ontology.canonical.items()):
+            a = " ".join(sorted(alias.split()))
+            rows += [(size, {"idx": n, "alias": alias, "canonical": canonical, "a": a}) for size in range(math.ceil(len(a) / ratio), math.floor(len(a) * ratio) + 1)]
+        groups = _groups(rows, "idx INT, alias STRING, canonical STRING, a STRING")
+
+        def best(p: Column) -> Column:
+            def of(s: Column) -> Column:
+                most = lambda c: F.floor((100 - least) * (F.length(s) + F.length(c.a)) / 100)
+                near = F.filter(F.get(groups, F.length(s)), lambda c: F.levenshtein(s, c.a) <= most(c))
+                scored = F.transform(near, lambda c: F.struct(indel_ratio(s, c.a).alias("score"), (-c.idx).alias("first"), c["alias"].alias("alias"), c.canonical.alias("canonical")))
+                return F.array_max(F.filter(scored, lambda y: y.score >= least))
+
+            def guarded(b: Column) -> Column:
+                fits = (F.size(words(p)) == F.size(words(b["alias"]))) & (F.abs(F.length(p) - F.length(b["alias"])) <= 3)
+                return F.when(b.isNotNull() & fits, F.struct(p.alias("phrase"), b["alias"].alias("alias"), b.canonical.alias("canonical"), b.score.alias("score")))
+
+            return let(let(token_sort(p), of), guarded)
+    else:
+        for n, (alias, canonical) in enumerate(ontology.canonical.items()):
+            if not alias[:1].isalnum():
+                continue
+            row = {"idx": n, "alias": alias, "canonical": canonical, "a": " ".join(sorted(re.findall(r"\w+", alias))), "initial": alias[0], "n": len(alias.split())}
+            rows += [(size, row) for size in range(max(0, len(alias) - 3), len(alias) + 4)]
+        groups = _groups(rows, "idx INT, alias STRING, canonical STRING, a STRING, initial STRING, n INT")
+
+        def best(p: Column) -> Column:
+            def of(k: Column) -> Column:
+                longest = lambda c: F.greatest(F.length(k.s), F.length(c.a))
+                score = lambda c: F.when(k.s == c.a, F.lit(100.0)).when(F.least(F.length(k.s), F.length(c.a)) == 0, F.lit(0.0)).otherwise(F.round((1 - F.levenshtein(k.s, c.a) / longest(c)) * 100, 2))
+                near = F.filter(F.get(groups, F.length(p)), lambda c: (c.initial == k.initial) & (c.n == k.n))
+                scored = F.filter(F.transform(near, lambda c: F.struct(p.alias("phrase"), c["alias"].alias("alias"), c.canonical.alias("canonical"), score(c).alias("score"))), lambda y: y.score >= least)
+                return F.get(scored, F.lit(0))
+
+            fold = F.array_join(F.array_sort(F.regexp_extract_all(p, F.lit(r"(?U)\w+"), F.lit(0))), " ")
+            return let(F.struct(fold.alias("s"), F.substring(p, 1, 1).alias("initial"), F.size(words(p)).alias("n")), of)
+
+    unknown = F.filter(keys, lambda k: (F.length(k) >= 4) & ~k.isin(*ontology.canonical))
+    return F.array_compact(F.transform(unknown, best)).cast(kind)
+
+
 def skill_matches(df: DataFrame, ontology: Ontology, threshold: float = LEAST, method: str = "indel", text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, kind, source, alias, canonical, score): why each skill was found."""
-    spark = df.sparkSession
-    texts = df.select(key, F.col(text).alias("text"))
-    first = df.select(key, F.explode(exact(F.col(text), ontology)).alias("canonical"))
-    first = first.select(key, F.lit("EXACT").alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("alias"), "canonical", F.lit(100.0).alias("score"))
+    kind = "struct<kind:string,source:string,alias:string,canonical:string,score:double>"
     if not ontology.aliases:
-        return first
-    rows = phrase_rows(texts, key=key)
-    table = spark.createDataFrame(list(ontology.canonical.items()), "alias STRING, canonical STRING")
-    second = rows.join(table, F.col("phrase") == F.col("alias")).select(key, F.lit("EXACT PHRASE").alias("kind"), F.col("phrase").alias("source"), "alias", "canonical", F.lit(100.0).alias("score"))
-    third = rows.join(similar(rows, ontology, threshold, method), "phrase").select(key, F.lit("FUZZY").alias("kind"), F.col("phrase").alias("source"), "alias", "canonical", "score")
-    return first.unionByName(second).unionByName(third)
+        return df.select(key, F.explode(F.array().cast(f"array<{kind}>")).alias("m")).select(key, "m.*")
+    row = lambda name, source, alias, canonical, score: F.struct(F.lit(name).alias("kind"), source.alias("source"), alias.alias("alias"), canonical.alias("canonical"), score.alias("score")).cast(kind)
+
+    def found(keys: Column) -> Column:
+        first = F.transform(exact_found(F.col(text), ontology), lambda e: row("EXACT", e.source, e.alias, e.canonical, F.lit(100.0)))
+        second = F.transform(F.array_intersect(keys, _texts(ontology.canonical)), lambda k: row("EXACT PHRASE", k, k, _lookup(ontology.canonical, k), F.lit(100.0)))
+        third = F.transform(similar_in(keys, ontology, threshold, method), lambda m: row("FUZZY", m.phrase, m.alias, m.canonical, m.score))
+        return F.concat(first, second, third)
+
+    return df.select(key, F.explode(let(lookup_keys(F.col(text)), found)).alias("m")).select(key, "m.*")
+
+
+def skills_in(x: Column, ontology: Ontology, threshold: float = LEAST, method: str = "indel") -> Column:
+    """The distinct skills of one text, in order of their lower case: exact, by phrase, and similar ones."""
+    if not ontology.aliases:
+        return _texts([])
+
+    def found(keys: Column) -> Column:
+        phrases = F.transform(F.array_intersect(keys, _texts(ontology.canonical)), lambda k: _lookup(ontology.canonical, k))
+        near = F.transform(similar_in(keys, ontology, threshold, method), lambda m: m.canonical)
+        return F.array_union(exact(x, ontology), F.array_union(phrases, near))
+
+    return sorted_fold(let(lookup_keys(x), found))
 
 
 def skills(df: DataFrame, ontology: Ontology, threshold: float = LEAST, method: str = "indel", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, skills): each key's distinct skills, in order of their lower case; keys without any are left out."""
-    found = skill_matches(df, ontology, threshold, method, text, key)
-    return found.groupBy(key).agg(F.collect_set("canonical").alias("skills")).select(key, sorted_fold(F.col("skills")).alias("skills"))
+    """(key, skills) of each row, as ``skills_in`` finds them; keys without any are left out."""
+    return df.select(key, skills_in(F.coalesce(F.col(text), F.lit("")), ontology, threshold, method).alias("skills")).where(F.size("skills") > 0)
 
 
 def category_name(skill: Column, ontology: Ontology) -> Column:

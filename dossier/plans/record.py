@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.textkit import sorted_fold
+from dossier.functions.textkit import let, sorted_fold
 from dossier.operators import contact, entries, score, skills
 from dossier.operators.clean import clean
 from dossier.operators.sections import sections
@@ -20,14 +20,17 @@ from dossier.sources.ontology import Ontology
 class Settings:
     """What can be set: the dictionary, the threshold (at least 85 counts), the similarity, and named entities.
 
-    ``names`` adds a column ``ner_name`` to (key, text): a person's name where
-    the heuristics find none. Without it there is no named-entity step.
+    ``entities`` runs a named-entity model: it adds ``people`` and
+    ``organisations`` (arrays of texts as they stand, in order) to (key, text).
+    Names the heuristics miss, companies and institutions are then taken from
+    these, and degrees from the patterns for degrees. Without it there is no
+    named-entity step.
     """
 
     ontology: Ontology = field(default_factory=Ontology.load)
     threshold: float = skills.LEAST
     similarity: str = "indel"
-    names: Callable[[DataFrame], DataFrame] | None = None
+    entities: Callable[[DataFrame], DataFrame] | None = None
 
 
 def prepared(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -38,33 +41,32 @@ def prepared(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def parse_text(df: DataFrame, settings: Settings | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One record per row: contact, summary, experience, education, skills, projects, certifications, languages, hobbies.
 
-    All but the skills are columns of one projection. Similar phrases need a
-    distinct over the corpus; their skills are joined back by key.
+    All are columns of one projection: one scan, no shuffle. With ``entities``
+    set, what the model finds is joined by key first.
     """
     settings = settings or Settings()
     ready = prepared(df, text, key)
+    if settings.entities:
+        ready = ready.join(settings.entities(ready.select(key, "text")).select(key, "people", "organisations"), key, "left")
     part = lambda name: F.col("sections")[name]
-    found = skills.skills(ready, settings.ontology, settings.threshold, settings.similarity, key=key).withColumnRenamed("skills", "found")
     listed = skills.explicit(part("skills"), settings.ontology)
-    wide = ready.select(
+    found = skills.skills_in(F.col("text"), settings.ontology, settings.threshold, settings.similarity)
+    known = F.col("organisations") if settings.entities else None
+    whom = contact.contact(F.col("text"), part("contact"))
+    if settings.entities:
+        whom = let(whom, lambda c: c.withField("name", F.coalesce(F.nullif(c["name"], F.lit("")), contact.known_name(F.col("text"), F.col("people")), F.lit(""))))
+    return ready.select(
         key,
-        contact.contact(F.col("text"), part("contact")).alias("contact"),
+        whom.alias("contact"),
         part("summary").alias("summary"),
-        entries.experience(part("experience")).alias("experience"),
-        entries.education(part("education")).alias("education"),
-        listed.alias("listed"),
+        entries.experience(part("experience"), known).alias("experience"),
+        entries.education(part("education"), known).alias("education"),
+        sorted_fold(F.array_union(listed, found)).alias("skills"),
         entries.projects(part("projects")).alias("projects"),
         entries.certifications(part("certifications")).alias("certifications"),
         entries.list_items(part("languages")).alias("languages"),
         entries.list_items(part("hobbies")).alias("hobbies"),
     )
-    if settings.names:
-        wide = wide.join(settings.names(ready.select(key, "text")).select(key, "ner_name"), key, "left")
-        wide = wide.withColumn("contact", F.col("contact").withField("name", F.coalesce(F.nullif(F.col("contact")["name"], F.lit("")), "ner_name", F.lit(""))))
-    none = F.array().cast("array<string>")
-    both = sorted_fold(F.array_union("listed", F.coalesce("found", none)))
-    out = wide.join(found, key, "left").withColumn("skills", both)
-    return out.select(key, "contact", "summary", "experience", "education", "skills", "projects", "certifications", "languages", "hobbies")
 
 
 def parse_files(spark: SparkSession, path: str, settings: Settings | None = None, strict: bool = False) -> DataFrame:
@@ -73,26 +75,31 @@ def parse_files(spark: SparkSession, path: str, settings: Settings | None = None
     return parse_text(files.where("error IS NULL"), settings, "text", "path").join(files.select("path", "error"), "path", "right")
 
 
-def compare(records: DataFrame, jobs: DataFrame, settings: Settings | None = None, key: str = "doc_id", job_key: str = "jd_id") -> DataFrame:
+def compare(records: DataFrame, jobs: DataFrame, settings: Settings | None = None, key: str = "doc_id", job_key: str = "jd_id", zero: bool = False) -> DataFrame:
     """(key, job, required, matched, score): each record against each job it shares a skill with.
 
     Jobs' skills are found as in texts. The join is on the skill, so a pair
-    without a common skill (score 0) makes no row.
+    without a common skill makes no row; ``zero`` adds those pairs with a score
+    of 0, which is as many rows as there are records times jobs.
     """
     settings = settings or Settings()
-    wanted = skills.skills(jobs, settings.ontology, settings.threshold, settings.similarity, key=job_key)
-    one = wanted.select(job_key, F.size("skills").alias("required"), F.explode("skills").alias("skill"))
+    wanted = jobs.select(job_key, skills.skills_in(F.coalesce(F.col("text"), F.lit("")), settings.ontology, settings.threshold, settings.similarity).alias("skills"))
+    sized = wanted.select(job_key, F.size("skills").alias("required"), "skills")
+    one = sized.select(job_key, "required", F.explode("skills").alias("skill"))
     have = records.select(key, F.explode(F.array_distinct(F.transform("skills", F.lower))).alias("have"))
     met = have.join(one, F.col("have") == F.lower("skill")).groupBy(key, job_key, "required").agg(F.count(F.lit(1)).alias("matched"))
+    if zero:
+        every = records.select(key).crossJoin(sized.select(job_key, "required"))
+        met = every.join(met.drop("required"), [key, job_key], "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
     return met.withColumn("score", (F.col("matched") / F.greatest("required", F.lit(1)) * 100).cast("int"))
 
 
 class ResumeEngine:
     """The library's front door: settings once, then files, tables or single texts."""
 
-    def __init__(self, spark: SparkSession, ontology_path: str | None = None, threshold: float = skills.LEAST, similarity: str = "indel", names=None):
+    def __init__(self, spark: SparkSession, ontology_path: str | None = None, threshold: float = skills.LEAST, similarity: str = "indel", entities=None):
         self.spark = spark
-        self.settings = Settings(Ontology.load(spark, ontology_path), threshold, similarity, names)
+        self.settings = Settings(Ontology.load(spark, ontology_path), threshold, similarity, entities)
 
     def parse_files(self, path: str, strict: bool = False) -> DataFrame:
         return parse_files(self.spark, path, self.settings, strict)
@@ -108,8 +115,8 @@ class ResumeEngine:
     def extract_skills(self, df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         return skills.skills(df, self.settings.ontology, self.settings.threshold, self.settings.similarity, text, key)
 
-    def compare(self, records: DataFrame, jobs: DataFrame) -> DataFrame:
-        return compare(records, jobs, self.settings)
+    def compare(self, records: DataFrame, jobs: DataFrame, zero: bool = False) -> DataFrame:
+        return compare(records, jobs, self.settings, zero=zero)
 
 
 def with_scores(records: DataFrame, threshold: float = skills.LEAST) -> DataFrame:

@@ -45,8 +45,8 @@ def format_of(name: str, content: bytes) -> str:
 
 def annotation_links(content: bytes) -> list[str]:
     """Addresses of a PDF's link annotations, each once, in order."""
-    found = re.findall(rb"/URI\s*\(\s*(https?://[^)\s]+)\s*\)", content, re.I)
-    return list(dict.fromkeys(x.decode("latin-1") for x in found))
+    found = re.findall(rb"/URI\s*\((https?://[^)]+)\)", content, re.I)
+    return list(dict.fromkeys(x.decode("utf-8", "ignore") for x in found))
 
 
 def _inflate(data: bytes) -> bytes:
@@ -73,52 +73,84 @@ def pdf_streams(content: bytes) -> str:
         shown += [_plain(s) for s in re.findall(_STRING + rb"\s*(?:Tj|'|\")", data)]
         arrays = re.findall(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ", data)
         shown += ["".join(map(_plain, re.findall(_STRING, array))) for array in arrays]
-    text = "\n".join(shown)
-    if not text.strip():
-        text = "\n".join(x for x in content.decode("latin-1").splitlines() if len(x.strip()) > 3)
-    return text
+    return "\n".join(shown)
+
+
+def raw_lines(content: bytes) -> str:
+    """The lines of a file that is no more than text."""
+    return "\n".join(x.strip() for x in content.decode("latin-1").split("\n") if len(x.strip()) > 3)
+
+
+def _with_pypdf(content: bytes) -> tuple[str, list[str]]:
+    """Text of the pages that have any, and the addresses of their annotations."""
+    import pypdf
+
+    texts, links = [], []
+    for page in pypdf.PdfReader(io.BytesIO(content)).pages:
+        if text := page.extract_text():
+            texts.append(text)
+        try:
+            for annotation in page.get("/Annots") or ():
+                action = (annotation.get_object() or {}).get("/A") or {}
+                if str(action.get("/URI", "")).startswith("http"):
+                    links.append(str(action["/URI"]))
+        except Exception:
+            continue  # a page with broken annotations still has its text
+    return "\n".join(texts), list(dict.fromkeys(links))
+
+
+def _with_pdfminer(content: bytes) -> str:
+    from pdfminer.high_level import extract_text
+    from pdfminer.layout import LAParams
+
+    return extract_text(io.BytesIO(content), laparams=LAParams(line_margin=0.5, word_margin=0.1, char_margin=2.0, boxes_flow=0.5, detect_vertical=False, all_texts=True)) or ""
 
 
 def pdf_text(content: bytes) -> tuple[str, list[str]]:
-    """Text and links of a PDF: by a PDF library where one is installed and finds enough, else from the raw streams."""
-    links = annotation_links(content)
-    text = ""
-    try:
-        import pypdf
+    """Text and links of a PDF: by a PDF library where one is installed and finds enough, else from the raw streams.
 
-        text = "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages)
-    except Exception:
-        text = ""
+    Links that the text doesn't show are added to it. A file without shown
+    strings and links is read as plain lines.
+    """
+    text, links = "", []
+    try:
+        text, links = _with_pypdf(content)
+    except Exception:  # not installed, or a file it can't read
+        pass
     if len(text.strip()) <= ENOUGH:
+        text, links = "", []
         try:
-            from pdfminer.high_level import extract_text
-            from pdfminer.layout import LAParams
-
-            text = extract_text(io.BytesIO(content), laparams=LAParams(line_margin=0.5, word_margin=0.1, char_margin=2.0, boxes_flow=0.5, detect_vertical=False, all_texts=True))
+            text = _with_pdfminer(content)
         except Exception:
-            text = ""
+            pass
     if len(text.strip()) <= ENOUGH:
         text = pdf_streams(content)
-    return "\n".join([text, *(x for x in links if x not in text)]), links
+    links = list(dict.fromkeys([*links, *annotation_links(content)]))
+    if not text.strip() and not links:
+        text = raw_lines(content)
+    more = [x for x in links if x not in text]
+    return "\n".join([*([text] if text else []), *more]), links
+
+
+_MARKS = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n", f"{_WORD}noBreakHyphen": "-"}
 
 
 def _paragraph(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_WORD}t"))
+    """A paragraph's text with its tabs and breaks."""
+    return "".join(_MARKS.get(x.tag, (x.text or "") if x.tag == f"{_WORD}t" else "") for run in node.iter(f"{_WORD}r") for x in run)
 
 
 def docx_text(content: bytes, mode: str = "tables") -> str:
-    """``tables``: paragraphs first, then the rows of tables, cells joined by bars. ``xml``: all paragraphs in order."""
+    """``tables``: paragraphs first, then the rows of the body's tables, cells joined by bars. ``xml``: all paragraphs in order, blank ones as blank lines."""
     root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    if mode == "xml":
+        return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")).strip() for p in root.iter(f"{_WORD}p"))
     body = root.find(f"{_WORD}body")
-    if mode == "xml" or body is None:
-        found = (_paragraph(p).strip() for p in root.iter(f"{_WORD}p"))
-        return "\n".join(x for x in found if x)
-    out = [_paragraph(p) for p in body.findall(f"{_WORD}p")]
-    for table in body.findall(f"{_WORD}tbl"):
-        for row in table.iter(f"{_WORD}tr"):
-            cells = ["\n".join(_paragraph(p) for p in cell.findall(f"{_WORD}p")).strip() for cell in row.findall(f"{_WORD}tc")]
-            if any(cells):
-                out.append(" | ".join(c for c in cells if c))
+    out = [_paragraph(p).strip() for p in body.findall(f"{_WORD}p")]
+    for row in (row for table in body.findall(f"{_WORD}tbl") for row in table.findall(f"{_WORD}tr")):
+        cells = ["\n".join(_paragraph(p) for p in cell.findall(f"{_WORD}p")).strip() for cell in row.findall(f"{_WORD}tc")]
+        if any(cells):
+            out.append(" | ".join(c for c in cells if c))
     return "\n".join(out)
 
 
@@ -133,7 +165,7 @@ def decode(name: str, content: bytes) -> tuple[str | None, str | None, list[str]
             links = []
             try:
                 text = docx_text(content)
-            except (KeyError, AttributeError):
+            except AttributeError:  # no body
                 text = docx_text(content, "xml")
         if not text.strip():
             return kind, None, links, ("empty", "no text found")
