@@ -42,14 +42,16 @@ URL = r"(?i)https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{2,6}\
 MAIL_HOSTS = ["gmail.com", "yahoo.com", "outlook.com", "hotmail.com"]
 
 # Words that are no part of a person's name.
-NOT_NAMES = (
-    "resume curriculum vitae cv page email phone contact address profile summary experience education skills portfolio "
-    "github linkedin engineer developer manager lead architect analyst scientist consultant student intern software "
-    "frontend backend fullstack full-stack security guard officer details links hobbies languages place birth driving "
-    "license full male female married single nationality references available request career objective employment "
-    "history academic background qualifications professional interests activities certifications certificates notable "
-    "projects selected overview statement expertise competencies work studies awards honors publications"
-).split()
+NOT_NAMES = [
+    "resume", "curriculum", "vitae", "cv", "page", "email", "phone", "contact", "address", "profile", "summary",
+    "experience", "education", "skills", "portfolio", "github", "linkedin", "engineer", "developer", "manager", "lead",
+    "architect", "analyst", "scientist", "consultant", "student", "intern", "software", "frontend", "backend",
+    "fullstack", "full-stack", "security", "guard", "officer", "details", "links", "hobbies", "languages", "place",
+    "birth", "driving", "license", "full", "male", "female", "married", "single", "nationality", "references",
+    "available", "request", "career", "objective", "employment", "history", "academic", "background", "qualifications",
+    "professional", "interests", "activities", "certifications", "certificates", "notable", "projects", "selected",
+    "overview", "statement", "expertise", "competencies", "work", "studies", "awards", "honors", "publications",
+]
 
 # Dates.
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
@@ -59,12 +61,13 @@ DATE_RANGE = rf"\b(?:{MONTH}\.?,?\s+)?(?:19|20)\d{{2}}\s*(?:[-–—to/]+\s*(?:(
 # Keywords, tested as substrings.
 COLLEGES = ["university", "institute", "college", "school of", "academy", "polytechnic", "campus", "faculty", "iit", "nit", "bits", "mit", "stanford", "harvard", "berkeley", "oxford", "cambridge", "foundation", "asis", "training"]
 DEGREES = ["bachelor", "master", "doctor", "phd", "b.tech", "m.tech", "b.sc", "m.sc", "bba", "mba", "program", "programme", "certificate", "certification", "training", "diploma", "associate", "degree", "cpop", "socp", "cpo"]
-JOBS = (
-    "engineer developer architect scientist manager lead director analyst consultant designer intern associate "
-    "administrator specialist officer head vp programmer founder co-founder cto ceo cpo owner guard security agent "
-    "investigator technician inspector coordinator assistant supervisor representative practitioner attendant operator "
-    "counselor nurse teacher advisor"
-).split()
+JOBS = [
+    "engineer", "developer", "architect", "scientist", "manager", "lead", "director", "analyst", "consultant",
+    "designer", "intern", "associate", "administrator", "specialist", "officer", "head", "vp", "programmer", "founder",
+    "co-founder", "cto", "ceo", "cpo", "owner", "guard", "security", "agent", "investigator", "technician", "inspector",
+    "coordinator", "assistant", "supervisor", "representative", "practitioner", "attendant", "operator", "counselor",
+    "nurse", "teacher", "advisor",
+]
 FIRMS = ["inc", "corp", "technologies", "solutions", "services", "llc", "ltd", "security"]
 COURSE_LINE = r"(?i)^[-•*|·°º\t\s]*(?:course\s*curriculum|curriculum|coursework|courses|relevant\s*courses|major|gpa|grade|thesis|project|description|modules|focus)\b"
 DEGREE_PHRASES = r"(?i)(?<![\w.])(?:b\.?tech|m\.?tech|b\.?e|m\.?e|b\.?sc|b\.?s|m\.?sc|m\.?s|b\.?a|m\.?a|b\.?c\.?a|m\.?c\.?a|b\.?b\.?a|m\.?b\.?a|ph\.?d|b\.?com|m\.?com|cpo|cpop|socp|(?:bachelor|master) of .+|(?:bachelor'?s|master'?s) in .+|(?:bachelor's|master's) degree.*|doctor of philosophy|associate degree|diploma in .+)\.?(?!\w)"
@@ -76,7 +79,11 @@ BULLET_STARTS = "-•*·°º—–>"
 SHORT_BULLET_STARTS = "-•*·°º"
 
 # Phrases that are headings rather than skills.
-NOT_SKILLS = "skills experience education summary projects certifications languages hobbies awards profile details contact about history employment academic background qualifications competencies".split()
+NOT_SKILLS = [
+    "skills", "experience", "education", "summary", "projects", "certifications", "languages", "hobbies", "awards",
+    "profile", "details", "contact", "about", "history", "employment", "academic", "background", "qualifications",
+    "competencies",
+]
 
 # Display names of skill categories.
 CATEGORY_NAMES = {

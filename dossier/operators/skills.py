@@ -223,9 +223,9 @@ def skill_matches(df: DataFrame, ontology: Ontology, threshold: float = LEAST, m
     row = lambda name, source, alias, canonical, score: F.struct(F.lit(name).alias("kind"), source.alias("source"), alias.alias("alias"), canonical.alias("canonical"), score.alias("score")).cast(kind)
 
     def found(keys: Column) -> Column:
-        first = F.transform(exact_found(F.col(text), ontology), lambda e: row("EXACT", e.source, e.alias, e.canonical, F.lit(100.0)))
+        first = F.transform(exact_found(F.col(text), ontology), lambda e: row("EXACT", e.source, e["alias"], e.canonical, F.lit(100.0)))
         second = F.transform(F.array_intersect(keys, _texts(ontology.canonical)), lambda k: row("EXACT PHRASE", k, k, _lookup(ontology.canonical, k), F.lit(100.0)))
-        third = F.transform(similar_in(keys, ontology, threshold, method), lambda m: row("FUZZY", m.phrase, m.alias, m.canonical, m.score))
+        third = F.transform(similar_in(keys, ontology, threshold, method), lambda m: row("FUZZY", m.phrase, m["alias"], m.canonical, m.score))
         return F.concat(first, second, third)
 
     return df.select(key, F.explode(let(lookup_keys(F.col(text)), found)).alias("m")).select(key, "m.*")

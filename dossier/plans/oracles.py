@@ -174,7 +174,8 @@ blk AS (SELECT doc_id, unnest(bs) AS block, generate_subscripts(bs, 1) AS block_
 _LINES = f"""bl AS (SELECT doc_id, block_no, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, block_no, list_filter(list_transform(string_split(block, {_NL}), lambda l_: {strip('l_')}), lambda l_: l_ <> '') AS ls FROM blk))"""
 
 
-def experience() -> str:
+def experience(more: str = "") -> str:
+    """SELECT of a job's fields, with the columns ``more`` of its block first."""
     edge, comma = fixed.EDGE, fixed.EDGE_COMMA
     undated = strip(f"regexp_replace(line, {q(_RANGE)}, '', 'g')", comma)
     bullet = starts("line", fixed.BULLET_STARTS)
@@ -189,10 +190,11 @@ sb AS ({halves('bl', 'doc_id, block_no, i', 'line', 'title')}),
 f AS (SELECT bl.*, {strip('line', edge)} AS bare, {strip(f"regexp_extract(line, {q(_RANGE)})")} AS date, {undated} = '' AS alone, a, b, NOT ({bullet}) AND {n_words(strip('line', edge))} <= 6 AND {has('line', fixed.JOBS)} AS job,
   NOT ({bullet}) AND {n_words(strip('line', edge))} <= 6 AND {has('line', fixed.FIRMS)} AS firm, NOT ({starts('line', fixed.SHORT_BULLET_STARTS)}) AND NOT regexp_matches(line, {q(_RANGE)}) AS plain FROM bl LEFT JOIN sb USING (doc_id, block_no, i)),
 e AS (SELECT doc_id, block_no, list_reduce(list({{'line': line, 'bare': bare, 'date': date, 'alone': alone, 'a': a, 'b': b, 'job': job, 'firm': firm}} ORDER BY i), lambda s, r: {step}, {{'title': '', 'company': '', 'dates': '', 'told': ''}}) AS s, arg_min(line, i) FILTER (plain) AS spare FROM f GROUP BY ALL)
-SELECT doc_id, s.company AS company, CASE WHEN s.title = '' THEN coalesce({strip('spare', edge)}, '') ELSE s.title END AS title, s.dates AS dates, {strip('s.told')} AS description FROM e WHERE s.company <> '' OR s.title <> '' OR coalesce({strip('spare', edge)}, '') <> ''"""
+SELECT doc_id, {more}s.company AS company, CASE WHEN s.title = '' THEN coalesce({strip('spare', edge)}, '') ELSE s.title END AS title, s.dates AS dates, {strip('s.told')} AS description FROM e WHERE s.company <> '' OR s.title <> '' OR coalesce({strip('spare', edge)}, '') <> ''"""
 
 
-def education() -> str:
+def education(more: str = "") -> str:
+    """SELECT of a degree's fields, with the columns ``more`` of its block first."""
     comma = fixed.EDGE_COMMA
     date = f"CASE WHEN regexp_matches(line, {q(_RANGE)}) THEN {strip(f'regexp_extract(line, {q(_RANGE)})')} ELSE {strip(f'regexp_extract(line, {q(_DATE)})')} END"
     undated = strip(f"regexp_replace({strip(f'regexp_replace(line, {q(_RANGE)}, {chr(39)*2}, {q(chr(103))})', comma)}, {q(_DATE)}, '', 'g')", comma)
@@ -206,22 +208,23 @@ def education() -> str:
 bb AS (SELECT *, {strip('line', comma)} AS bare FROM bl), sb AS ({halves('bb', 'doc_id, block_no, i', 'bare', 'degree')}),
 f AS (SELECT bb.*, {date} AS date, {undated} = '' AS alone, regexp_matches(line, {q(fixed.COURSE_LINE)}) OR ({starts('line', fixed.SHORT_BULLET_STARTS)}) AS skip, a, b, {has('line', fixed.DEGREES)} AS degree, {has('line', fixed.COLLEGES)} AS college FROM bb LEFT JOIN sb USING (doc_id, block_no, i)),
 e AS (SELECT doc_id, block_no, list_reduce(list({{'bare': bare, 'date': date, 'alone': alone, 'skip': skip, 'a': a, 'b': b, 'degree': degree, 'college': college}} ORDER BY i), lambda s, r: {step}, {{'degree': '', 'institution': '', 'dates': ''}}) AS s FROM f GROUP BY ALL),
-o AS (SELECT doc_id, CASE WHEN regexp_matches(s.institution, {q(fixed.COURSE_LINE)}) OR regexp_matches(s.institution, '^[-•*]') THEN '' ELSE s.institution END AS institution, CASE WHEN {dated} THEN '' ELSE s.degree END AS degree, CASE WHEN {dated} AND s.dates = '' THEN s.degree ELSE s.dates END AS dates FROM e)
+o AS (SELECT doc_id, {more}CASE WHEN regexp_matches(s.institution, {q(fixed.COURSE_LINE)}) OR regexp_matches(s.institution, '^[-•*]') THEN '' ELSE s.institution END AS institution, CASE WHEN {dated} THEN '' ELSE s.degree END AS degree, CASE WHEN {dated} AND s.dates = '' THEN s.degree ELSE s.dates END AS dates FROM e)
 SELECT * FROM o WHERE institution <> '' OR degree <> ''"""
 
 
-def projects() -> str:
+def projects(more: str = "") -> str:
+    """SELECT of a project's fields, with the columns ``more`` of its block first."""
     return f"""WITH {SECTIONS}, {blocks('projects')},
-l AS (SELECT doc_id, list_filter(list_transform(string_split(block, {_NL}), lambda l_: {strip('l_')}), lambda l_: l_ <> '') AS ls FROM blk)
-SELECT doc_id, {strip('ls[1]', fixed.EDGE)} AS name, {strip(f'array_to_string(ls[2:], {_NL})')} AS description FROM l WHERE {strip('ls[1]', fixed.EDGE)} <> ''"""
+l AS (SELECT doc_id, {more}list_filter(list_transform(string_split(block, {_NL}), lambda l_: {strip('l_')}), lambda l_: l_ <> '') AS ls FROM blk)
+SELECT doc_id, {more}{strip('ls[1]', fixed.EDGE)} AS name, {strip(f'array_to_string(ls[2:], {_NL})')} AS description FROM l WHERE {strip('ls[1]', fixed.EDGE)} <> ''"""
 
 
 def alias_table(o: Ontology) -> str:
     return f"aliases AS (SELECT * FROM {_values([(a.number, a.folded, a.canonical, a.category) for a in o.aliases], 't(idx, alias, canonical, category)')}), known AS (SELECT alias, arg_max(canonical, idx) AS canonical, min(idx) AS idx FROM aliases GROUP BY alias)"
 
 
-def exact_hits(o: Ontology, source: str = "ready") -> str:
-    """SELECT of (doc_id, canonical): an alias occurs as a word of its own."""
+def exact_hits(o: Ontology, source: str = "ready", trace: bool = False) -> str:
+    """SELECT of (doc_id, canonical): an alias occurs as a word of its own; with ``trace`` (doc_id, alias, canonical), the first alias of each."""
     word = r"[\p{L}\p{N}_]"
     rules = []
     for a in o.aliases:
@@ -229,8 +232,11 @@ def exact_hits(o: Ontology, source: str = "ready") -> str:
         inner = body.removeprefix(r"(?:^|\s)").removesuffix(r"(?:\s|$|[,;:])").removeprefix(r"\b").removesuffix(r"\b")
         first = r"(?:^|\s)" if body.startswith("(?:") else rf"(?:^|[^\p{{L}}\p{{N}}_])" if a.alias[0].isalnum() else word
         last = r"(?:\s|$|[,;:])" if body.endswith("])") else rf"(?:$|[^\p{{L}}\p{{N}}_])" if a.alias[-1].isalnum() else word
-        rules.append((a.canonical, f"(?i){first}{inner}{last}"))
-    arms = ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(c)} END" for c, p in rules)
+        rules.append((a, f"(?i){first}{inner}{last}"))
+    if trace:
+        arms = ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {{'n': {a.number}, 'alias': {q(a.folded)}, 'canonical': {q(a.canonical)}}} END" for a, p in rules)
+        return f"SELECT doc_id, arg_min(m.alias, m.n) AS alias, m.canonical AS canonical FROM (SELECT doc_id, unnest([{arms}]) AS m FROM {source}) WHERE m IS NOT NULL GROUP BY doc_id, m.canonical"
+    arms = ", ".join(f"CASE WHEN regexp_matches(text, {q(p)}) THEN {q(a.canonical)} END" for a, p in rules)
     return f"SELECT DISTINCT doc_id, canonical FROM (SELECT doc_id, unnest([{arms}]) AS canonical FROM {source}) WHERE canonical IS NOT NULL"
 
 
@@ -258,3 +264,78 @@ def similar_levenshtein() -> str:
 SELECT p.phrase, k.alias, k.canonical, k.idx, round((1 - levenshtein({fold('p.phrase')}, {fold('k.alias')}) / greatest(length({fold('p.phrase')}), length({fold('k.alias')}))) * 100, 2) AS score
 FROM (SELECT DISTINCT phrase FROM keys WHERE length(phrase) >= 4 AND phrase NOT IN (SELECT alias FROM known)) p JOIN known k ON left(p.phrase, 1) = left(k.alias, 1) AND abs(length(p.phrase) - length(k.alias)) <= 3 AND {n_words('p.phrase')} = {n_words('k.alias')}
 WHERE regexp_matches(left(k.alias, 1), '[\\p{{L}}\\p{{N}}]')) WHERE score >= 85 GROUP BY phrase"""
+
+
+def similar_indel() -> str:
+    """SELECT of (phrase, alias, canonical, score) over ``keys`` and ``known``: the best alias by common subsequence, then the guards."""
+    fold = lambda c: f"array_to_string(list_sort({words(c)}), ' ')"
+    row = "list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, greatest(acc[len(acc)], prev[j + 1], CASE WHEN b[j] = ch THEN prev[j] + 1 ELSE 0 END)), [0::BIGINT])"
+    return f"""SELECT phrase, best.alias AS alias, best.canonical AS canonical, best.score AS score FROM (
+SELECT phrase, arg_max({{'alias': alias, 'canonical': canonical, 'score': score}}, {{'score': score, 'first': -idx}}) AS best FROM (
+SELECT *, 200.0::DOUBLE * list_reduce(string_split(p, ''), lambda prev, ch: {row}, list_resize([]::BIGINT[], len(b) + 1, 0))[len(b) + 1] / (length(p) + length(a)) AS score FROM (
+SELECT *, string_split(a, '') AS b FROM (SELECT d.phrase, k.alias, k.canonical, k.idx, {fold('d.phrase')} AS p, {fold('k.alias')} AS a
+FROM (SELECT DISTINCT phrase FROM keys WHERE length(phrase) >= 4 AND phrase NOT IN (SELECT alias FROM known)) d JOIN known k ON 100 * length(k.alias) BETWEEN 70 * length(d.phrase) AND 140 * length(d.phrase))
+WHERE levenshtein(p, a) <= floor(15 * (length(p) + length(a)) / 100))) WHERE score >= 85 GROUP BY phrase)
+WHERE len({words('phrase')}) = len({words('best.alias')}) AND abs(length(phrase) - length(best.alias)) <= 3"""
+
+
+def listed(name: str, fields: list[str], select: str) -> str:
+    """CTE ``name(doc_id, v)``: the rows of a SELECT with block_no as a list of structs, by document."""
+    pack = ", ".join(f"'{f}': {f}" for f in fields)
+    return f"{name} AS MATERIALIZED (SELECT doc_id, list({{{pack}}} ORDER BY block_no) AS v FROM ({select}) GROUP BY 1)"
+
+
+def records(skills: str) -> str:
+    """CTE ``rec`` with a record's fields, from CTEs of SECTIONS, HEADS, NAMES and ``skills(doc_id, skill)``."""
+    item = strip("i", fixed.ITEM_EDGE)
+    many = lambda s: f"{s}_ AS MATERIALIZED (SELECT doc_id, list(item ORDER BY n) AS v FROM (SELECT doc_id, item, min(n) AS n FROM (SELECT doc_id, {item} AS item, n FROM (SELECT doc_id, unnest(string_split_regex(text, {q(fixed.ITEM_SPLIT)})) AS i, generate_subscripts(string_split_regex(text, {q(fixed.ITEM_SPLIT)}), 1) AS n FROM {part(s)})) WHERE item <> '' AND length(item) <= 50 GROUP BY ALL) GROUP BY 1)"
+    certificate = strip("l", fixed.EDGE)
+    struct = lambda fields: "STRUCT(" + ", ".join(f'"{f}" VARCHAR' for f in fields) + ")[]"
+    jobs, degrees, works, papers = ["company", "title", "dates", "description"], ["institution", "degree", "dates"], ["name", "description"], ["name", "issuer", "dates"]
+    whole = lambda t, fields: f"coalesce({t}.v, []::{struct(fields)})"
+    return f"""{listed('jobs_', jobs, experience('block_no, '))}, {listed('degrees_', degrees, education('block_no, '))}, {listed('works_', works, projects('block_no, '))},
+papers_ AS MATERIALIZED (SELECT doc_id, list({{'name': l, 'issuer': '', 'dates': ''}} ORDER BY n) AS v FROM (SELECT doc_id, {certificate} AS l, n FROM (SELECT doc_id, unnest(string_split(text, {_NL})) AS l, generate_subscripts(string_split(text, {_NL}), 1) AS n FROM {part('certifications')})) WHERE length(l) > 3 GROUP BY 1),
+{many('languages')}, {many('hobbies')},
+skills_ AS MATERIALIZED (SELECT doc_id, list(skill ORDER BY lower(skill), skill) AS v FROM {skills} GROUP BY 1),
+rec AS MATERIALIZED (SELECT r.doc_id, {{'name': coalesce(n.name, ''), 'email': coalesce({extract('r.text', fixed.EMAIL)}, ''), 'phone': coalesce({phone('r.text')}, ''), 'linkedin': coalesce({linkedin('r.text')}, ''), 'portfolio': coalesce({portfolio('r.text')}, '')}} AS contact,
+  s.text AS summary, {whole('j', jobs)} AS experience, {whole('d', degrees)} AS education, coalesce(k.v, []::VARCHAR[]) AS skills, {whole('w', works)} AS projects, {whole('c', papers)} AS certifications, coalesce(l.v, []::VARCHAR[]) AS languages, coalesce(h.v, []::VARCHAR[]) AS hobbies
+  FROM ready r JOIN names n USING (doc_id) JOIN {part('summary')} s USING (doc_id) LEFT JOIN jobs_ j USING (doc_id) LEFT JOIN degrees_ d USING (doc_id) LEFT JOIN skills_ k USING (doc_id) LEFT JOIN works_ w USING (doc_id) LEFT JOIN papers_ c USING (doc_id) LEFT JOIN languages_ l USING (doc_id) LEFT JOIN hobbies_ h USING (doc_id))"""
+
+
+RECORD_FIELDS = ("contact", "summary", "experience", "education", "skills", "projects", "certifications", "languages", "hobbies")
+RECORD_JSON = "SELECT doc_id, CAST(to_json({" + ", ".join(f"'{f}': {f}" for f in RECORD_FIELDS) + "}) AS VARCHAR) AS json FROM rec"
+COMPLETENESS = """SELECT doc_id, CAST(greatest(65, least(least(5 * len(skills), 50) + least(15 * len(experience), 30) + least(10 * len(education), 20), 98)) AS INT) AS completeness,
+format('Profile completeness: {} skills verified, {} career milestones, {} education records.', len(skills), len(experience), len(education)) AS completeness_text,
+CAST(len(skills) AS INT) AS n_skills, CAST(len(experience) AS INT) AS n_jobs, CAST(len(education) AS INT) AS n_degrees, CAST(len(projects) AS INT) AS n_projects FROM rec"""
+
+
+def record_html() -> str:
+    """SELECT of (doc_id, two_columns, single_column) from ``rec``."""
+
+    def escaped(x: str) -> str:
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            x = f"replace({x}, {q(raw)}, {q(safe)})"
+        return f"replace({x}, {_NL}, '<br>')"
+
+    shown = lambda x, what: escaped(f"coalesce(nullif({x}, ''), {q(fixed.DEFAULTS[what])})")
+    line = lambda *parts: f"array_to_string(list_filter([{', '.join(parts)}], lambda p_: p_ <> ''), ' &middot; ')"
+
+    def section(title: str, items: str) -> str:
+        return f"CASE WHEN len({items}) > 0 THEN '<section><h2>{title}</h2><ul>' || array_to_string(list_transform({items}, lambda i_: '<li>' || i_ || '</li>'), '') || '</ul></section>' ELSE '' END"
+
+    plain = lambda x: f"list_transform({x}, lambda x_: {escaped('x_')})"
+    each = lambda x, body: f"list_transform({x}, lambda e_: {body})"
+    p = {
+        "details": section("Details", plain("list_filter([contact.email, contact.phone, contact.linkedin, contact.portfolio], lambda y_: y_ <> '')")),
+        "summary": f"CASE WHEN summary <> '' THEN '<section><h2>Profile</h2><p>' || {escaped('summary')} || '</p></section>' ELSE '' END",
+        "skills": section("Skills", plain("skills")), "languages": section("Languages", plain("languages")), "hobbies": section("Hobbies", plain("hobbies")),
+        "experience": section("Employment", each("experience", f"'<b>' || {shown('e_.title', 'title')} || '</b> ' || {line(shown('e_.company', 'company'), shown('e_.dates', 'dates'))} || '<p>' || {escaped('e_.description')} || '</p>'")),
+        "education": section("Education", each("education", f"'<b>' || {shown('e_.degree', 'degree')} || '</b> ' || {line(shown('e_.institution', 'institution'), escaped('e_.dates'))}")),
+        "certifications": section("Certifications", each("certifications", escaped("e_.name"))),
+        "projects": section("Projects", each("projects", f"'<b>' || {shown('e_.name', 'project')} || '</b> ' || {escaped('e_.description')}")),
+    }
+    name = shown("contact.name", "name")
+    page = lambda style, *body: " || ".join(["'<!doctype html><html><head><meta charset=\"utf-8\"><title>'", name, f"'</title><style>{style}</style></head><body><h1>'", name, "'</h1>'", *body, "'</body></html>'"])
+    two = page("body{font-family:sans-serif;margin:2em}.page{display:flex;gap:2em}aside{flex:1}main{flex:2}", "'<div class=\"page\"><aside>'", p["details"], p["skills"], p["languages"], p["hobbies"], "'</aside><main>'", p["summary"], p["experience"], p["education"], p["certifications"], p["projects"], "'</main></div>'")
+    one = page("body{font-family:serif;max-width:50em;margin:2em auto}", p["details"], p["summary"], p["experience"], p["education"], p["skills"], p["languages"], p["hobbies"])
+    return f"SELECT doc_id, {two} AS two_columns, {one} AS single_column FROM rec"

@@ -191,7 +191,7 @@ def skills_fuzzy_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.similar(skills.phrase_rows(texts), _O, method="levenshtein")
 
 
-@query()
+@query(f"WITH {sql.READY}, t AS (SELECT doc_id, text FROM ready UNION ALL SELECT doc_id + 1000000000, text FROM documents), {sql.phrase_hits('t')}, {_A} {sql.similar_indel()}")
 def skills_fuzzy_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _ready(spark, sf_dir).select("doc_id", "text").unionByName(_documents(spark, sf_dir).select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
     return skills.similar(skills.phrase_rows(texts), _O)
@@ -204,6 +204,8 @@ def skills_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEV = f"fuzzy AS MATERIALIZED ({sql.similar_levenshtein()}), found AS MATERIALIZED ({sql.exact_hits(_O)} UNION SELECT doc_id, canonical FROM keys JOIN known ON phrase = alias UNION SELECT k.doc_id, f.canonical FROM keys k JOIN fuzzy f USING (phrase)), listed AS MATERIALIZED ({sql.explicit_rows()}), allskills AS MATERIALIZED (SELECT doc_id, skill FROM listed UNION SELECT doc_id, canonical FROM found)"
 _ALL = f"{sql.SECTIONS}, {sql.phrase_hits()}, {_A}, {_LEV}"
+#: whole records, with the default similarity
+_REC = f"{sql.SECTIONS}, {sql.HEADS}, {sql.NAMES}, {sql.phrase_hits()}, {_A}, {_LEV.replace(sql.similar_levenshtein(), sql.similar_indel())}, {sql.records('allskills').replace(f'WITH {sql.SECTIONS}, ', 'WITH ')}"
 
 
 def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +218,10 @@ def skills_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(spark, sf_dir).select("doc_id", F.posexplode("skills").alias("place", "skill")).select("doc_id", "skill", (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query(f"WITH {_ALL} SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, 'EXACT' AS kind FROM ({sql.exact_hits(_O)}) UNION ALL SELECT doc_id, 'EXACT PHRASE' FROM keys JOIN known ON phrase = alias UNION ALL SELECT k.doc_id, 'FUZZY' FROM keys k JOIN fuzzy USING (phrase)) GROUP BY ALL")
+@query(f"WITH {_ALL} SELECT doc_id, 'EXACT' AS kind, alias, canonical, 100.0::DOUBLE AS score FROM ({sql.exact_hits(_O, trace=True)}) UNION ALL SELECT doc_id, 'EXACT PHRASE', phrase, canonical, 100.0 FROM keys JOIN known ON phrase = alias UNION ALL SELECT k.doc_id, 'FUZZY', f.alias, f.canonical, f.score FROM keys k JOIN fuzzy f USING (phrase)")
 def skill_match_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = skills.skill_matches(_ready(spark, sf_dir).select("doc_id", "text"), _O, method="levenshtein")
-    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("doc_id", "kind", "alias", "canonical", "score")
 
 
 _NAMED = f"cats AS (SELECT * FROM {sql._values([(c, fixed.CATEGORY_NAMES.get(g, fixed.OTHER_CATEGORY)) for c, g in _O.category.items()], 't(canonical, name)')})"
@@ -238,7 +240,7 @@ def category_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("density", score.density(F.col("n")))
 
 
-@query()
+@query(f"WITH {_REC} {sql.COMPLETENESS}")
 def score_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = record.with_scores(record.parse_text(resumes(spark, sf_dir), record.Settings(_O)))
     return rows.select("doc_id", "completeness", "completeness_text", F.size("skills").alias("n_skills"), F.size("experience").alias("n_jobs"), F.size("education").alias("n_degrees"), F.size("projects").alias("n_projects"))
@@ -262,13 +264,12 @@ def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return wanted, _ready(spark, sf_dir).select("doc_id", F.explode(skills.exact(_t(), _O)).alias("skill"))
 
 
-@query(f"WITH {sql.READY}, {_JOBS}, n AS (SELECT doc_id AS jd_id, count(*) AS required FROM wanted GROUP BY 1), m AS (SELECT h.doc_id, w.doc_id AS jd_id, count(*) AS matched FROM have h JOIN wanted w ON lower(h.canonical) = lower(w.canonical) GROUP BY 1, 2) SELECT doc_id, jd_id, required, matched, CAST(trunc(matched / greatest(required, 1) * 100) AS INT) AS score FROM m JOIN n USING (jd_id)")
+@query(f"WITH {sql.READY}, {_JOBS}, asked AS (SELECT * FROM wanted WHERE doc_id % 20 = 0), n AS (SELECT doc_id AS jd_id, count(*) AS required FROM asked GROUP BY 1), m AS (SELECT h.doc_id, w.doc_id AS jd_id, count(*) AS matched FROM have h JOIN asked w ON lower(h.canonical) = lower(w.canonical) GROUP BY 1, 2) SELECT doc_id, jd_id, required, matched, CAST(trunc(matched / greatest(required, 1) * 100) AS INT) AS score FROM m JOIN n USING (jd_id)")
 def jd_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted, have = _jobs(spark, sf_dir)
-    sized = wanted.groupBy("jd_id").agg(F.count(F.lit(1)).alias("required"))
-    met = have.join(wanted.withColumnRenamed("skill", "s"), F.lower("skill") == F.lower("s")).join(sized, "jd_id")
-    counts = met.groupBy("doc_id", "jd_id", "required").agg(F.count(F.lit(1)).alias("matched"))
-    return counts.withColumn("score", (F.col("matched") / F.greatest("required", F.lit(1)) * 100).cast("int"))
+    """A search: the job descriptions whose id is divisible by 20 are the queries, against all resumes."""
+    jobs = job_descriptions(spark, sf_dir).where("jd_id % 20 = 0").select("jd_id", skills.exact(_t(), _O).alias("skills"))
+    rows = _ready(spark, sf_dir).select("doc_id", skills.exact(_t(), _O).alias("skills"))
+    return record.matches(rows, jobs.select("jd_id", F.size("skills").cast("long").alias("required"), "skills"))
 
 
 def _against(how: str):
@@ -300,7 +301,7 @@ def initials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contact_struct(spark, sf_dir).select("doc_id", score.initials(F.col("name")).alias("initials"))
 
 
-@query(f"WITH {sql.SECTIONS}, e AS ({sql.experience().replace(f'WITH {sql.SECTIONS}, ', 'WITH ').replace('SELECT doc_id, s.company AS company', 'SELECT doc_id, block_no, s.company AS company')}), t AS (SELECT doc_id, arg_min(title, block_no) AS title FROM e GROUP BY 1) SELECT r.doc_id, coalesce(nullif(t.title, ''), 'Senior Professional') AS top_title FROM ready r LEFT JOIN t USING (doc_id)")
+@query(f"WITH {sql.SECTIONS}, e AS ({sql.experience('block_no, ').replace(f'WITH {sql.SECTIONS}, ', 'WITH ')}), t AS (SELECT doc_id, arg_min(title, block_no) AS title FROM e GROUP BY 1) SELECT r.doc_id, coalesce(nullif(t.title, ''), 'Senior Professional') AS top_title FROM ready r LEFT JOIN t USING (doc_id)")
 def top_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ready(spark, sf_dir).select("doc_id", score.top_title(entries.experience(_part("experience"))).alias("top_title"))
 
@@ -310,12 +311,12 @@ def bullet_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ready(spark, sf_dir).select("doc_id", F.explode(score.bullet_items(_part("projects"))).alias("item"))
 
 
-@query()
+@query(f"WITH {_REC} {sql.RECORD_JSON}")
 def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record.parse_text(resumes(spark, sf_dir), record.Settings(_O)).select("doc_id", render.record_json().alias("json"))
+    return record.parse_text(resumes(spark, sf_dir), record.Settings(_O)).select("doc_id", render.record_json(pretty=False).alias("json"))
 
 
-@query()
+@query(f"WITH {_REC} {sql.record_html()}")
 def record_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = record.parse_text(resumes(spark, sf_dir), record.Settings(_O))
     return rows.select("doc_id", render.two_columns().alias("two_columns"), render.single_column().alias("single_column"))

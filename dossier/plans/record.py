@@ -75,23 +75,35 @@ def parse_files(spark: SparkSession, path: str, settings: Settings | None = None
     return parse_text(files.where("error IS NULL"), settings, "text", "path").join(files.select("path", "error"), "path", "right")
 
 
+def matches(records: DataFrame, jobs: DataFrame, key: str = "doc_id", job_key: str = "jd_id") -> DataFrame:
+    """(key, job, required, matched, score) of each record (key, skills) and job (job, required, skills) with a skill in common.
+
+    Jobs that want the same skills are compared once: the join is on skills,
+    between records and distinct sets of wanted skills, and meets the jobs last.
+    """
+    folded = lambda c: F.array_sort(F.array_distinct(F.transform(c, F.lower)))
+    jobs = jobs.select(job_key, "required", folded("skills").alias("wanted"))
+    sets = jobs.select("wanted").distinct().select("wanted", F.explode("wanted").alias("skill"))
+    have = records.select(key, F.explode(folded("skills")).alias("skill"))
+    met = have.join(sets, "skill").groupBy(key, "wanted").agg(F.count(F.lit(1)).alias("matched"))
+    return met.join(jobs, "wanted").select(key, job_key, "required", "matched", (F.col("matched") / F.greatest("required", F.lit(1)) * 100).cast("int").alias("score"))
+
+
 def compare(records: DataFrame, jobs: DataFrame, settings: Settings | None = None, key: str = "doc_id", job_key: str = "jd_id", zero: bool = False) -> DataFrame:
     """(key, job, required, matched, score): each record against each job it shares a skill with.
 
-    Jobs' skills are found as in texts. The join is on the skill, so a pair
-    without a common skill makes no row; ``zero`` adds those pairs with a score
-    of 0, which is as many rows as there are records times jobs.
+    Jobs' skills are found as in texts. A pair without a common skill makes no
+    row; ``zero`` adds those pairs with a score of 0, which is as many rows as
+    there are records times jobs.
     """
     settings = settings or Settings()
     wanted = jobs.select(job_key, skills.skills_in(F.coalesce(F.col("text"), F.lit("")), settings.ontology, settings.threshold, settings.similarity).alias("skills"))
-    sized = wanted.select(job_key, F.size("skills").alias("required"), "skills")
-    one = sized.select(job_key, "required", F.explode("skills").alias("skill"))
-    have = records.select(key, F.explode(F.array_distinct(F.transform("skills", F.lower))).alias("have"))
-    met = have.join(one, F.col("have") == F.lower("skill")).groupBy(key, job_key, "required").agg(F.count(F.lit(1)).alias("matched"))
+    wanted = wanted.select(job_key, F.size("skills").alias("required"), "skills")
+    met = matches(records.select(key, "skills"), wanted, key, job_key)
     if zero:
-        every = records.select(key).crossJoin(sized.select(job_key, "required"))
-        met = every.join(met.drop("required"), [key, job_key], "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
-    return met.withColumn("score", (F.col("matched") / F.greatest("required", F.lit(1)) * 100).cast("int"))
+        every = records.select(key).crossJoin(wanted.select(job_key, "required"))
+        met = every.join(met.drop("required"), [key, job_key], "left").withColumns({"matched": F.coalesce("matched", F.lit(0).cast("long")), "score": F.coalesce("score", F.lit(0))})
+    return met
 
 
 class ResumeEngine:

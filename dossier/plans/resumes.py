@@ -14,7 +14,7 @@ _TITLES = "Senior Software Engineer,Data Scientist,Security Guard,Project Manage
 _FIRMS = "Acme Corp,Globex Technologies,Initech Solutions LLC,Umbrella Services,Northwind,Harbor Security Ltd"
 _DEGREES = "Bachelor of Science,Master of Arts,B.Tech in Computing,Diploma in Design,MBA"
 _PLACES = "University of Lund,Harbor College,Stanford University,Institute of Technology"
-_SKILLS = "Python,React.js,Docker,Postgres,C++,K8s,Machine Learning,node.js tuning,Kubernets,Postgre SQL,PyTest,CCTV,aws,Scrum,Excel modelling,REST,SQL,Go"
+_SKILLS = "Python,React.js,Docker,Postgres,C++,K8s,Machine Learning,node.js tuning,Kubernets,Postgre SQL,PyTest,CCTV,aws,Scrum,Excel modelling,REST,SQL,Go,Kubernete,Dockerr,Machine Learnin,Machine Lerning,Postgresq,Statistcs,Plumbin,Carpentri,Payrol,Copywritting,Sprint Planing,Forklift Drivin,Bookkeping,Load Testin,Kotlyn,Terrafrm,Learning Machine"
 _HOBBIES = "Chess,Hiking,Photography,Cooking"
 _TONGUES = "English,German,French,Spanish,Hindi"
 
@@ -64,7 +64,7 @@ def sql(customer: str = "customer") -> str:
 def jobs_sql(part: str = "part") -> str:
     """SELECT of (jd_id, text): job descriptions made from the part table."""
     text = f"concat('We need ', {_pick(_SKILLS, 'k')}, ', ', {_pick(_SKILLS, 'k * 3 + 5')}, ' and ', {_pick(_SKILLS, 'k * 5 + 7')}, '.')"
-    return f"SELECT k AS jd_id, {text} AS text FROM (SELECT p_partkey AS k FROM {part} WHERE p_partkey % 20 = 0)"
+    return f"SELECT k AS jd_id, {text} AS text FROM (SELECT p_partkey AS k FROM {part})"
 
 
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,8 @@ class Ontology:
         A missing or broken file gives an empty dictionary unless ``allow_missing`` is False.
         """
         if path is None:
-            return cls(json.loads(resources.files("dossier").joinpath("data/skills.json").read_text())["skills"])
+            own = json.loads(resources.files("dossier").joinpath("data/skills.json").read_text())
+            return cls([*own["fixed"], *own["skills"]])
         try:
             row = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path).select("skills").first()
             return cls([s.asDict() for s in row.skills])

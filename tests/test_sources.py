@@ -82,3 +82,64 @@ def test_a_stream_of_files(spark, folder, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.path.rsplit("/", 1)[1] for r in spark.table("records").where("contact.email = 'jane@roe.org'").collect()} == {"a.pdf", "b.docx", "f"}
+
+
+def test_tabs_breaks_and_nested_tables_of_docx():
+    run = "<w:p><w:r><w:t>Engineer</w:t><w:tab/><w:t>2020</w:t><w:br/><w:t>Acme</w:t></w:r></w:p>"
+    inner = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    table = f"<w:tbl><w:tr><w:tc><w:p><w:r><w:t>outer</w:t></w:r></w:p>{inner}</w:tc></w:tr></w:tbl>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{run}<w:p/>{table}</w:body></w:document>')
+    assert files.docx_text(out.getvalue()) == "Engineer\t2020\nAcme\n\nouter"
+    assert files.docx_text(out.getvalue(), "xml") == "Engineer2020Acme\n\nouter\ninner"
+
+
+def test_links_of_pdf_files():
+    image = b"%PDF-1.4\n1 0 obj <<>> stream\n\xff\xd8 no strings\nendstream endobj\n<< /URI (https://roe.org/caf\xc3\xa9 menu) >>\n%%EOF"
+    assert files.pdf_text(image) == ("https://roe.org/café menu", ["https://roe.org/café menu"])
+    assert files.pdf_text(b"%PDF-1.4\nplain line one\nab\n")[0] == "%PDF-1.4\nplain line one"
+
+
+def test_annotations_through_a_pdf_library(monkeypatch):
+    import sys
+    import types
+
+    note = types.SimpleNamespace(get_object=lambda: {"/A": {"/URI": "https://roe.org/x"}})
+    page = type("Page", (dict,), {"extract_text": lambda self: self["text"]})
+    pages = [page({"text": "A page with more than twenty characters", "/Annots": [note]}), page({"text": ""})]
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=lambda _: types.SimpleNamespace(pages=pages)))
+    assert files.pdf_text(b"%PDF") == ("A page with more than twenty characters\nhttps://roe.org/x", ["https://roe.org/x"])
+
+
+def test_a_model_of_named_entities(spark):
+    text = "xx\nMarie de la Tour\nWORK EXPERIENCE\nWarden\nGreenfields Trust\n2001 - 2004\n- kept order\nEDUCATION\nHolds M.C.A honours\nOld Mill Works in Kent"
+    found = {"people": ["Marie de la Tour"], "organisations": ["Greenfields Trust", "Old Mill College"]}
+    model = lambda df: df.select("doc_id", *(F.array(*map(F.lit, v)).alias(k) for k, v in found.items()))
+    df = spark.createDataFrame([(1, text)], "doc_id LONG, text STRING")
+    plain = record.parse_text(df).first()
+    got = record.parse_text(df, record.Settings(entities=model)).first()
+    assert plain.experience[0].company == "" and got.experience[0].company == "Greenfields Trust"
+    assert "Greenfields Trust" in got.experience[0].description
+    assert got.education[0].degree.startswith("M.C.A") and plain.education == []
+    assert got.contact.name == "Marie De La Tour"
+
+
+def test_records_need_one_scan_and_no_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "SKILLS\nPython")], "doc_id LONG, text STRING").write.parquet(str(tmp_path / "t"))
+    plan = record.parse_text(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert plan.count("EvalPython") + plan.count("InPandas") + plan.count("InArrow") <= 1
+
+
+def test_pairs_without_a_common_skill_on_request(spark):
+    texts = spark.createDataFrame([(1, "SKILLS\nPython, Docker"), (2, "nothing")], "doc_id LONG, text STRING")
+    jobs = spark.createDataFrame([(7, "Python, Docker and Tableau")], "jd_id LONG, text STRING")
+    got = record.compare(record.parse_text(texts), jobs, zero=True).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.matched, r.score) for r in got] == [(1, 2, 66), (2, 0, 0)]
+
+
+def test_exports():
+    import dossier
+
+    assert all(getattr(dossier, name) is not None for name in dossier.__all__)
