@@ -11,13 +11,14 @@ text is a candidate. Replies are then ordered below what they answer and
 written without quotes.
 
 No conversation is gathered in a task: links are joins on (conversation,
-hash) in blocks of at most HOT origins and HOT quotes, and threads come from
-pointer jumping.
+hash) in blocks of at most HOT origins and HOT quotes, threads come from
+pointer jumping, and places in a conversation from one sort by ranges and the
+counts of each range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.workdir import Workspace
@@ -122,11 +123,29 @@ def threads(links: DataFrame, space: Workspace) -> DataFrame:
             return at
 
 
+def placed(messages: DataFrame, order: list, space: Workspace, conv: str = "conv_id") -> DataFrame:
+    """Messages with ``position``, their place from 0 in their conversation when sorted by ``order``.
+
+    Rows are sorted by ranges; a row's place is its place within its range and
+    the rows of its conversation in the ranges before, so a long conversation
+    is spread over many tasks.
+    """
+    rows = messages.repartitionByRange(conv, *order).sortWithinPartitions(conv, *order)
+    rows = space.table(rows.select("*", F.monotonically_increasing_id().alias("_n")), "chat-sorted").withColumn("_range", F.shiftrightunsigned("_n", 33))
+    counts = rows.groupBy(F.col(conv).alias("_conv"), F.col("_range").alias("_at")).agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_conv").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_conv", "_at", (before - F.col("_first")).alias("_shift"))
+    out = rows.join(counts, F.col(conv).eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_at")))
+    return out.select(*messages.columns, F.when(F.col(conv).isNotNull(), F.col("_n") + F.col("_shift")).alias("position"))
+
+
 def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", space: Workspace | None = None) -> DataFrame:
-    """Per message: conv_id, turn, role, parent_turn, root_turn, depth, quote_levels, n_passages, body, formatted.
+    """Per message: conv_id, turn, role, position, parent_turn, root_turn, depth, quote_levels, n_passages, body, formatted.
 
-    Reading a conversation in the order (root_turn, turn) puts every reply
-    after what it answers and keeps threads together. A message that quotes
+    ``formatted`` in the order of ``position`` is the conversation without
+    quotes. Positions follow (root_turn, turn), which puts every reply after
+    what it answers and keeps threads together; messages without a turn come
+    first, and those without a conversation have no position. A message that quotes
     nothing known starts a thread of its own: parent null, depth 0. Null text
     is empty; messages with a null conversation or turn link with nothing;
     rows repeated with their turn keep a row each and answer alike. Other
@@ -139,4 +158,5 @@ def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     # null keys never match, so such messages stay as they are
     out = messages.join(found, ["conv_id", "turn"], "left")
     marked = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), "body", F.lit("\n<|end|>"))
-    return out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "quote_levels", F.size("passages").alias("n_passages"), "body", marked.alias("formatted"))
+    out = out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "quote_levels", F.size("passages").alias("n_passages"), "body", marked.alias("formatted"))
+    return placed(out, ["root_turn", "turn", "formatted"], space)

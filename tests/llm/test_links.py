@@ -1,6 +1,8 @@
 """Embedding near-duplicates, components and chat formatting."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -146,3 +148,100 @@ def test_short_lines_paragraphs_and_deeper_levels_link(spark):
         (7, "> nobody\n>> knows"),
     ]
     assert parents(spark, texts) == {0: None, 1: 0, 2: None, 3: 2, 4: 2, 5: 0, 6: 5, 7: None}
+
+
+def brute_conversations(rows):
+    """What ``conversations`` gives for (conv_id, turn, role, text), message by message."""
+
+    def norm(text):
+        return re.sub(r"[ \t-\r]+", " ", text.lower()).strip(" ")
+
+    def keys(text):
+        parts = [text, *re.split(r"\n[ \t-\r]*\n", text), *text.split("\n")]
+        return {norm(x) for x in parts} - {""}
+
+    messages = []
+    for conv, turn, role, text in rows:
+        runs = []
+        for line in re.split(r"\r?\n", text or ""):
+            marks = re.match(r"^[ \t]*((?:>[ \t]?)+)", line)
+            level, said = (marks[1].count(">"), line[marks.end() :]) if marks else (0, line)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(said)
+            else:
+                runs.append((level, [said]))
+        own = [s for level, lines in runs if level == 0 for s in lines]
+        body = re.sub(r"^\s+|\s+$", "", re.sub(r"\n{3,}", "\n\n", "\n".join(own)), flags=re.A)
+        quoted = [(level, "\n".join(lines)) for level, lines in runs if level]
+        between = ["\n".join(lines) for level, lines in runs if not level] if quoted else []
+        messages.append((conv, turn, role, body, set().union(keys(body), *map(keys, between)), quoted))
+    parent = {}
+    for conv, turn, _, _, _, quoted in messages:
+        if conv is None or turn is None:
+            continue
+        best = None
+        for other, at, _, _, said, _ in messages:
+            if other != conv or at is None or at >= turn:
+                continue
+            votes = {}
+            for p, (level, passage) in enumerate(quoted):
+                parts = re.split(r"\n[ \t-\r]*\n", passage)
+                lines = [(j, i, norm(x)) for j, part in enumerate(parts) for i, x in enumerate(part.split("\n"))]
+                found = {(p, j, i, len(x)) for j, i, x in lines if x and (norm(passage) in said or norm(parts[j]) in said or x in said)}
+                votes.setdefault(level, set()).update(found)
+            for level, lines in votes.items():
+                if lines:
+                    best = max(best or (-999,), (-level, sum(n for *_, n in lines), at))
+        if best:
+            parent[conv, turn] = best[2]
+    out = []
+    for conv, turn, role, body, _, quoted in messages:
+        root, depth = turn, 0
+        while (conv, root) in parent:
+            root, depth = parent[conv, root], depth + 1
+        out.append([conv, turn, role, None, parent.get((conv, turn)), root, depth, max((level for level, _ in quoted), default=0), len(quoted), body, f"<|{role or ''}|>\n{body}\n<|end|>"])
+    none = lambda x: (x is not None, x if x is not None else 0)
+    out.sort(key=lambda m: (none(m[0]), none(m[5]), none(m[1]), m[10].encode()))
+    place = {}
+    for m in out:
+        if m[0] is not None:
+            m[3] = place[m[0]] = place.get(m[0], -1) + 1
+    return out
+
+
+def quoting(rows, seed):
+    """The conversations with quotes put in: of one or two earlier messages, whole, by lines or paragraphs, in one or two levels."""
+    rng, out, said = random.Random(seed), [], {}
+    for conv, turn, role, text in rows:
+        earlier, parts = said.setdefault(conv, []), []
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            if earlier:
+                lines = rng.choice(earlier).split("\n")
+                a = rng.randrange(len(lines))
+                some = lines[a : a + rng.randint(1, 4)]
+                mark = rng.choice(["> ", ">", ">> ", " >> > "])
+                parts.append("\n".join(mark + (x.upper() if rng.random() < 0.3 else x) for x in some))
+        own = text or ""
+        parts.insert(rng.randint(0, len(parts)), own)
+        earlier.append(own or "x")
+        out.append((conv, turn, role, "\n".join(parts) if text is not None else None))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conversations_with_quotes_against_brute_force(spark, seed):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").limit(120).collect()
+    rows = quoting([tuple(r) for r in table], seed)
+    rows += [(None, 1, "user", "> lost"), (10**6, None, "user", "x"), (10**6, 3, None, None), (10**6, 4, "user", "y" * 1_000_000), (10**6, 5, "user", "> " + "y" * 1_000_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, position string").repartition(5)
+    got = [[r[c] for c in ("conv_id", "turn", "role", "position", "parent_turn", "root_turn", "depth", "quote_levels", "n_passages", "body", "formatted")] for r in chat_format.conversations(df).collect()]
+    key = lambda m: (m[0] is not None, m[0] or 0, m[3] or 0, m[10])
+    want = brute_conversations(rows)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(m[4] is not None for m in want) > 20
+
+
+def test_positions_of_one_long_conversation(spark):
+    df = spark.range(3000).selectExpr("1 AS conv_id", "id AS turn", "'user' AS role", "concat('m', id) AS text").repartition(7)
+    got = chat_format.conversations(df).select("turn", "position").collect()
+    assert all(r.turn == r.position for r in got) and len(got) == 3000
