@@ -2,9 +2,9 @@
 
 A small table of frequent pre-token lengths is broadcast; every other
 pre-token is encoded once per worker and kept in a bounded cache. No row of
-the corpus is shuffled: only the table of frequent pre-tokens, counted on a
-bounded hash sample of documents, is aggregated. The table decides speed
-alone; every count comes from the tokenizer.
+the corpus is shuffled: each task counts the pre-tokens of all its texts in a
+bounded table of heavy hitters, and only the heaviest of each are summed. The
+table decides speed alone; every count comes from the tokenizer.
 
 Pre-tokens: the model escapes a space as a word start and none of its pieces
 holds a space or line feed after another character, so no merge crosses the
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents sampled for the table of frequent pre-tokens, about.
-SAMPLE_DOCS = 2000
-#: Entries of that table, each of at most MAX_CHARS characters: at most 2.5 MB.
+#: Entries of the broadcast table, each of at most MAX_CHARS characters: at most 2.5 MB.
 FREQUENT = 16384
 MAX_CHARS = 32
-#: Entries of a worker's cache; it is emptied when full.
-CACHE = 200_000
+#: Pre-tokens that a task counts at once; the lighter half goes when there are more.
+COUNTED = 200_000
+#: Characters in a worker's cache, which is emptied when full, and in one of its entries.
+CACHE, ENTRY = 8_000_000, 64
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -42,21 +42,27 @@ def cut(text: str) -> list[str] | None:
 
 
 class Lengths(dict):
-    """Tokens of each pre-token; those missing are encoded on demand."""
+    """Tokens of each pre-token; those missing are encoded on demand, long ones each time."""
 
     def __init__(self, model_path: str):
         super().__init__()
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.model, self.held = sentencepiece.SentencePieceProcessor(model_file=model_path), 0
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) > CACHE:
+    def encode(self, words: list[str]) -> list[int]:
+        # the model puts a word start before the whole string: right for a word after a space, one too many after a line feed; an empty one is a lone word start
+        return [len(ids) - (w[:1] == "\n") if w else 1 for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True)]
+
+    def known(self, words: list[str]) -> None:
+        """See to it that all of these are held."""
+        missing = list(dict.fromkeys(w for w in words if w not in self))
+        if self.held + sum(map(len, missing)) > CACHE:
             self.clear()
-        for word, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
-            # the model puts a word start before the whole string: right for a word after a space, one too many after a line feed
-            self[word] = len(ids) - (word[:1] == "\n")
-        self[""] = 1  # a lone word start
+            self.held, missing = 0, list(dict.fromkeys(words))
+        if missing:
+            self.held += sum(map(len, missing))
+            self.update(zip(missing, self.encode(missing), strict=True))
 
     def count(self, text: str, frequent: dict[str, int]) -> int:
         words = cut(text)
@@ -68,13 +74,13 @@ class Lengths(dict):
                 rest.append(word)
             else:
                 total += n
-        if rest:
-            if missing := list(dict.fromkeys(w for w in rest if w not in self)):
-                for at in range(0, len(missing), CACHE):
-                    self.learn(missing[at : at + CACHE])
-                if not all(w in self for w in rest):  # more distinct words than the cache holds
-                    return len(self.model.encode(text, num_threads=1))
-            total += sum(map(self.__getitem__, rest))
+        for at in range(0, len(rest), 10_000):  # a part's words fit the cache
+            part = rest[at : at + 10_000]
+            short = [w for w in part if len(w) <= ENTRY]
+            self.known(short)
+            total += sum(map(self.__getitem__, short))
+            if len(short) < len(part):
+                total += sum(self.encode([w for w in part if len(w) > ENTRY]))
         return total
 
 
@@ -87,23 +93,26 @@ def _lengths(model_path: str) -> Lengths:
     return _workers[model_path]
 
 
-def frequent_pretokens(df: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, size: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens in a hash sample of about ``sample_docs`` documents."""
-    step = max(1, df.count() // sample_docs)
-    sampled = df.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(text)
+def frequent_pretokens(df: DataFrame, model_path: str, text: str = "text", size: int = FREQUENT) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens of all texts.
+
+    A task's counts can miss pre-tokens that are light in it, never heavy ones
+    for good: the table of a task drops the lighter half when it is full.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
         for batch in batches:
-            seen = Counter()
-            for value in batch.column(0).to_pylist():
-                seen.update(w for w in cut(value or "") or () if len(w) <= MAX_CHARS)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    top = sampled.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+            for value in batch.column(0):
+                seen.update(cut(value.as_py() or "") or ())
+                if len(seen) > COUNTED:
+                    seen = Counter(dict(seen.most_common(COUNTED // 2)))
+        top = [(w, n) for w, n in seen.most_common(2 * size) if len(w) <= MAX_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
+
+    top = df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     words = [r.word for r in top.collect()]
-    lengths = Lengths(model_path)
-    lengths.learn(words)
-    return {w: lengths[w] for w in words}
+    return dict(zip(words, Lengths(model_path).encode(words), strict=True))
 
 
 def token_counts(df: DataFrame, model_path: str, limit: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
