@@ -142,9 +142,14 @@ class Words:
         """(bytes, starts): all words, each followed by one space, and where each begins; the last start is the end."""
         length = self.ends - self.starts
         at = np.concatenate([[0], np.cumsum(length + 1)])
+        kind = np.int32 if at[-1] < 1 << 31 else np.int64
         out = np.full(int(at[-1]), 32, np.uint8)
-        step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        out[np.repeat(at[:-1], length) + step] = self.data[np.repeat(self.starts, length) + step]
+        # a word's bytes all move by the same distance
+        place = np.arange(int(length.sum()), dtype=kind)
+        place += np.repeat((at[:-1] - (np.cumsum(length) - length)).astype(kind), length)
+        move = np.repeat((self.starts - at[:-1]).astype(kind), length)
+        move += place
+        out[place] = self.data[move]
         return out, at
 
 

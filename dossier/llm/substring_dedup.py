@@ -36,7 +36,7 @@ from dossier.llm.workdir import Workspace
 
 WINDOW, SEED = 20, 8
 #: Text of a chunk, and text for each block, in bytes.
-CHUNK, BLOCK = 8 << 20, 6 << 20
+CHUNK, BLOCK = 4 << 20, 6 << 20
 #: Marks an entry that stands for several factors of its chunk.
 SEVERAL = 0xFFFFFFFF
 
