@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from dossier.llm.workdir import Workspace
 
 #: Distinct hashes a bucket holds before it splits.
-CAPACITY = 20_000
+CAPACITY = 5_000
 #: Rows of a run at most, as a power of two.
 RUN = 16
 #: Doublings at most beyond what evenly spread hashes need: further on, hashes share so many leading bits that splitting is in vain and a bucket grows a longer chain.

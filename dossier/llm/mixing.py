@@ -10,9 +10,9 @@ all its buckets fly together, in buckets again while they are many, and the one
 two left then land where the
 source's tokens come nearest to the target.
 
-Buckets are cut by a hash of the document's id, so a hot source is spread over
-many tasks, and random numbers derive from ids, so reruns agree whatever the
-partitioning.
+Buckets are cut by a hash of the document's id and text, so a hot source or id
+is spread over many tasks, and random numbers derive from both, so reruns agree
+whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -40,16 +40,16 @@ BUCKET = 2000
 
 
 def sizes(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each row's whole text, null texts 0."""
+    """(doc_id, source, size, tie): words of each row's whole text, null texts 0, and a hash that tells rows of one id apart."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [Words(data, offsets).counts() for _, _, data, offsets in slices(batch.column(2))]
             n = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64))], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), batch.column(3)], ["doc_id", "source", "size", "tie"])
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, source string, size long")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    return rows.mapInArrow(count, "doc_id long, source string, size long, tie long")
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -70,8 +70,8 @@ def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = W
     return done
 
 
-def _uniform(ids: np.ndarray) -> np.ndarray:
-    return mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) / 2.0**64
+def _uniform(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    return mix((ids ^ ties).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) / 2.0**64
 
 
 def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -114,9 +114,9 @@ def _flyer(land: bool, columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFr
     """The flight of one bucket, with the landing or without."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "size", "tie"], kind="stable", ignore_index=True)
         size = pdf["size"].to_numpy()
-        p = flight(pdf["p"].to_numpy(), size, _uniform(pdf["doc_id"].to_numpy(np.int64)))
+        p = flight(pdf["p"].to_numpy(), size, _uniform(pdf["doc_id"].to_numpy(np.int64), pdf["tie"].to_numpy(np.int64)))
         pdf["p"] = landing(p, size) if land else p
         return pdf[columns]
 
@@ -143,7 +143,7 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
         buckets[r.source] = max(1, math.ceil(r.rows / BUCKET))
         plan.append((r.source, r.n, target[r.source], float(math.floor(copies)), copies - math.floor(copies)))
     table = spark.createDataFrame(plan, "s string, source_size long, target double, whole double, p double")
-    schema = "doc_id long, source string, size long, source_size long, target double, whole double, p double"
+    schema = "doc_id long, source string, size long, tie long, source_size long, target double, whole double, p double"
     order = [c.split(" ")[0] for c in schema.split(", ")]
     open_ = rows.join(table, F.col("source").eqNullSafe(F.col("s")), "left").select(order)
     done, between = [], (F.col("p") > 0) & (F.col("p") < 1)
@@ -151,7 +151,7 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
         last = max(buckets.values(), default=1) == 1
         cut = spark.createDataFrame(list(buckets.items()), "s string, buckets int")
         # the level goes into the hash, else what is left of a bucket would meet again
-        bucket = F.pmod(F.xxhash64("doc_id", F.lit(len(done))), F.col("buckets")).cast("int").alias("bucket")
+        bucket = F.pmod(F.xxhash64("doc_id", "tie", F.lit(len(done))), F.col("buckets")).cast("int").alias("bucket")
         dealt = open_.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(*order, bucket)
         flown = space.table(dealt.groupBy("source", "bucket").applyInPandas(_flyer(last, order), schema), "mixing-flight")
         if last:

@@ -39,6 +39,22 @@ def test_token_counts(spark, odd):
     assert token_counts.token_counts(odd.limit(0), path).count() == 0
 
 
+def test_token_counts_with_small_tables(spark, odd, monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(token_counts, "CACHE", 200)
+    monkeypatch.setattr(token_counts, "ENTRY", 8)
+    monkeypatch.setattr(token_counts, "COUNTED", 50)
+    texts = ["q" * 3_000_000, "word " * 50_000 + "\n" * 20, "a\n b  c", "tail ", "x\nlonger_than_eight_letters y"]
+    df = small(spark).select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    want = sorted((r.doc_id, len(model.encode(r.text or ""))) for r in df.collect())
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(df, path).collect()) == want
+    lengths = token_counts.Lengths(path)
+    assert all(lengths.count(t, {}) == len(model.encode(t)) for t in texts) and lengths.held <= 200
+
+
 def test_packing_is_an_exact_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
@@ -142,6 +158,41 @@ def test_mixing(spark, odd):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def brute_targets(rows):
+    """(source, its size, its target) by repeated sharing, one source at its limit at a time."""
+    names = sorted({s for s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for t, n in rows if t == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    fixed, total = {}, 1.5 * sum(size.values())
+    while True:
+        open_ = [s for s in names if s not in fixed]
+        share = {s: (total - sum(fixed.values())) * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * size[s]]
+        if not over:
+            return {s: (size[s], fixed.get(s, share.get(s))) for s in names}
+        fixed |= {s: 2.0 * size[s] for s in over}
+
+
+def test_mixing_targets_and_tokens_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r.doc_id: r.source for r in df.collect()}
+    got = mixing.mix_sources(df).collect()
+    want = brute_targets([(source[r.doc_id], r.size) for r in got])
+    for s, (size, target) in want.items():
+        rows = [r for r in got if source[r.doc_id] == s]
+        assert {r.source_size for r in rows} == {size} and all(abs(r.target - target) < 1e-6 * target + 1e-9 for r in rows)
+        assert abs(sum(r.taken for r in rows) - target) <= max(r.size for r in rows)
+        assert all(r.taken <= 2 * r.size for r in rows)
+
+
+def test_mixing_rows_of_one_id(spark):
+    df = spark.range(6000).selectExpr("7 AS doc_id", "concat_ws(' ', sequence(0, id % 9)) || ' t' || id AS text", "'s' AS source")
+    first = mixing.mix_sources(df).collect()
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    assert sorted(map(tuple, first)) == sorted(map(tuple, again)) and len(first) == 6000
+    assert abs(sum(r.taken for r in first) - first[0].target) <= 10
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 50, 400):
