@@ -35,8 +35,8 @@ from dossier.llm.arrowtext import U, Words, ngram_hashes, slices
 from dossier.llm.workdir import Workspace
 
 WINDOW, SEED = 20, 8
-#: Text of a chunk, and text for each block, in bytes.
-CHUNK, BLOCK = 4 << 20, 6 << 20
+#: Text of a chunk, for each bucket of seeds, and for each block of factors, in bytes.
+CHUNK, BUCKET, BLOCK = 2 << 20, 24 << 20, 6 << 20
 #: Marks an entry that stands for several factors of its chunk.
 SEVERAL = 0xFFFFFFFF
 
@@ -275,10 +275,9 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, seed: int = SEED, text
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     # as many buckets as chunks, about: each file of the table holds one or a few
-    chunks = space.table(chunks_of(docs), "substring-chunks", buckets=max(8, min(100_000, size // CHUNK)), by="chunk")
-    blocks = max(32, size // BLOCK)
-    bits = space.table(shared_seeds(chunks, blocks, window, seed), "substring-bits")
-    masks = space.table(matched(factors(chunks.join(bits, "chunk"), blocks, window, seed), window), "substring-masks")
+    chunks = space.table(chunks_of(docs), "substring-chunks", buckets=max(8, min(100_000, size // (2 * CHUNK))), by="chunk")
+    bits = space.table(shared_seeds(chunks, max(8, size // BUCKET), window, seed), "substring-bits")
+    masks = space.table(matched(factors(chunks.join(bits, "chunk"), max(32, size // BLOCK), window, seed), window), "substring-masks")
     replies = masks.groupBy("chunk").agg(F.collect_list(F.struct("n", "mask")).alias("replies"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string"
 
