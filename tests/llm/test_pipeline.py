@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -52,6 +53,40 @@ def test_stages(spark, tmp_path):
     assert {r.sequence_id for r in steps[4]} == set(range(-(-total // 2048)))
 
 
+def test_rows_of_one_id_and_rows_without_text(spark, tmp_path):
+    words = " ".join(f"w{k}" for k in range(40))
+    texts = [(3, "A x y"), (5, "A x y"), (5, "quite another text"), (5, "A x  y"), (8, None), (9, ""), (11, words), (11, words + " more"), (12, "short text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, _row_ string").repartition(3)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert rows(kept) == rows(docs.where("doc_id IN (8, 11, 12) OR text IN ('A x  y', 'quite another text')"))
+    assert kept.columns == docs.columns
+    near = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert near.count() == 6 and near.where("text = 'quite another text'").count() == 1 and near.where("doc_id = 11").count() == 1
+    assert near.where("text IS NULL OR text = ''").count() == 2
+    taken = corpus_pipeline.mix(spark, docs, "")
+    assert taken.columns == docs.columns and taken.where("text IS NULL OR text = ''").count() == 0
+    assert corpus_pipeline.pack(spark, docs, "").where("doc_id IN (8, 9)").agg(F.sum("length")).first()[0] == 2
+
+
+def test_a_result_outlives_a_run_of_the_pipeline(spark):
+    from dossier.llm.queries import queries
+
+    before = queries()["op7_exact_dedup"](spark, "/root/testdata/sf0.001")
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert before.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from dossier.llm.workdir import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster)
+
+
 def test_run_and_an_empty_table(spark, tmp_path):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.agg(F.min("offset")).first()[0] == 0
