@@ -67,11 +67,16 @@ def jobs_sql(part: str = "part") -> str:
     return f"SELECT k AS jd_id, {text} AS text FROM (SELECT p_partkey AS k FROM {part})"
 
 
+def _spread(spark: SparkSession, path: str) -> DataFrame:
+    """A small table over all cores: what is made from a row takes far longer than reading it."""
+    return spark.read.parquet(path).repartition(spark.sparkContext.defaultParallelism)
+
+
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text)."""
-    return spark.sql(sql("{t}").replace("VARCHAR(20)", "STRING").replace("chr(8220)", "'“'").replace("chr(8221)", "'”'").replace("chr(8212)", "'—'").replace("chr(8230)", "'…'").replace("chr(8226)", "'•'"), t=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(sql("{t}").replace("VARCHAR(20)", "STRING").replace("chr(8220)", "'“'").replace("chr(8221)", "'”'").replace("chr(8212)", "'—'").replace("chr(8230)", "'…'").replace("chr(8226)", "'•'"), t=_spread(spark, f"{sf_dir}/customer.parquet"))
 
 
 def job_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(jd_id, text)."""
-    return spark.sql(jobs_sql("{t}").replace("VARCHAR(20)", "STRING"), t=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spark.sql(jobs_sql("{t}").replace("VARCHAR(20)", "STRING"), t=_spread(spark, f"{sf_dir}/part.parquet"))
