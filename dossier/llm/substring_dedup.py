@@ -14,8 +14,10 @@ the longest spans.
 
 Texts are written once, in chunks of whole documents, as a table bucketed by
 chunk. What blocks decide is sent back to the chunks, so texts are never
-shuffled; factors are, if another factor has their seed. Copies within a chunk
-are settled there, so a hot passage reaches its block once from each chunk.
+shuffled; factors are, if another factor has their seed. Copies are reduced
+within a chunk and then by a partial aggregate, so a hot passage doesn't gather
+anywhere. A seed that stands in more than HOT different factors has its windows
+dealt out by their words instead.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from dossier.llm.workdir import Workspace
 WINDOW, SEED = 20, 8
 #: Text of a chunk, for each bucket of seeds, and for each block of factors, in bytes.
 CHUNK, BUCKET, BLOCK = 2 << 20, 24 << 20, 6 << 20
+#: Different factors of a seed in a block at most.
+HOT = 20_000
 #: Marks an entry that stands for several factors of its chunk.
 SEVERAL = 0xFFFFFFFF
 
@@ -221,44 +225,65 @@ def factors(chunks: DataFrame, blocks: int, window: int = WINDOW, seed: int = SE
     return chunks.mapInArrow(cut, "block int, seed long, chunk long, n long, windows int, doc_id long, tie long, row long, start long, words binary")
 
 
-def matched(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(chunk, n, mask): which windows of a factor also start earlier, as bits from the lowest; factors without any are left out."""
+PLACE = ("doc_id", "tie", "chunk", "row", "start")
+
+
+def firsts(found: DataFrame) -> DataFrame:
+    """Each distinct factor at its first place."""
+    first = F.min(F.struct(*PLACE, "n", "windows")).alias("first")
+    return found.groupBy("block", "seed", "words").agg(first).select("block", "seed", "words", "first.*")
+
+
+def _edges(text: bytes) -> list[int]:
+    """Where the words of a factor begin, and one past its end."""
+    edges = [0]
+    while (at := text.find(b" ", edges[-1])) >= 0:
+        edges.append(at + 1)
+    return [*edges, len(text) + 1]
+
+
+def matched(distinct: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(chunk, n, mask) of distinct factors: which of their windows also start earlier, as bits from the lowest."""
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seed", "doc_id", "tie", "chunk", "row", "start"], ignore_index=True)
+        pdf = pdf.sort_values(["seed", *PLACE], ignore_index=True)
         seeds, words, size = pdf["seed"].to_numpy(), pdf["words"].tolist(), pdf["windows"].tolist()
         masks = [0] * len(pdf)
         cuts = np.concatenate([[0], np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, [len(pdf)]]).tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a == 1:
                 continue
-            known: set[bytes] = set()  # factors of the seed so far
-            for k in range(a, b):
-                if words[k] in known:
-                    masks[k] = (1 << size[k]) - 1
-                else:
-                    known.add(words[k])
-            if len(known) == 1:
-                continue
-            index: set[bytes] = set()  # their windows
+            index: set[bytes] = set()  # windows of the seed so far
             for k in range(a, b):
-                if masks[k]:
-                    continue
-                text = words[k]
-                edges = [0]
-                while (at := text.find(b" ", edges[-1])) >= 0:
-                    edges.append(at + 1)
-                edges.append(len(text) + 1)
+                text, edges = words[k], _edges(words[k])
                 for j in range(size[k]):
                     part = text[edges[j] : edges[j + window] - 1]
                     if part in index:
                         masks[k] |= 1 << j
                     else:
                         index.add(part)
-        out = pdf[["chunk", "n"]].assign(mask=masks)
-        return out[out["mask"] > 0]
+        return pdf[["chunk", "n"]].assign(mask=masks)
+
+    return distinct.groupBy("block").applyInPandas(match, "chunk long, n long, mask long")
+
+
+def matched_by_window(distinct: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``matched`` where no window is left out of ``mask`` alone, by an aggregate over windows."""
+    names = [*PLACE, "n", "windows", "j", "words"]
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, size = batch.column("words").to_pylist(), batch.column("windows").to_numpy()
+            edges = [_edges(t) for t in texts]
+            row = np.repeat(np.arange(len(size)), size)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            parts = [texts[r][edges[r][i] : edges[r][i + window] - 1] for r, i in zip(row.tolist(), j.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in names[:-2]), pa.array(j), pa.array(parts, pa.binary())], names)
 
-    return found.groupBy("block").applyInPandas(match, "chunk long, n long, mask long")
+    opened = distinct.withColumn("windows", F.col("windows").cast("int")).select(*names[:-2], "words").mapInArrow(open_, "doc_id long, tie long, chunk long, row long, start long, n long, windows int, j long, words binary")
+    first = opened.groupBy("words").agg(F.min(F.struct(*PLACE, "j", "n", "windows")).alias("first")).select("first.*")
+    own = first.groupBy("chunk", "n", "windows").agg(F.sum(F.expr("shiftleft(1L, CAST(j AS INT))")).alias("own"))
+    return own.select("chunk", "n", (F.expr("shiftleft(1L, windows)") - 1 - F.col("own")).alias("mask"))
 
 
 def dedup_substrings(df: DataFrame, window: int = WINDOW, seed: int = SEED, text: str = "text", key: str = "doc_id", space: Workspace | None = None) -> DataFrame:
@@ -277,7 +302,14 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, seed: int = SEED, text
     # as many buckets as chunks, about: each file of the table holds one or a few
     chunks = space.table(chunks_of(docs), "substring-chunks", buckets=max(8, min(100_000, size // (2 * CHUNK))), by="chunk")
     bits = space.table(shared_seeds(chunks, max(8, size // BUCKET), window, seed), "substring-bits")
-    masks = space.table(matched(factors(chunks.join(bits, "chunk"), max(32, size // BLOCK), window, seed), window), "substring-masks")
+    distinct = space.table(firsts(factors(chunks.join(bits, "chunk"), max(32, size // BLOCK), window, seed)), "substring-factors")
+    hot = space.table(distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("factors")).where(F.col("factors") > HOT).select("seed"), "substring-hot")
+    masks = matched(distinct.join(hot, "seed", "left_anti"), window)
+    if not hot.isEmpty():
+        masks = masks.union(matched_by_window(distinct.join(hot, "seed"), window))
+    # what isn't answered is a copy as a whole
+    masks = space.table(masks, "substring-masks")
+    space.drop(distinct, hot)
     replies = masks.groupBy("chunk").agg(F.collect_list(F.struct("n", "mask")).alias("replies"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string"
 
@@ -296,7 +328,7 @@ def _kept(chunk: Chunk, batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatc
     if shared.any():
         texts, heads, use, number = chunk.distinct(shared, chunk.order()[0])
         masks = (np.int64(1) << chunk.size[heads]) - 1  # for all but the first of its kind
-        own = np.zeros(len(heads), np.int64)
+        own = masks.copy()
         if (replies := batch.column("replies")[k]).is_valid:
             own[replies.values.field("n").to_numpy()] = replies.values.field("mask").to_numpy()
         mask = np.where(use == heads[number], own[number], masks[number])

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from dossier.llm import substring_dedup
 
 
@@ -68,7 +70,17 @@ def test_factors_of_one_seed_are_told_apart_by_their_words(spark):
     texts = [" ".join(f"d{i}w{k}" for k in range(20)).encode() for i in (1, 2, 3)]
     rows = [(0, 1, 1, i, 1, i, 0, 0, 0, t) for i, t in enumerate([*texts, texts[0]])]
     found = spark.createDataFrame(pd.DataFrame(rows, columns=["block", "seed", "chunk", "n", "windows", "doc_id", "tie", "row", "start", "words"]))
-    assert [tuple(r) for r in substring_dedup.matched(found).collect()] == [(1, 3, 1)]
+    for way in (substring_dedup.matched, substring_dedup.matched_by_window):
+        assert sorted(map(tuple, way(substring_dedup.firsts(found)).collect())) == [(1, 0, 0), (1, 1, 0), (1, 2, 0)]
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_seeds_in_many_factors(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rows = rows_of(7, n=80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring_dedup.dedup_substrings(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 20)
 
 
 def test_rows_of_one_id_are_texts_of_their_own(spark):
