@@ -33,7 +33,7 @@ from dossier.llm.workdir import Workspace
 COSINE = 0.98
 #: Vectors that centroids and codebooks are fitted on, at most.
 SAMPLE = 16_384
-#: Classes in a list, about, and vectors of the sample for each list at least: the sample bounds the lists, blocks do the rest.
+#: Classes of a label in a list, about, and vectors of the sample for each list at least: the sample bounds the lists, blocks do the rest.
 LIST, PER_LIST = 400, 8
 SUBSPACES, CODES = 8, 64
 #: Codes, and queries, of a list that one task holds at once.
@@ -133,15 +133,16 @@ def unit_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 def link_classes(classes: DataFrame, space: Workspace, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """(id, more): the rows of other classes that a class links with; (a, b): links enough to give the components of all."""
     spark = classes.sparkSession
-    # lengths of vectors: each is a space of its own; one row per dimension
-    dims = {r.d: r.n for r in classes.groupBy(F.octet_length("unit").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # lengths of vectors: each is a space of its own; one row per dimension. Vectors meet within their label, so lists are cut for the largest
+    labels = classes.groupBy(F.octet_length("unit").alias("d"), "label").agg(F.count(F.lit(1)).alias("n"))
+    dims = {r.d: (r.n, r.most) for r in labels.groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     fitted = {}
-    for d, n in dims.items():
+    for d, (n, most) in dims.items():
         step = max(1, math.ceil(n / SAMPLE))
         rows = classes.where(F.octet_length("unit") == d).where(F.pmod(F.xxhash64("unit"), F.lit(step)) == 0).select("unit").orderBy(F.xxhash64("unit")).limit(SAMPLE).collect()
         x = np.frombuffer(b"".join(bytes(r.unit) for r in rows), "<f8").reshape(-1, d // 8)
-        fitted[d] = Quantiser(x, max(1, min(n // LIST, len(x) // PER_LIST)))
+        fitted[d] = Quantiser(x, max(1, min(most // LIST, len(x) // PER_LIST)))
     model = spark.sparkContext.broadcast(fitted)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,8 +87,10 @@ def oracle_sql() -> dict[str, str]:
     from dossier.llm import exact_dedup, oracles
 
     return {
+        "op1_line_dedup": oracles.LINES,
         "op2_substring_dedup": oracles.SUBSTRING,
         "op4_jaccard_join": oracles.JACCARD,
         "op7_exact_dedup": exact_dedup.SQL,
         "op8_embedding_dedup": oracles.EMBEDDINGS,
+        "op9_chat_format": oracles.CONVERSATIONS,
     }

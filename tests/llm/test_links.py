@@ -239,6 +239,14 @@ def test_conversations_with_quotes_against_brute_force(spark, seed):
     want = brute_conversations(rows)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(m[4] is not None for m in want) > 20
+    import duckdb
+    import pandas as pd
+
+    from dossier.llm import oracles
+
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    names = "conv_id, turn, role, position, parent_turn, root_turn, depth, quote_levels, n_passages, body, formatted"
+    assert sorted(map(list, duckdb.sql(f"SELECT {names} FROM ({oracles.CONVERSATIONS})").fetchall()), key=key) == sorted(want, key=key)
 
 
 def test_positions_of_one_long_conversation(spark):
