@@ -1,16 +1,14 @@
 """Files that arrive over time, parsed as they come.
 
-An extension beyond batch parsing: everything up to the explicit skills is
-stateless, so a stream needs no watermark and appends its records.
+An extension beyond batch parsing: a record is a projection of its text, so a
+stream needs no watermark and appends its records.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from dossier.operators import contact, entries, skills
-from dossier.plans.record import Settings, prepared
+from dossier.plans.record import Settings, parse_text
 from dossier.sources.files import decoded
 
 
@@ -20,9 +18,5 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_records(texts: DataFrame, settings: Settings | None = None, text: str = "text", key: str = "path") -> DataFrame:
-    """Contact, jobs, degrees and exact skills of streamed texts."""
-    settings = settings or Settings()
-    ready = prepared(texts, text, key)
-    part = lambda name: F.col("sections")[name]
-    found = F.array_union(skills.explicit(part("skills"), settings.ontology), F.array_union(skills.exact(F.col("text"), settings.ontology), skills.phrase_skills(F.col("text"), settings.ontology)))
-    return ready.select(key, contact.contact(F.col("text"), part("contact")).alias("contact"), entries.experience(part("experience")).alias("experience"), entries.education(part("education")).alias("education"), found.alias("skills"))
+    """Whole records of streamed texts. ``entities``, if set, must be a map without state of its own."""
+    return parse_text(texts, settings, text, key)
