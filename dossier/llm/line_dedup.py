@@ -91,7 +91,9 @@ def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
     code = lambda h: F.get(F.col("codes"), F.pmod(h, F.lit(buckets)).cast("int")).cast("bigint")
     number = F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.shiftleft(code(h), BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << BITS) - 1))))
     rows = rows.select("doc_id", "tie", "line_no", "n", "k2", F.sort_array(number).alias("numbers"))
-    own = F.size(F.filter("numbers", lambda x: x < F.lit(1 << BITS))) if least == 2 else F.lit(0)
+    # numbers are sorted, and own ones beyond the prefix make no difference
+    reach = F.slice("numbers", 1, (F.floor(F.col("n") / 5) + 1).cast("int"))
+    own = F.size(F.filter(reach, lambda x: x < F.lit(1 << BITS))) if least == 2 else F.lit(0)
     rows = rows.select("*", F.xxhash64("numbers").alias("k1"), own.alias("own"))
     # sets of up to 3 words link only with an equal set
     live = (F.col("own") <= F.floor(F.col("n") / 5)) & (F.col("n") > 3)
@@ -109,17 +111,19 @@ def classes_of(lines: DataFrame, space: Workspace) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): those classes of ``pairs`` (id, other) whose words link with the other's."""
+    candidates = space.table(pairs, "line-candidates")
     # sets of n and m words that share enough have their first shared words in both prefixes, all but those that may lie behind words not shared
     side = lambda a, n, p: classes.select(F.col("id").alias(a), F.col("n").alias(n), F.col("prefix").alias(p))
-    both = pairs.join(side("id", "n", "pa"), "id").join(side("other", "m", "pb"), "other")
+    both = candidates.join(side("id", "n", "pa"), "id").join(side("other", "m", "pb"), "other")
     share = F.ceil(4 * (F.col("n") + F.col("m")) / 9)
     room = lambda n: F.floor(F.col(n) / 5) + 1 - (F.col(n) - share)
     pairs = space.table(both.where(F.size(F.array_intersect("pa", "pb")) >= F.least(room("n"), room("m"))).select("id", "other"), "line-pairs")
+    space.drop(candidates)
     wanted = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
     places = classes.select("id", *PLACE).join(wanted, "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places")
     found = found.select(F.explode(F.transform("places", lambda p: F.struct(p.id.alias("id"), F.get(F.col("own"), p.line_no).alias("line")))).alias("p"))
-    sets = space.table(found.select("p.id", words_of(F.col("p.line")).alias("words")).dropDuplicates(["id"]), "line-candidates")
+    sets = space.table(found.select("p.id", words_of(F.col("p.line")).alias("words")).dropDuplicates(["id"]), "line-texts")
     both = pairs.join(sets.toDF("id", "wa"), "id").join(sets.toDF("other", "wb"), "other")
     out = space.table(both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("id").distinct(), "line-found")
     space.drop(pairs, sets)
