@@ -257,13 +257,20 @@ def explicit_rows() -> str:
 LEFT JOIN known k ON k.alias = lower(n.name) WHERE n.name <> '' AND length(n.name) <= 60"""
 
 
+def edits(a: str, b: str) -> str:
+    """Levenshtein's distance in characters; the built-in function counts bytes."""
+    row = f"list_reduce(range(1, length({b}) + 1), lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, prev[j + 1] + 1, prev[j] + CASE WHEN substr({b}, j, 1) = ch THEN 0 ELSE 1 END)), [prev[1] + 1])"
+    return f"CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE list_reduce(string_split({a}, ''), lambda prev, ch: {row}, range(0, length({b}) + 1))[length({b}) + 1] END"
+
+
 def similar_levenshtein() -> str:
     """SELECT of (phrase, alias, canonical, score) over ``keys`` and ``known``."""
     fold = lambda c: rf"array_to_string(list_sort(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')), ' ')"
     return f"""SELECT phrase, arg_min(alias, idx) AS alias, arg_min(canonical, idx) AS canonical, arg_min(score, idx) AS score FROM (
-SELECT p.phrase, k.alias, k.canonical, k.idx, round((1 - levenshtein({fold('p.phrase')}, {fold('k.alias')}) / greatest(length({fold('p.phrase')}), length({fold('k.alias')}))) * 100, 2) AS score
+SELECT phrase, alias, canonical, idx, round((1 - {edits('p_', 'a_')} / greatest(length(p_), length(a_))) * 100, 2) AS score FROM (
+SELECT p.phrase, k.alias, k.canonical, k.idx, {fold('p.phrase')} AS p_, {fold('k.alias')} AS a_
 FROM (SELECT DISTINCT phrase FROM keys WHERE length(phrase) >= 4 AND phrase NOT IN (SELECT alias FROM known)) p JOIN known k ON left(p.phrase, 1) = left(k.alias, 1) AND abs(length(p.phrase) - length(k.alias)) <= 3 AND {n_words('p.phrase')} = {n_words('k.alias')}
-WHERE regexp_matches(left(k.alias, 1), '[\\p{{L}}\\p{{N}}]')) WHERE score >= 85 GROUP BY phrase"""
+WHERE regexp_matches(left(k.alias, 1), '[\\p{{L}}\\p{{N}}]'))) WHERE score >= 85 GROUP BY phrase"""
 
 
 def similar_indel() -> str:
@@ -275,7 +282,7 @@ SELECT phrase, arg_max({{'alias': alias, 'canonical': canonical, 'score': score}
 SELECT *, 200.0::DOUBLE * list_reduce(string_split(p, ''), lambda prev, ch: {row}, list_resize([]::BIGINT[], len(b) + 1, 0))[len(b) + 1] / (length(p) + length(a)) AS score FROM (
 SELECT *, string_split(a, '') AS b FROM (SELECT d.phrase, k.alias, k.canonical, k.idx, {fold('d.phrase')} AS p, {fold('k.alias')} AS a
 FROM (SELECT DISTINCT phrase FROM keys WHERE length(phrase) >= 4 AND phrase NOT IN (SELECT alias FROM known)) d JOIN known k ON 100 * length(k.alias) BETWEEN 70 * length(d.phrase) AND 140 * length(d.phrase))
-WHERE levenshtein(p, a) <= floor(15 * (length(p) + length(a)) / 100))) WHERE score >= 85 GROUP BY phrase)
+WHERE levenshtein(p, a) <= floor(15 * (length(p) + length(a)) / 100) + strlen(p) - length(p) + strlen(a) - length(a))) WHERE score >= 85 GROUP BY phrase)
 WHERE len({words('phrase')}) = len({words('best.alias')}) AND abs(length(phrase) - length(best.alias)) <= 3"""
 
 

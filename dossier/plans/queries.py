@@ -215,7 +215,9 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ALL} SELECT doc_id, skill, row_number() OVER (PARTITION BY doc_id ORDER BY lower(skill), skill) AS place FROM allskills")
 def skills_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union(spark, sf_dir).select("doc_id", F.posexplode("skills").alias("place", "skill")).select("doc_id", "skill", (F.col("place") + 1).cast("long").alias("place"))
+    # the outer form, as the filter that the optimizer infers for the other would find all skills a second time
+    rows = _union(spark, sf_dir).select("doc_id", F.posexplode_outer("skills").alias("place", "skill")).where("skill IS NOT NULL")
+    return rows.select("doc_id", "skill", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query(f"WITH {_ALL} SELECT doc_id, 'EXACT' AS kind, alias, canonical, 100.0::DOUBLE AS score FROM ({sql.exact_hits(_O, trace=True)}) UNION ALL SELECT doc_id, 'EXACT PHRASE', phrase, canonical, 100.0 FROM keys JOIN known ON phrase = alias UNION ALL SELECT k.doc_id, 'FUZZY', f.alias, f.canonical, f.score FROM keys k JOIN fuzzy f USING (phrase)")
