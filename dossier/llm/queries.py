@@ -68,9 +68,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from dossier.llm.chat_format import conversations
 
-    return conversations(_read(spark, sf_dir, "conversations"))
+    # -1 where a message answers none, as a column of nulls alone compares badly
+    return conversations(_read(spark, sf_dir, "conversations")).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +95,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_join": oracles.JACCARD,
         "op7_exact_dedup": exact_dedup.SQL,
         "op8_embedding_dedup": oracles.EMBEDDINGS,
-        "op9_chat_format": oracles.CONVERSATIONS,
+        "op9_chat_format": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({oracles.CONVERSATIONS})",
     }
