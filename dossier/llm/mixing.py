@@ -127,7 +127,7 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     """Per row: doc_id, size, source_size, target (its source's), taken (tokens the mix takes).
 
     ``taken`` is a multiple of ``size``, at most ``most`` rounded up. Null
-    texts have size 0 and are never taken; a null source is a source of its
+    texts have size 0, so they are drawn but give no tokens; a null source is a source of its
     own, last in order. Repeated ids are separate rows; other columns are
     ignored; an empty table gives no rows.
     """
