@@ -58,7 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, space: W
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, space: Workspace | None = None) -> DataFrame:
-    """Each row as often as the mix takes it; rows without words are never taken."""
+    """Each row as often as the mix takes it; rows without words are drawn like the others and add no words."""
     space = space or Workspace(spark)
     rows = _numbered(docs, space)
     copies = mixing.mix_sources(rows, key="_row", space=space).where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
