@@ -5,6 +5,7 @@ from __future__ import annotations
 from dossier.functions import fixed
 from dossier.functions.textkit import any_of
 from dossier.plans import resumes
+from dossier.plans.render import FIELDS
 from dossier.sources.ontology import Ontology
 
 _NL = "chr(10)"
@@ -309,8 +310,7 @@ rec AS MATERIALIZED (SELECT r.doc_id, {{'name': coalesce(n.name, ''), 'email': c
   FROM ready r JOIN names n USING (doc_id) JOIN {part('summary')} s USING (doc_id) LEFT JOIN jobs_ j USING (doc_id) LEFT JOIN degrees_ d USING (doc_id) LEFT JOIN skills_ k USING (doc_id) LEFT JOIN works_ w USING (doc_id) LEFT JOIN papers_ c USING (doc_id) LEFT JOIN languages_ l USING (doc_id) LEFT JOIN hobbies_ h USING (doc_id))"""
 
 
-RECORD_FIELDS = ("contact", "summary", "experience", "education", "skills", "projects", "certifications", "languages", "hobbies")
-RECORD_JSON = "SELECT doc_id, CAST(to_json({" + ", ".join(f"'{f}': {f}" for f in RECORD_FIELDS) + "}) AS VARCHAR) AS json FROM rec"
+RECORD_JSON = "SELECT doc_id, CAST(to_json({" + ", ".join(f"'{f}': {f}" for f in FIELDS) + "}) AS VARCHAR) AS json FROM rec"
 COMPLETENESS = """SELECT doc_id, CAST(greatest(65, least(least(5 * len(skills), 50) + least(15 * len(experience), 30) + least(10 * len(education), 20), 98)) AS INT) AS completeness,
 format('Profile completeness: {} skills verified, {} career milestones, {} education records.', len(skills), len(experience), len(education)) AS completeness_text,
 CAST(len(skills) AS INT) AS n_skills, CAST(len(experience) AS INT) AS n_jobs, CAST(len(education) AS INT) AS n_degrees, CAST(len(projects) AS INT) AS n_projects FROM rec"""

@@ -12,6 +12,7 @@ from dossier.functions.textkit import let, sorted_fold
 from dossier.operators import contact, entries, score, skills
 from dossier.operators.clean import clean
 from dossier.operators.sections import sections
+from dossier.plans.render import FIELDS
 from dossier.sources.files import read_files
 from dossier.sources.ontology import Ontology
 
@@ -33,19 +34,19 @@ class Settings:
     entities: Callable[[DataFrame], DataFrame] | None = None
 
 
-def prepared(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, text, sections) with the text cleaned."""
-    return df.select(key, clean(F.col(text)).alias("text")).select(key, "text", sections(F.col("text")).alias("sections"))
+def prepared(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, text, sections) with the text cleaned."""
+    return df.select(key, *keep, clean(F.col(text)).alias("text")).select(key, *keep, "text", sections(F.col("text")).alias("sections"))
 
 
-def parse_text(df: DataFrame, settings: Settings | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One record per row: contact, summary, experience, education, skills, projects, certifications, languages, hobbies.
+def parse_text(df: DataFrame, settings: Settings | None = None, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One record per row: FIELDS, after the key and before the columns in ``keep``.
 
     All are columns of one projection: one scan, no shuffle. With ``entities``
     set, what the model finds is joined by key first.
     """
     settings = settings or Settings()
-    ready = prepared(df, text, key)
+    ready = prepared(df, text, key, keep)
     if settings.entities:
         ready = ready.join(settings.entities(ready.select(key, "text")).select(key, "people", "organisations"), key, "left")
     part = lambda name: F.col("sections")[name]
@@ -66,13 +67,15 @@ def parse_text(df: DataFrame, settings: Settings | None = None, text: str = "tex
         entries.certifications(part("certifications")).alias("certifications"),
         entries.list_items(part("languages")).alias("languages"),
         entries.list_items(part("hobbies")).alias("hobbies"),
+        *keep,
     )
 
 
 def parse_files(spark: SparkSession, path: str, settings: Settings | None = None, strict: bool = False) -> DataFrame:
     """Records of PDF, DOCX and text files, with ``path`` as key and an ``error`` struct where a file can't be read."""
-    files = read_files(spark, path, strict)
-    return parse_text(files.where("error IS NULL"), settings, "text", "path").join(files.select("path", "error"), "path", "right")
+    found = parse_text(read_files(spark, path, strict), settings, "text", "path", keep=("error",))
+    # each file is unpacked once: what can't be read goes through as an empty text
+    return found.select("path", *(F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in FIELDS), "error")
 
 
 def matches(records: DataFrame, jobs: DataFrame, key: str = "doc_id", job_key: str = "jd_id") -> DataFrame:
