@@ -1,46 +1,61 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity: a table of fixed
-size holds a code for each hash bucket of words, the higher the more often the
-most frequent word of the bucket occurs. A word becomes one number, its code
-above 56 bits of its hash, so sorting numbers sorts words by rarity. Words
-that occur less often than the table can hold have code 0; the order need only
-be the same everywhere for the filters to be exact.
-
-Lines of equal sets are one class, standing at its first place; classes are
-numbered in the order of places. Sets of n words link at a Jaccard similarity
-of 0.8 only if they share one of their floor(n / 5) + 1 rarest words (prefix
-filter), their sizes are within 4:5 (length filter), and the words from a
-shared one on suffice (positional filter). Candidates are verified on the
-words themselves.
-
-Only the question whether an earlier line links matters. So each class first
-meets the earliest class for each word of its prefix, which is one candidate a
-word, however many lines share it; only classes that link with none of these
-go on to meet all earlier classes with a word of their prefix.
-
-Only built-in expressions are used. The table reaches the expressions as a
-scalar subquery; the joins are plain equi-joins on words and classes.
+A line is the set of its words. A word becomes one number, its hash shifted by
+twice its length, so long words tend to come first: they are the rare ones, and no
+table has to say so. The order need only be the same everywhere for what
+follows to be exact; words of one number make lines meet, never part.
+
+Sets link at a Jaccard similarity of 0.8 if and only if they share i words
+and n >= 5x + 4y, where n = i + x is the size of the one and m = i + y that of
+the other. Consider the pairs of words that are neighbours in the order. A
+word that only this set has breaks two of its neighbourhoods, a word that only
+the other has breaks one, so at most 2x + y are broken, and that is at most
+2 * floor(n / 5), and one more where n is 4 modulo 5. Of one neighbourhood more
+than that from the start, each set holds the first that both share (prefix
+filter on pairs). Pairs of words are much rarer than words, so few lines meet
+that don't link; those that meet are compared by size and by sketches of
+parities, in which a word changes one, and then on the words themselves.
+
+Lines of equal sets are one class, standing at its first place. Only the
+question whether an earlier line links matters. So each class first meets the
+earliest class and the one before it for each of its keys, which is two
+candidates a key, however many lines share it; only classes that link with none
+of these go on to meet the others, for keys of more than three.
+
+Only built-in expressions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.workdir import Workspace
 
-#: Entries of the rarity table, one byte each: a power of two up to MOST_BUCKETS, gathered in blocks.
-MOST_BUCKETS, BLOCK = 1 << 22, 1 << 12
-BITS = 56
 #: What parts words within a line.
 BLANKS = "\t\x0b\x0c\r"
 PLACE = ("doc_id", "tie", "line_no")
+#: Keys are met in so many rounds, of which only one takes disk at a time.
+ROUNDS = 2
+
+_NUMBER = "shiftrightunsigned(xxhash64(w), 2 * octet_length(w))"
+_PARITIES = "aggregate(numbers, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))"
+_WIDE = "struct(size(words) AS n, transform(sequence(0L, 3L), k -> aggregate(hashes, 0L, (a, x) -> a ^ if((shiftright(x, 6) & 3) = k, shiftleft(1L, int(x & 63)), 0L))) AS bits)"
+_REACH = "2 * int(n div 5) + if(n % 5 = 4, 2, 1)"
+
+
+def spaced(text: Column) -> Column:
+    """The text with spaces for all that parts words."""
+    # most texts have none, and looking for a character is cheaper than replacing it
+    some = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in BLANKS))
+    return F.when(some, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
-    """The distinct words of a line."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " "), ""))
+    """The distinct words of a spaced line."""
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def documents(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -48,121 +63,111 @@ def documents(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
 
 
-def rarity_table(docs: DataFrame, space: Workspace) -> tuple[DataFrame, int, int]:
-    """One row with the codes of all buckets as one array; the number of buckets; the least count that has a code above 0."""
-    every = F.explode(F.split(F.translate("text", BLANKS + "\n", " " * 5), " ")).alias("w")
-    counts = docs.select(every).where("w <> ''").select(F.xxhash64("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = space.table(counts.where("n > 1"), "line-words")
-    # one row per doubling of the count
-    sizes = {r.k: r.n for r in counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = 1
-    while sum(n for k, n in sizes.items() if k >= least) > MOST_BUCKETS // 2:
-        least += 1
-    buckets = BLOCK
-    while buckets < min(2 * sum(n for k, n in sizes.items() if k >= least), MOST_BUCKETS):
-        buckets *= 2
-    # steps of a quarter of a doubling: 30 doublings fit below 127
-    code = F.least(F.lit(127), F.floor(4 * F.log2(F.col("n").cast("double")))).cast("tinyint")
-    some = counts.where(F.col("n") >= 1 << least).select(F.pmod("w", F.lit(buckets)).alias("bucket"), code.alias("code"))
-    none = space.spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("tinyint").alias("code"))
-    codes = some.unionByName(none).groupBy("bucket").agg(F.max("code").alias("code"))
-    blocks = codes.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("bucket", "code"))).alias("codes"))
-    blocks = blocks.select("block", F.col("codes.code").alias("codes"))
-    table = space.table(blocks, "line-rarity-blocks").agg(F.array_sort(F.collect_list(F.struct("block", "codes"))).alias("blocks"))
-    table = space.table(table.select(F.flatten(F.col("blocks.codes")).alias("codes")), "line-rarity")
-    space.drop(counts)
-    return table, buckets, 1 << least
-
-
 def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(doc_id, tie, line_no, n, k1, k2, own, prefix) of each line with words.
+    """(id, doc_id, tie, line_no, n, k1, k2, sketch, keys) of each line with words; ids follow the places.
 
-    ``prefix`` holds the numbers of its rarest words, without the ``own`` first
-    ones that occur once in the corpus; it is null where the line can link with
-    no other set.
+    ``keys`` are those of its neighbourhoods, null where the line can link with
+    no other set; ``sketch`` holds 64 parities.
     """
-    table, buckets, least = rarity_table(docs, space)
-    rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    docs = docs.where("text IS NOT NULL").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = docs.select("doc_id", "tie", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
     # tested on the line, as a filter on its words would split it twice
-    rows = rows.where(F.btrim("line", F.lit(" " + BLANKS)) != "").select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words"))
-    rows = rows.select("doc_id", "tie", "line_no", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), "words")
-    # as a column first: a lambda can name it. What is named once is put in its place by the optimizer, so no row carries the table
-    rows = rows.select("*", table.scalar().alias("codes"))
-    code = lambda h: F.get(F.col("codes"), F.pmod(h, F.lit(buckets)).cast("int")).cast("bigint")
-    number = F.transform(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.shiftleft(code(h), BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << BITS) - 1))))
-    rows = rows.select("doc_id", "tie", "line_no", "n", "k2", F.sort_array(number).alias("numbers"))
-    # numbers are sorted, and own ones beyond the prefix make no difference
-    reach = F.slice("numbers", 1, (F.floor(F.col("n") / 5) + 1).cast("int"))
-    own = F.size(F.filter(reach, lambda x: x < F.lit(1 << BITS))) if least == 2 else F.lit(0)
-    rows = rows.select("*", F.xxhash64("numbers").alias("k1"), own.alias("own"))
-    # sets of up to 3 words link only with an equal set
-    live = (F.col("own") <= F.floor(F.col("n") / 5)) & (F.col("n") > 3)
-    prefix = F.slice("numbers", F.col("own") + 1, (F.floor(F.col("n") / 5) + 1 - F.col("own")).cast("int"))
-    return space.table(rows.select(*PLACE, "n", "k1", "k2", "own", F.when(live, prefix).alias("prefix")), "line-sets")
-
-
-def classes_of(lines: DataFrame, space: Workspace) -> DataFrame:
-    """(id, k1, k2, n, lines, doc_id, tie, line_no, own, prefix) of each class of equal sets, at its first place; ids follow the places."""
-    first = F.min(F.struct(*PLACE, "own", "prefix")).alias("first")
-    rows = lines.groupBy("k1", "k2", "n").agg(first, F.count(F.lit(1)).alias("lines")).select("k1", "k2", "n", "lines", "first.*")
-    rows = rows.repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
-    return space.table(rows.select(F.monotonically_increasing_id().alias("id"), "*"), "line-classes")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
-    """(id): those classes of ``pairs`` (id, other) whose words link with the other's."""
-    candidates = space.table(pairs, "line-candidates")
-    # sets of n and m words that share enough have their first shared words in both prefixes, all but those that may lie behind words not shared
-    side = lambda a, n, p: classes.select(F.col("id").alias(a), F.col("n").alias(n), F.col("prefix").alias(p))
-    both = candidates.join(side("id", "n", "pa"), "id").join(side("other", "m", "pb"), "other")
-    share = F.ceil(4 * (F.col("n") + F.col("m")) / 9)
-    room = lambda n: F.floor(F.col(n) / 5) + 1 - (F.col(n) - share)
-    pairs = space.table(both.where(F.size(F.array_intersect("pa", "pb")) >= F.least(room("n"), room("m"))).select("id", "other"), "line-pairs")
-    space.drop(candidates)
-    wanted = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    places = classes.select("id", *PLACE).join(wanted, "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
+    rows = rows.where(F.btrim("line") != "").select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words"))
+    rows = rows.select(*PLACE, F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), F.sort_array(F.expr(f"transform(words, w -> {_NUMBER})")).alias("numbers"))
+    keys = F.expr(f"if(n > 3, zip_with(slice(numbers, 1, {_REACH}), slice(numbers, 2, {_REACH}), (a, b) -> xxhash64(a, b)), null)")
+    sketch = F.expr(f"if(n > 3, {_PARITIES}, 0L)")
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), *PLACE, "n", F.xxhash64("numbers").alias("k1"), "k2", sketch.alias("sketch"), keys.alias("keys"))
+    return space.table(rows, "line-sets")
+
+
+def copies_of(lines: DataFrame, space: Workspace) -> DataFrame:
+    """(id, first, doc_id, tie, line_no, same) of lines whose set an earlier line has; ``same``: at this very place, in an equal row."""
+    firsts = [F.min_by(c, "id").alias(f"first_{c}") for c in PLACE]
+    known = lines.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), *firsts, F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
+    same = reduce(Column.__and__, (F.col(c) == F.col(f"first_{c}") for c in PLACE))
+    rows = lines.select("id", *PLACE, "k1", "k2", "n").join(known, ["k1", "k2", "n"]).where("id <> first")
+    return space.table(rows.select("id", "first", *PLACE, same.alias("same")), "line-copies")
+
+
+def near(other: str) -> Column:
+    """Whether a set may link with another, by (n, sketch) and the other's columns of these names."""
+    m, bits = f"{other}_n", f"{other}_sketch"
+    return F.expr(f"5 * n >= 4 * {m} AND 5 * {m} >= 4 * n AND 9 * bit_count(sketch ^ {bits}) <= n + {m}")
+
+
+def shared_keys(classes: DataFrame, space: Workspace) -> list[DataFrame]:
+    """(key, id, n, sketch, head, prev, many) of the keys that several classes hold, for those that may link by them.
+
+    ``head`` and ``prev`` are the key's earliest class and the one before this,
+    null where they can't link; ``many``: the key has more than three holders.
+    """
+    out = []
+    holders = Window.partitionBy("key").orderBy("id")
+    whole = holders.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    for turn in range(ROUNDS):
+        rows = classes.select("id", "n", "sketch", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == turn)
+        ends = [f(c).over(w).alias(f"{name}_{c}") for f, w, name in ((F.first, whole, "head"), (F.lag, holders, "prev")) for c in ("id", "n", "sketch")]
+        rows = rows.select("*", *ends, F.count(F.lit(1)).over(whole).alias("holders")).where("holders > 1")
+        head = F.when((F.col("head_id") < F.col("id")) & near("head"), F.col("head_id")).alias("head")
+        prev = F.when(near("prev"), F.col("prev_id")).alias("prev")
+        rows = rows.select("key", "id", "n", "sketch", head, prev, (F.col("holders") > 3).alias("many"))
+        out.append(space.table(rows.where("head IS NOT NULL OR prev IS NOT NULL OR many"), "line-keys"))
+    return out
+
+
+def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+    """(id, words, wide) of the lines with these ids; ``wide`` holds 256 parities."""
+    places = lines.select("id", *PLACE).join(ids.distinct(), "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places")
     found = found.select(F.explode(F.transform("places", lambda p: F.struct(p.id.alias("id"), F.get(F.col("own"), p.line_no).alias("line")))).alias("p"))
-    sets = space.table(found.select("p.id", words_of(F.col("p.line")).alias("words")).dropDuplicates(["id"]), "line-texts")
-    both = pairs.join(sets.toDF("id", "wa"), "id").join(sets.toDF("other", "wb"), "other")
+    sets = found.select("p.id", words_of(spaced(F.col("p.line"))).alias("words")).dropDuplicates(["id"])
+    sets = sets.select("*", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
+    return space.table(sets.select("id", "words", F.expr(_WIDE).alias("wide")), "line-texts")
+
+
+def similar(a: str, b: str) -> Column:
+    """Whether sets of these wide sketches, a struct with the size n, may link."""
+    apart = " + ".join(f"bit_count({a}.bits[{k}] ^ {b}.bits[{k}])" for k in range(4))
+    return F.expr(f"9 * ({apart}) <= {a}.n + {b}.n")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+    """(id): those classes of ``pairs`` (id, other) whose words link with the other's."""
+    pairs = space.table(pairs.distinct(), "line-pairs")
+    texts = texts_of(pairs.select("id").union(pairs.select("other")), lines, docs, space)
+    wide, words = texts.select("id", "wide"), texts.select("id", "words")
+    close = pairs.join(wide, "id").join(wide.toDF("other", "other_wide"), "other").where(similar("wide", "other_wide"))
+    close = space.table(close.select("id", "other"), "line-close")
+    both = close.join(words.toDF("id", "wa"), "id").join(words.toDF("other", "wb"), "other")
     out = space.table(both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("id").distinct(), "line-found")
-    space.drop(pairs, sets)
+    space.drop(pairs, texts, close)
     return out
 
 
-def later(classes: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+def later(lines: DataFrame, copies: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): classes that link with an earlier one."""
-    live = classes.where("prefix IS NOT NULL")
-    entries = live.select("id", "n", (F.col("n") - F.col("own")).alias("rest"), F.posexplode("prefix").alias("at", "w")).select("w", "id", "n", (F.col("rest") - F.col("at")).alias("rest"))
-    ends = [f("n", "id").alias(c) for f, c in ((F.min_by, "m"), (F.max_by, "n"))] + [f("rest", "id").alias(c) for f, c in ((F.min_by, "over"), (F.max_by, "rest"))]
-    heads = space.table(entries.groupBy("w").agg(F.min("id").alias("head"), F.max("id").alias("id"), *ends, F.count(F.lit(1)).alias("holders")).where("holders > 1"), "line-heads")
-    length = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
-    # for the rarest word that two sets share, the words from it on must suffice
-    position = 9 * F.least("rest", "over") >= 4 * (F.col("n") + F.col("m"))
-    # a word with two holders gives its one pair at once; only words with more have to be met again
-    two = heads.where((F.col("holders") == 2) & length & position).select("id", F.col("head").alias("other"))
-    shared = space.table(entries.join(heads.where("holders > 2").select("w", "head", "m", "over"), "w"), "line-prefixes")
-    first = shared.where((F.col("head") < F.col("id")) & length & position).select("id", F.col("head").alias("other"))
-    found = verified(first.union(two).distinct(), classes, docs, space)
-    space.drop(heads)
-    left = shared.where("head < id").join(found, "id", "left_anti").select("w", "id", "n", "rest")
-    met = left.join(shared.select("w", F.col("id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("over"), "head"), "w")
-    # the earliest holder of each word has been tried
-    more = verified(met.where((F.col("other") < F.col("id")) & (F.col("other") > F.col("head")) & length & position).select("id", "other").distinct(), classes, docs, space)
-    space.drop(shared)
+    classes = space.table(lines.where("keys IS NOT NULL").select("id", "n", "sketch", "keys").join(copies.select("id"), "id", "left_anti"), "line-classes")
+    turns = shared_keys(classes, space)
+    space.drop(classes)
+    shared = reduce(DataFrame.union, turns)
+    pairs = shared.select("id", F.col("head").alias("other")).union(shared.select("id", F.col("prev").alias("other")))
+    found = verified(pairs.where("other IS NOT NULL"), lines, docs, space)
+    many = shared.where("many").select("key", "id", "n", "sketch")
+    left = many.join(found, "id", "left_anti")
+    met = left.join(many.toDF("key", "other", "other_n", "other_sketch"), "key").where((F.col("other") < F.col("id")) & near("other"))
+    more = verified(met.select("id", "other"), lines, docs, space)
+    space.drop(*turns)
     return found.union(more)
 
 
 def removed_lines(docs: DataFrame, space: Workspace) -> DataFrame:
     """(doc_id, tie, line_no) of the lines of which an earlier line is a near duplicate."""
     lines = lines_of(docs, space)
-    classes = classes_of(lines, space)
-    gone = later(classes, docs, space)
-    known = classes.join(gone.select("id", F.lit(True).alias("all")), "id", "left").where("all OR lines > 1")
-    known = space.table(known.select("k1", "k2", "n", "all", F.struct(*PLACE).alias("first")), "line-known")
-    out = lines.join(known, ["k1", "k2", "n"]).where(F.col("all").isNotNull() | (F.col("first") != F.struct(*PLACE)))
-    out = space.table(out.select(*PLACE), "line-gone")
-    space.drop(lines, classes, gone, known)
+    copies = copies_of(lines, space)
+    gone = later(lines, copies, docs, space)
+    out = lines.select("id", *PLACE).join(gone, "id").select(*PLACE).union(copies.where("NOT same").select(*PLACE))
+    out = space.table(out, "line-gone")
+    space.drop(lines, copies, gone)
     return out
 
 

@@ -79,3 +79,22 @@ def test_chained_variants_need_more_than_the_earliest_holder(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == brute(rows)
+
+
+def test_lines_that_only_share_words_never_meet(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = [f"word{k}" for k in range(200)]
+    rows = [(k, " ".join(rng.sample(vocab, 12))) for k in range(600)] + [(600, "a b c d e f g h i j"), (601, "a b c d e f g h i")]
+    made, table = {}, line_dedup.Workspace.table
+
+    def counted(self, df, name, *more):
+        out = table(self, df, name, *more)
+        if name in ("line-candidates", "line-pairs"):
+            made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Workspace, "table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute(rows) and sum(r.n_removed for r in got) > 0
+    assert 0 < sum(made.values()) < len(rows)
