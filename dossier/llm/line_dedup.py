@@ -20,7 +20,8 @@ Lines of equal sets are one class, standing at its first place. Only the
 question whether an earlier line links matters. So each class first meets the
 earliest class and the one before it for each of its keys, which is two
 candidates a key, however many lines share it; only classes that link with none
-of these go on to meet the others, for keys of more than three.
+of these go on to meet the others, for keys of more than three. There too only
+those meet whose wide sketches, taken from the texts, are near enough.
 
 Only built-in expressions are used.
 """
@@ -42,7 +43,8 @@ ROUNDS = 2
 
 _NUMBER = "shiftrightunsigned(xxhash64(w), 2 * octet_length(w))"
 _PARITIES = "aggregate(numbers, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))"
-_WIDE = "struct(size(words) AS n, transform(sequence(0L, 3L), k -> aggregate(hashes, 0L, (a, x) -> a ^ if((shiftright(x, 6) & 3) = k, shiftleft(1L, int(x & 63)), 0L))) AS bits)"
+# the hashes are named four times, as a column that is named once is made anew for each round of a lambda
+_WIDE = "struct(size(words) AS n, array(" + ", ".join(f"aggregate(hashes, 0L, (a, x) -> if((shiftright(x, 6) & 3) = {k}, a ^ shiftleft(1L, int(x & 63)), a))" for k in range(4)) + ") AS bits)"
 _REACH = "2 * int(n div 5) + if(n % 5 = 4, 2, 1)"
 
 
@@ -63,30 +65,49 @@ def documents(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
 
 
-def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(id, doc_id, tie, line_no, n, k1, k2, sketch, keys) of each line with words; ids follow the places.
+def numbered(docs: DataFrame) -> DataFrame:
+    """Lines (doc_id, tie, line_no, line) with ids that follow the places.
 
-    ``keys`` are those of its neighbourhoods, null where the line can link with
-    no other set; ``sketch`` holds 64 parities.
+    Where no doc_id comes twice and there is room in 63 bits, the id is made of
+    doc_id and line number; else the texts are sorted.
     """
-    docs = docs.where("text IS NOT NULL").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    rows = docs.select("doc_id", "tie", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    docs = docs.where("text IS NOT NULL")
+    have = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    least, most, longest, rows, ids = have
+    if packed := 0 < rows == ids and (most - least + 1) * (longest + 1) < 2**62:
+        # a small table is dealt over all cores
+        if docs.rdd.getNumPartitions() < (cores := docs.sparkSession.sparkContext.defaultParallelism):
+            docs = docs.repartition(cores)
+    else:
+        docs = docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    lines = docs.select("doc_id", "tie", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
     # tested on the line, as a filter on its words would split it twice
-    rows = rows.where(F.btrim("line") != "").select("doc_id", "tie", "line_no", words_of(F.col("line")).alias("words"))
-    rows = rows.select(*PLACE, F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), F.sort_array(F.expr(f"transform(words, w -> {_NUMBER})")).alias("numbers"))
-    keys = F.expr(f"if(n > 3, zip_with(slice(numbers, 1, {_REACH}), slice(numbers, 2, {_REACH}), (a, b) -> xxhash64(a, b)), null)")
-    sketch = F.expr(f"if(n > 3, {_PARITIES}, 0L)")
-    rows = rows.select(F.monotonically_increasing_id().alias("id"), *PLACE, "n", F.xxhash64("numbers").alias("k1"), "k2", sketch.alias("sketch"), keys.alias("keys"))
-    return space.table(rows, "line-sets")
+    lines = lines.where(F.btrim("line") != "")
+    own = (F.col("doc_id") - least) * (longest + 1) + F.col("line_no") if packed else F.monotonically_increasing_id()
+    return lines.select(own.alias("id"), *PLACE, "line")
 
 
-def copies_of(lines: DataFrame, space: Workspace) -> DataFrame:
-    """(id, first, doc_id, tie, line_no, same) of lines whose set an earlier line has; ``same``: at this very place, in an equal row."""
+def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
+    """(id, doc_id, tie, line_no, n, first, same, sketch, keys) of each line with words; ids follow the places.
+
+    ``first`` is the earliest line of this set, ``same`` tells whether the line
+    is at that very place, in an equal row. ``keys`` are those of a first line's
+    neighbourhoods, null where it can link with no other set; ``sketch`` holds
+    64 parities.
+    """
+    rows = numbered(docs).select("id", *PLACE, words_of(F.col("line")).alias("words"))
+    rows = rows.select("id", *PLACE, F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), F.sort_array(F.expr(f"transform(words, w -> {_NUMBER})")).alias("numbers"))
+    keys = F.expr(f"if(n > 3, zip_with(slice(numbers, 1, {_REACH}), slice(numbers, 2, {_REACH}), (a, b) -> xxhash64(a, b)), null)")
+    sketch = F.expr(f"if(n > 3, {_PARITIES}, 0L)")
+    rows = space.table(rows.select("id", *PLACE, "n", F.xxhash64("numbers").alias("k1"), "k2", sketch.alias("sketch"), keys.alias("keys")), "line-rows")
     firsts = [F.min_by(c, "id").alias(f"first_{c}") for c in PLACE]
-    known = lines.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), *firsts, F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
+    known = rows.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), *firsts, F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
     same = reduce(Column.__and__, (F.col(c) == F.col(f"first_{c}") for c in PLACE))
-    rows = lines.select("id", *PLACE, "k1", "k2", "n").join(known, ["k1", "k2", "n"]).where("id <> first")
-    return space.table(rows.select("id", "first", *PLACE, same.alias("same")), "line-copies")
+    all_rows = rows.join(known, ["k1", "k2", "n"], "left").withColumn("first", F.coalesce("first", "id"))
+    keys = F.when(F.col("id") == F.col("first"), F.col("keys"))
+    out = space.table(all_rows.select("id", *PLACE, "n", "first", F.coalesce(same, F.lit(True)).alias("same"), "sketch", keys.alias("keys")), "line-sets")
+    space.drop(rows)
+    return out
 
 
 def near(other: str) -> Column:
@@ -107,7 +128,8 @@ def shared_keys(classes: DataFrame, space: Workspace) -> list[DataFrame]:
     for turn in range(ROUNDS):
         rows = classes.select("id", "n", "sketch", F.explode("keys").alias("key")).where(F.pmod("key", F.lit(ROUNDS)) == turn)
         ends = [f(c).over(w).alias(f"{name}_{c}") for f, w, name in ((F.first, whole, "head"), (F.lag, holders, "prev")) for c in ("id", "n", "sketch")]
-        rows = rows.select("*", *ends, F.count(F.lit(1)).over(whole).alias("holders")).where("holders > 1")
+        # most keys have one holder, and these go before anything else is asked of them
+        rows = rows.select("*", F.count(F.lit(1)).over(whole).alias("holders")).where("holders > 1").select("*", *ends)
         head = F.when((F.col("head_id") < F.col("id")) & near("head"), F.col("head_id")).alias("head")
         prev = F.when(near("prev"), F.col("prev_id")).alias("prev")
         rows = rows.select("key", "id", "n", "sketch", head, prev, (F.col("holders") > 3).alias("many"))
@@ -116,58 +138,59 @@ def shared_keys(classes: DataFrame, space: Workspace) -> list[DataFrame]:
 
 
 def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
-    """(id, words, wide) of the lines with these ids; ``wide`` holds 256 parities."""
+    """(id, line, wide) of the lines with these ids; ``wide`` holds the size and 256 parities."""
     places = lines.select("id", *PLACE).join(ids.distinct(), "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
-    found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places")
-    found = found.select(F.explode(F.transform("places", lambda p: F.struct(p.id.alias("id"), F.get(F.col("own"), p.line_no).alias("line")))).alias("p"))
-    sets = found.select("p.id", words_of(spaced(F.col("p.line"))).alias("words")).dropDuplicates(["id"])
-    sets = sets.select("*", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
-    return space.table(sets.select("id", "words", F.expr(_WIDE).alias("wide")), "line-texts")
+    # a text is split below the generator, once for all its lines
+    found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places").select("own", F.explode("places").alias("p"))
+    found = found.select("p.id", F.get("own", F.col("p.line_no")).alias("line")).dropDuplicates(["id"])
+    sets = found.select("id", "line", words_of(spaced(F.col("line"))).alias("words")).select("*", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
+    return space.table(sets.select("id", "line", F.expr(_WIDE).alias("wide")), "line-texts")
 
 
 def similar(a: str, b: str) -> Column:
-    """Whether sets of these wide sketches, a struct with the size n, may link."""
+    """Whether sets of these wide sketches, structs with the size n, may link."""
     apart = " + ".join(f"bit_count({a}.bits[{k}] ^ {b}.bits[{k}])" for k in range(4))
-    return F.expr(f"9 * ({apart}) <= {a}.n + {b}.n")
+    return F.expr(f"5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n AND 9 * ({apart}) <= {a}.n + {b}.n")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
-    """(id): those classes of ``pairs`` (id, other) whose words link with the other's."""
-    pairs = space.table(pairs.distinct(), "line-pairs")
-    texts = texts_of(pairs.select("id").union(pairs.select("other")), lines, docs, space)
-    wide, words = texts.select("id", "wide"), texts.select("id", "words")
-    close = pairs.join(wide, "id").join(wide.toDF("other", "other_wide"), "other").where(similar("wide", "other_wide"))
-    close = space.table(close.select("id", "other"), "line-close")
-    both = close.join(words.toDF("id", "wa"), "id").join(words.toDF("other", "wb"), "other")
+def verified(close: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
+    """(id): those classes of ``close`` (id, other) whose words link with the other's."""
+    text = texts.select("id", "line")
+    close = space.table(close.distinct(), "line-close")
+    both = close.join(text.toDF("id", "a"), "id").join(text.toDF("other", "b"), "other")
+    both = both.select("id", *(words_of(spaced(F.col(c))).alias(f"w{c}") for c in "ab"))
     out = space.table(both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("id").distinct(), "line-found")
-    space.drop(pairs, texts, close)
+    space.drop(close)
     return out
 
 
-def later(lines: DataFrame, copies: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
+def later(lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): classes that link with an earlier one."""
-    classes = space.table(lines.where("keys IS NOT NULL").select("id", "n", "sketch", "keys").join(copies.select("id"), "id", "left_anti"), "line-classes")
-    turns = shared_keys(classes, space)
-    space.drop(classes)
+    turns = shared_keys(lines.where("keys IS NOT NULL").select("id", "n", "sketch", "keys"), space)
     shared = reduce(DataFrame.union, turns)
     pairs = shared.select("id", F.col("head").alias("other")).union(shared.select("id", F.col("prev").alias("other")))
-    found = verified(pairs.where("other IS NOT NULL"), lines, docs, space)
-    many = shared.where("many").select("key", "id", "n", "sketch")
+    pairs = space.table(pairs.where("other IS NOT NULL").distinct(), "line-pairs")
+    many = shared.where("many").select("key", "id")
+    texts = texts_of(pairs.select("id").union(pairs.select("other")).union(many.select("id")), lines, docs, space)
+    wide = texts.select("id", "wide")
+    close = pairs.join(wide, "id").join(wide.toDF("other", "other_wide"), "other").where(similar("wide", "other_wide"))
+    found = verified(close.select("id", "other"), texts, space)
+    many = space.table(many.join(wide, "id"), "line-many")
+    space.drop(pairs, *turns)
     left = many.join(found, "id", "left_anti")
-    met = left.join(many.toDF("key", "other", "other_n", "other_sketch"), "key").where((F.col("other") < F.col("id")) & near("other"))
-    more = verified(met.select("id", "other"), lines, docs, space)
-    space.drop(*turns)
+    met = left.join(many.toDF("other", "key", "other_wide"), "key").where((F.col("other") < F.col("id")) & similar("wide", "other_wide"))
+    more = verified(met.select("id", "other"), texts, space)
+    space.drop(many, texts)
     return found.union(more)
 
 
 def removed_lines(docs: DataFrame, space: Workspace) -> DataFrame:
     """(doc_id, tie, line_no) of the lines of which an earlier line is a near duplicate."""
     lines = lines_of(docs, space)
-    copies = copies_of(lines, space)
-    gone = later(lines, copies, docs, space)
-    out = lines.select("id", *PLACE).join(gone, "id").select(*PLACE).union(copies.where("NOT same").select(*PLACE))
+    gone = later(lines, docs, space)
+    out = lines.select("id", *PLACE).join(gone, "id").select(*PLACE).union(lines.where("id <> first AND NOT same").select(*PLACE))
     out = space.table(out, "line-gone")
-    space.drop(lines, copies, gone)
+    space.drop(lines, gone)
     return out
 
 

@@ -98,3 +98,32 @@ def test_lines_that_only_share_words_never_meet(spark, monkeypatch):
     got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == brute(rows) and sum(r.n_removed for r in got) > 0
     assert 0 < sum(made.values()) < len(rows)
+
+
+def test_long_lines_that_share_a_pair_of_words_never_meet(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"v{k}" for k in range(4000)]
+    rows = [(k, " ".join([*rng.sample(vocab, 150), "u" * 24, "o" * 24])) for k in range(200)]
+    rows.append((200, rows[100][1] + " more"))
+    made, table = {}, line_dedup.Workspace.table
+
+    def counted(self, df, name, *more):
+        out = table(self, df, name, *more)
+        if name in ("line-pairs", "line-close"):
+            made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Workspace, "table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == brute(rows) and sum(r.n_removed for r in got) == 1
+    assert 0 < sum(made.values()) < 6 * len(rows)
+
+
+def test_ids_that_leave_no_room(spark):
+    ids = [-(2**63), -5, 0, 7, 2**63 - 1]
+    rows = [(i, f"a b c d e f g h i j{'' if k % 2 else ' k'}\nown{k}") for k, i in enumerate(ids)]
+    for part in (rows, rows[1:4]):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got = line_dedup.dedup_lines(df).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got)) == brute(part)
