@@ -21,7 +21,7 @@ question whether an earlier line links matters. So each class first meets the
 earliest class and the one before it for each of its keys, which is two
 candidates a key, however many lines share it; only classes that link with none
 of these go on to meet the others, for keys of more than three. There too only
-those meet whose wide sketches, taken from the texts, are near enough.
+those meet whose sketches are near enough, long lines by wide sketches.
 
 Only built-in expressions are used.
 """
@@ -40,11 +40,12 @@ BLANKS = "\t\x0b\x0c\r"
 PLACE = ("doc_id", "tie", "line_no")
 #: Keys are met in so many rounds, of which only one takes disk at a time.
 ROUNDS = 2
+#: Lines of more words have a wide sketch, as 64 parities don't tell them apart.
+SHORT = 40
 
 _NUMBER = "shiftrightunsigned(xxhash64(w), 2 * octet_length(w))"
 _PARITIES = "aggregate(numbers, 0L, (a, x) -> a ^ shiftleft(1L, int(x & 63)))"
-# the hashes are named four times, as a column that is named once is made anew for each round of a lambda
-_WIDE = "struct(size(words) AS n, array(" + ", ".join(f"aggregate(hashes, 0L, (a, x) -> if((shiftright(x, 6) & 3) = {k}, a ^ shiftleft(1L, int(x & 63)), a))" for k in range(4)) + ") AS bits)"
+_WIDE = "array(" + ", ".join(f"aggregate(numbers, 0L, (a, x) -> if((shiftright(x, 6) & 3) = {k}, a ^ shiftleft(1L, int(x & 63)), a))" for k in range(4)) + ")"
 _REACH = "2 * int(n div 5) + if(n % 5 = 4, 2, 1)"
 
 
@@ -88,24 +89,25 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(id, doc_id, tie, line_no, n, first, same, sketch, keys) of each line with words; ids follow the places.
+    """(id, doc_id, tie, line_no, n, first, same, sketch, wide, keys) of each line with words; ids follow the places.
 
     ``first`` is the earliest line of this set, ``same`` tells whether the line
     is at that very place, in an equal row. ``keys`` are those of a first line's
     neighbourhoods, null where it can link with no other set; ``sketch`` holds
-    64 parities.
+    64 parities, ``wide`` 256 of a long line, else null.
     """
     rows = numbered(docs).select("id", *PLACE, words_of(F.col("line")).alias("words"))
     rows = rows.select("id", *PLACE, F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("k2"), F.sort_array(F.expr(f"transform(words, w -> {_NUMBER})")).alias("numbers"))
     keys = F.expr(f"if(n > 3, zip_with(slice(numbers, 1, {_REACH}), slice(numbers, 2, {_REACH}), (a, b) -> xxhash64(a, b)), null)")
     sketch = F.expr(f"if(n > 3, {_PARITIES}, 0L)")
-    rows = space.table(rows.select("id", *PLACE, "n", F.xxhash64("numbers").alias("k1"), "k2", sketch.alias("sketch"), keys.alias("keys")), "line-rows")
+    wide = F.expr(f"if(n > {SHORT}, {_WIDE}, null)")
+    rows = space.table(rows.select("id", *PLACE, "n", F.xxhash64("numbers").alias("k1"), "k2", sketch.alias("sketch"), wide.alias("wide"), keys.alias("keys")), "line-rows")
     firsts = [F.min_by(c, "id").alias(f"first_{c}") for c in PLACE]
     known = rows.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"), *firsts, F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
     same = reduce(Column.__and__, (F.col(c) == F.col(f"first_{c}") for c in PLACE))
     all_rows = rows.join(known, ["k1", "k2", "n"], "left").withColumn("first", F.coalesce("first", "id"))
     keys = F.when(F.col("id") == F.col("first"), F.col("keys"))
-    out = space.table(all_rows.select("id", *PLACE, "n", "first", F.coalesce(same, F.lit(True)).alias("same"), "sketch", keys.alias("keys")), "line-sets")
+    out = space.table(all_rows.select("id", *PLACE, "n", "first", F.coalesce(same, F.lit(True)).alias("same"), "sketch", "wide", keys.alias("keys")), "line-sets")
     space.drop(rows)
     return out
 
@@ -138,29 +140,27 @@ def shared_keys(classes: DataFrame, space: Workspace) -> list[DataFrame]:
 
 
 def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
-    """(id, line, wide) of the lines with these ids; ``wide`` holds the size and 256 parities."""
+    """(id, line) of the lines with these ids."""
     places = lines.select("id", *PLACE).join(ids.distinct(), "id").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("id", "line_no")).alias("places"))
     # a text is split below the generator, once for all its lines
     found = docs.join(places, ["doc_id", "tie"]).select(F.split("text", "\n").alias("own"), "places").select("own", F.explode("places").alias("p"))
-    found = found.select("p.id", F.get("own", F.col("p.line_no")).alias("line")).dropDuplicates(["id"])
-    sets = found.select("id", "line", words_of(spaced(F.col("line"))).alias("words")).select("*", F.expr("transform(words, w -> xxhash64(w))").alias("hashes"))
-    return space.table(sets.select("id", "line", F.expr(_WIDE).alias("wide")), "line-texts")
+    return space.table(found.select("p.id", F.get("own", F.col("p.line_no")).alias("line")).dropDuplicates(["id"]), "line-texts")
 
 
-def similar(a: str, b: str) -> Column:
-    """Whether sets of these wide sketches, structs with the size n, may link."""
-    apart = " + ".join(f"bit_count({a}.bits[{k}] ^ {b}.bits[{k}])" for k in range(4))
-    return F.expr(f"5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n AND 9 * ({apart}) <= {a}.n + {b}.n")
+def similar(other: str) -> Column:
+    """Whether sets may link by (n, wide) and the other's columns of these names; true where one has no wide sketch."""
+    apart = " + ".join(f"bit_count(wide[{k}] ^ {other}_wide[{k}])" for k in range(4))
+    return F.expr(f"coalesce(9 * ({apart}) <= n + {other}_n, true)")
 
 
-def verified(close: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
+def verified(close: DataFrame, lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """(id): those classes of ``close`` (id, other) whose words link with the other's."""
-    text = texts.select("id", "line")
     close = space.table(close.distinct(), "line-close")
-    both = close.join(text.toDF("id", "a"), "id").join(text.toDF("other", "b"), "other")
+    texts = texts_of(close.select("id").union(close.select("other")), lines, docs, space)
+    both = close.join(texts.toDF("id", "a"), "id").join(texts.toDF("other", "b"), "other")
     both = both.select("id", *(words_of(spaced(F.col(c))).alias(f"w{c}") for c in "ab"))
     out = space.table(both.where(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("id").distinct(), "line-found")
-    space.drop(close)
+    space.drop(close, texts)
     return out
 
 
@@ -170,17 +170,16 @@ def later(lines: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     shared = reduce(DataFrame.union, turns)
     pairs = shared.select("id", F.col("head").alias("other")).union(shared.select("id", F.col("prev").alias("other")))
     pairs = space.table(pairs.where("other IS NOT NULL").distinct(), "line-pairs")
-    many = shared.where("many").select("key", "id")
-    texts = texts_of(pairs.select("id").union(pairs.select("other")).union(many.select("id")), lines, docs, space)
-    wide = texts.select("id", "wide")
-    close = pairs.join(wide, "id").join(wide.toDF("other", "other_wide"), "other").where(similar("wide", "other_wide"))
-    found = verified(close.select("id", "other"), texts, space)
-    many = space.table(many.join(wide, "id"), "line-many")
+    sets = lines.select("id", "n", "wide")
+    close = pairs.join(sets, "id").join(sets.toDF("other", "other_n", "other_wide"), "other").where(similar("other"))
+    found = verified(close.select("id", "other"), lines, docs, space)
+    many = space.table(shared.where("many").select("key", "id", "n", "sketch").join(lines.where("wide IS NOT NULL").select("id", "wide"), "id", "left"), "line-many")
     space.drop(pairs, *turns)
     left = many.join(found, "id", "left_anti")
-    met = left.join(many.toDF("other", "key", "other_wide"), "key").where((F.col("other") < F.col("id")) & similar("wide", "other_wide"))
-    more = verified(met.select("id", "other"), texts, space)
-    space.drop(many, texts)
+    met = left.join(many.toDF(*(c if c == "key" else "other" if c == "id" else f"other_{c}" for c in many.columns)), "key")
+    met = met.where((F.col("other") < F.col("id")) & near("other") & similar("other"))
+    more = verified(met.select("id", "other"), lines, docs, space)
+    space.drop(many)
     return found.union(more)
 
 
