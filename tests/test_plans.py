@@ -1,6 +1,7 @@
 """What the plans of queries must look like to stay in proportion to their tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from dossier.plans import record
 from dossier.plans.queries import queries
@@ -29,3 +30,16 @@ def test_jobs_of_one_set_of_skills_meet_records_as_one_row(spark):
     # rows for pairs arise above the last join
     text = plan(met)
     assert 0 <= text.find("Generate explode(ids") < text.find("Join")
+
+
+def test_pairs_are_dealt_over_tasks_and_take_little_disk(spark, tmp_path, monkeypatch):
+    """Jobs of one set of skills: the rows of pairs come from many tasks, as runs that files hold in a fraction of a byte a row."""
+    monkeypatch.setattr(record, "SLOTS", 4, raising=False)
+    jobs = spark.range(20_000).select(F.col("id").alias("jd_id"), F.lit(2).alias("required"), F.array(F.lit("A"), F.lit("b")).alias("skills"))
+    records = spark.range(160).select(F.col("id").alias("doc_id"), F.array(F.lit("B"), F.lit("x")).alias("skills"))
+    record.matches(records, jobs).withColumn("task", F.spark_partition_id()).write.parquet(out := f"{tmp_path}/out")
+    got = spark.read.parquet(out)
+    assert got.select("doc_id", "jd_id").distinct().count() == got.count() == 160 * 20_000
+    assert [tuple(r) for r in got.select("required", "matched", "score").distinct().collect()] == [(2, 1, 50)]
+    assert got.select("task").distinct().count() > 1
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 160 * 20_000
